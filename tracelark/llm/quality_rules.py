@@ -25,7 +25,7 @@ EXACT, FINE = 64, 32
 #: Fence: third quartile + REACH times the spread between the quartiles, and at least FLOOR (per mille of the unit).
 REACH = 3.0
 #: measure -> (lowest upper fence); rates are per 10,000 words (or lines).
-MEASURES = {"symbol_rate": 1500, "dup_line_rate": 3000, "repeat_rate": 3000, "mean_word": 1200}
+MEASURES = {"symbol_rate": 1500, "dup_line_rate": 5000, "repeat_rate": 3000, "mean_word": 1200}
 #: Salts by which the rows of one group are spread when they meet their fences.
 SALTS = 16
 
