@@ -10,11 +10,13 @@ from .bpe import op4_bpe
 from .mixing import op10_mixing
 from .ngram_join import op6_ngram_join
 from .quality_rules import op1_quality_rules
+from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_bpe": op4_bpe,
     "op6_ngram_join": op6_ngram_join,
+    "op7_toxicity": op7_toxicity,
     "op10_mixing": op10_mixing,
 }
 
