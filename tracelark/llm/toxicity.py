@@ -19,20 +19,22 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, table, utf8_slices
+from .common import SPACE, held_out, materialize, table, utf8_slices
 from .levenshtein import Lexicon, classes, walk
 
 #: Labelled rows of either kind that are learnt from at most.
 SAMPLE = 10_000
 #: Terms of the lexicon at most.
-TERMS = 400
+TERMS = 200
 #: Lengths of the word beginnings that are counted.
 STEMS = range(4, 9)
-#: A term is this many times as frequent in toxic texts as in others.
-RATIO = 10
+#: Least share of toxic texts among the texts that have a term, and of texts with the term among the toxic ones.
+PURE, SUPPORT = 0.98, 0.01
+#: A match whose precision lifts the sample's share of toxic texts by less than this says nothing.
+LIFT = 0.3
 #: Characters of context on either side.
 CONTEXT = 80
 QUOTES = "\"“”„«»‹›"
@@ -89,6 +91,13 @@ def matches(column, lexicon: Lexicon, lut: np.ndarray) -> Iterator[tuple[int, se
         yield from rows.items()
 
 
+def _family(text: str) -> Column:
+    """A key that near copies mostly share and other texts do not: the smallest hash of a window of three words."""
+    words = F.split(F.lower(F.col(text)), rf"[{SPACE}]+")
+    least = F.transform(F.array(words), lambda w: F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))))
+    return least[0]
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """text, label of at most SAMPLE training rows of either label, chosen by a hash of doc_id."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -144,7 +153,8 @@ def _pick(rows: list[tuple[str, bool, int]]) -> list[tuple[str, bool]]:
 
 
 def learn_lexicon(rows: DataFrame) -> list[tuple[str, bool]]:
-    """The lexicon from rows (text, label)."""
+    """The lexicon from rows (text, label). Of a family of copies one text counts: its words are no evidence of their own."""
+    rows = materialize(rows.withColumn("family", _family("text")).dropDuplicates(["family", "label"]).select("text", "label"), "families")
     size = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("label") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = size.get(True, 0), size.get(False, 0)
     if not n_toxic or not n_other:
@@ -152,8 +162,8 @@ def learn_lexicon(rows: DataFrame) -> list[tuple[str, bool]]:
     keys = materialize(rows.select("text", "label").mapInArrow(_count_keys, "key string, whole boolean, toxic long, other long").groupBy("key", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "keys")
     tried = keys.where("toxic + other > 1").count()
     # so many toxic texts that hardly one key of all those tried would have them by chance
-    least = max(3, math.ceil(math.log(0.5 / max(tried, 1)) / math.log(n_toxic / (n_toxic + n_other))))
-    telling = keys.where((F.col("toxic") >= least) & (F.col("toxic") / n_toxic >= RATIO * (F.col("other") + 0.5) / n_other))
+    least = max(3, SUPPORT * n_toxic, math.ceil(math.log(0.5 / max(tried, 1)) / math.log(n_toxic / (n_toxic + n_other))))
+    telling = keys.where((F.col("toxic") >= least) & (F.col("toxic") >= PURE * (F.col("toxic") + F.col("other"))))
     rows = telling.orderBy(F.desc("toxic"), "key", "whole").limit(20 * TERMS).collect()
     return _pick([(r["key"], r["whole"], r["toxic"]) for r in rows])
 
@@ -199,12 +209,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     base = min(0.4, (toxic + 0.1) / (n + 1.0))
     kind = {k: (sum(t for f, (t, _) in counts.items() if (f >> 1 & 1, f & 1) == k), sum(m for f, (_, m) in counts.items() if (f >> 1 & 1, f & 1) == k)) for k in PRIOR}
     prior = {k: (t + 4 * PRIOR[k]) / (m + 4) for k, (t, m) in kind.items()}
+    share = rows.agg(F.avg((F.col("label") > 0).cast("double"))).first()[0]
     weight = {}
     for f in range(4 * len(terms)):
         k = (f >> 1 & 1, f & 1)
         t, m = counts.get(f, (0, 0))
         precision = (t + 2 * prior[k]) / (m + 2)
-        weight[f] = max(0.0, (precision - base) / (1 - base))
+        lift = (precision - share) / (1 - share)
+        weight[f] = lift if lift >= LIFT else 0.0
     return Model(lexicon, base, weight)
 
 
