@@ -10,6 +10,7 @@ from .bpe import op4_bpe
 from .mixing import op10_mixing
 from .ngram_join import op6_ngram_join
 from .quality_rules import op1_quality_rules
+from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op6_ngram_join": op6_ngram_join,
     "op7_toxicity": op7_toxicity,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_mixing": op10_mixing,
 }
 
