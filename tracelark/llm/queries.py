@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .classifier import op5_quality_classifier
 from .mixing import op10_mixing
+from .nearest import op9_nearest
 from .ngram_join import op6_ngram_join
 from .quality_rules import op1_quality_rules
 from .suffix_dedup import op8_suffix_dedup
@@ -16,9 +18,11 @@ from .toxicity import op7_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_bpe": op4_bpe,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_ngram_join": op6_ngram_join,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_nearest": op9_nearest,
     "op10_mixing": op10_mixing,
 }
 
