@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
 from .classifier import op5_quality_classifier
+from .license_scan import op3_license_scan
 from .mixing import op10_mixing
 from .nearest import op9_nearest
 from .ngram_join import op6_ngram_join
 from .quality_rules import op1_quality_rules
 from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op7_toxicity
+from .url_filter import op2_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_url_filter": op2_url_filter,
+    "op3_license_scan": op3_license_scan,
     "op4_bpe": op4_bpe,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_ngram_join": op6_ngram_join,
