@@ -1,4 +1,8 @@
-"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Toxic documents go; of each group of near copies one document stays; later copies of long passages are cut; the rest is
+put into training order by source weights; and the texts are encoded to token ids.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelark.llm.common import materialize
+from tracelark.llm import bpe, toxicity
+from tracelark.llm.common import materialize, table
 from tracelark.llm.mixing import mix
+from tracelark.llm.ngram_join import drop_near_copies
+from tracelark.llm.suffix_dedup import cleaned
+
+#: Bytes of a repeated passage that is cut: less than fifty short words.
+PASSAGE = 200
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score, learnt from the labels, is below one half."""
+    return toxicity.reject(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 of their five-word shingles."""
+    return drop_near_copies(docs, k=5, num=80, den=100)
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of passages of PASSAGE bytes or more; ``n_chars`` follows the text."""
+    return cleaned(docs, PASSAGE)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +40,20 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("mixing", mixing)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, number of tokens and hashes of the token ids and of the text they decode to, one row per place in the order."""
+    import public_tokenizers
+
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_copies),
+    ("suffix_dedup", cut_passages),
+    ("mixing", mixing),
+    ("bpe", encode),
+]
 
 #: The stages' results depend on learnt models and on token merges, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL: str | None = None

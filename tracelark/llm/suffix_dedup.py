@@ -408,8 +408,11 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents without later copies of strings of ``length`` bytes; the first copy of each stays. A document that was one later copy as
-    a whole goes; where a cut falls within a character, the whole character stays."""
+    """The documents without later copies of strings of ``length`` bytes; the first copy of each stays.
+
+    A document of which nothing is left goes; where a cut falls within a character, the whole character stays; ``n_chars``, if
+    there is one, follows the text.
+    """
     names = docs.columns
     texts, runs = repeats(docs, length, "first")
     part = runs.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("runs")).join(texts, "id").select("key", "sha", "runs")
@@ -444,7 +447,10 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     changed = rows.where("runs is not null").mapInArrow(cut, f"__row {kind}, new string")
     same = rows.where("runs is null").select("__row", F.lit(None).cast("string").alias("new"))
     whole = same.unionByName(changed.where("new is null or trim(new) <> ''"))
-    return whole.select(*[(F.coalesce("new", F.col("__row")[c]) if c == "text" else F.col("__row")[c]).alias(c) for c in names])
+    new = {"text": F.coalesce("new", F.col("__row")["text"])}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col("new").isNull(), F.col("__row")["n_chars"]).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
+    return whole.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in names])
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
