@@ -35,8 +35,8 @@ from .shingles import U, splitmix
 LENGTH = 400
 #: Bytes of a gram for a string of LENGTH; shorter strings take a sixth.
 GRAM = 64
-#: Places of one anchor that one task sorts at most.
-CROWD = 4_000
+#: Places of one anchor that one task sorts at most (segments of under 2 * length bytes each, equal ones once: 16 MB for 400).
+CROWD = 20_000
 #: Bytes that one suffix sort takes at most (one anchor's segments stay together).
 BLOCK = 1_500_000
 #: Bytes of a text that are hashed at a time.
@@ -176,11 +176,15 @@ def truncated_classes(data: np.ndarray, length: int) -> np.ndarray:
     """
 
     def rank(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
-        new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        out = np.empty(len(key), np.int64)
-        out[order] = new
+        del key
+        changes = np.zeros(len(order), np.int32)
+        np.not_equal(ordered[1:], ordered[:-1], out=changes[1:], casting="unsafe")
+        del ordered
+        np.cumsum(changes, out=changes)
+        out = np.empty(len(order), np.int32)
+        out[order] = changes
         return out
 
     n = len(data)
@@ -194,9 +198,12 @@ def truncated_classes(data: np.ndarray, length: int) -> np.ndarray:
     while reach < length:
         step = min(reach, length - reach)
         m = n - reach - step + 1
-        now = rank(now[:m] * (int(now.max()) + 1) + now[step : step + m])
+        wide = now[:m].astype(np.int64)
+        wide *= int(now.max()) + 1
+        wide += now[step : step + m]
+        now = rank(wide)
         reach += step
-    return np.concatenate([now, np.full(n - len(now), -1, np.int64)])
+    return np.concatenate([now, np.full(n - len(now), -1, np.int32)])
 
 
 def _runs(keys: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
