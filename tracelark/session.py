@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import formats
-from .operators import catalog, decode, frames, series
+from .operators import catalog as catalogs
+from .operators import decode, frames, series
 from .plans.model import Database, Message, Signal
 from .sources import mf4
 from .sources.dbc import message_table, warning_table
@@ -59,13 +60,13 @@ class Session:
     def catalog(self) -> DataFrame:
         """All signals of all databases with the sources that send them."""
         raw = frames.raw_messages(self.trace.frames) if self.trace else self.spark.createDataFrame([], "can_id int, is_extended boolean, channel int, direction string")
-        parts = [catalog.signals(message_table(self.spark, d), i) for i, d in self.databases.items()]
+        parts = [catalogs.signals(message_table(self.spark, d), i) for i, d in self.databases.items()]
         if not parts:
             raise ValueError("no database is open")
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)
-        return catalog.with_sources(rows, raw, self.trace is not None)
+        return catalogs.with_sources(rows, raw, self.trace is not None)
 
     def warnings(self) -> DataFrame:
         parts = [warning_table(self.spark, d).withColumn("file_id", F.lit(i)) for i, d in self.databases.items()]
@@ -74,8 +75,8 @@ class Session:
             out = out.unionByName(p)
         return out
 
-    def search(self, query: str, limit: int = catalog.DEFAULT_HITS) -> dict:
-        rows, most = catalog.search(catalog.ordered(self.catalog()), query, limit)
+    def search(self, query: str, limit: int = catalogs.DEFAULT_HITS) -> dict:
+        rows, most = catalogs.search(catalogs.ordered(self.catalog()), query, limit)
         hits = rows.select("key", "label", "unavailable_reason").collect()
         return {"query": query, "limit": most, "truncated": len(hits) > most, "results": [r.asDict() for r in hits[:most]]}
 
@@ -85,7 +86,7 @@ class Session:
             raise ValueError(f"at most {MOST_SELECTED} signals")
         rows = self.catalog()
         asked = self.spark.createDataFrame(list(enumerate(refs)), "place int, ref string")
-        found = catalog.resolve(rows, asked).join(rows.select("key", "label", "file_id", "can_id", "is_extended", "size_bytes", "signal_name", "channel", "direction", "unavailable_reason"), "key", "left").orderBy("place").collect()
+        found = catalogs.resolve(rows, asked).join(rows.select("key", "label", "file_id", "can_id", "is_extended", "size_bytes", "signal_name", "channel", "direction", "unavailable_reason"), "key", "left").orderBy("place").collect()
         out: dict[str, list[str]] = {"changed": [], "unchanged": [], "unavailable": [], "missing": [], "ambiguous": []}
         for r in found:
             if r["state"] in ("missing", "ambiguous"):
@@ -213,7 +214,7 @@ class Session:
         """For each axis its unit and the padded range of its signals."""
         own = self.spark.createDataFrame([(s.key, s.axis, s.signal.unit) for s in self.selected.values()], "signal_key string, axis string, unit string")
         ranges = series.domains(self.series().join(own, "signal_key"), ["axis"])
-        return catalog.axis_units(own, list(AXES)).join(ranges, "axis", "left")
+        return catalogs.axis_units(own, list(AXES)).join(ranges, "axis", "left")
 
     def describe(self) -> dict:
         meta = [r.asDict() for r in self.trace.meta.collect()] if self.trace else []
