@@ -1,8 +1,8 @@
 """N-gram Jaccard join: groups of documents whose sets of word n-grams overlap, by a prefix-tree join.
 
-1. One pass over the texts gives each document its set's size, a 128-bit hash of the set and block signatures. Documents with
+1. A pass over the texts gives each document its set's size and a 128-bit hash of the set. Documents with
    equal sets are one class from here on, whatever their number: the smallest doc_id stands for it.
-2. Signatures: the range of hashes is cut into m equal pieces, with m above the largest possible difference between two linked
+2. A second pass gives signatures: the range of hashes is cut into m equal pieces, with m above the largest possible difference between two linked
    sets, so at least one piece of two linked sets has the same content. A signature is a piece's content. No linked pair
    is lost; what two sets merely share in passing (a common line) does not make whole pieces equal.
    Pieces with three elements or fewer that many documents have are set aside where a document has enough others.
@@ -32,6 +32,8 @@ from .trie_join import groups
 BLOCK_TOKENS = 2_000_000
 #: A signature of at most FEW elements counts as weak if more than MANY classes have it.
 FEW, MANY = 3, 16
+#: Sets that a task remembers to have signed.
+SEEN = 300_000
 #: Rounds in which large blocks are dealt anew before what is left is compared by pairs of parts.
 DEALS = 3
 
@@ -76,33 +78,62 @@ def signatures(x: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(sigs), np.concatenate(infos)
 
 
-def _scan(k: int, num: int, den: int) -> Callable:
+def _hashes(x: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set."""
+    with np.errstate(over="ignore"):
+        return int(splitmix(x).sum(dtype=U)), int(splitmix(splitmix(x ^ U(0xA5A5A5A5A5A5A5A5)) + U(7)).sum(dtype=U))
+
+
+def _scan(k: int) -> Callable:
+    """Rows (doc_id, text) -> doc_id, size and hashes of its set."""
+
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column(0)
-            at, size, h1, h2, sigs, infos = [], [], [], [], [], []
+            at, size, h = [], [], []
             for i, x in sets(batch.column(1), k):
                 at.append(i)
                 size.append(len(x))
-                with np.errstate(over="ignore"):
-                    h1.append(int(splitmix(x).sum(dtype=U)))
-                    h2.append(int(splitmix(splitmix(x ^ U(0xA5A5A5A5A5A5A5A5)) + U(7)).sum(dtype=U)))
-                s, f = signatures(x, num, den) if len(x) and ids[i].is_valid else (np.zeros(0, U), np.zeros(0, np.int64))
+                h.append(_hashes(x))
+            if at:
+                signed = lambda v: pa.array(np.array(v, dtype=U).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(size, pa.int64()), signed([a for a, _ in h]), signed([b for _, b in h])], names=["doc_id", "n", "h1", "h2"])
+
+    return scan
+
+
+def _sign(k: int, num: int, den: int) -> Callable:
+    """Texts -> (sig, h1, info) for the signatures of each set; a set that this task has signed lately is not signed again."""
+
+    def sign(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        seen: set[int] = set()
+        for batch in batches:
+            sigs, infos, owners, size = [], [], [], 0
+
+            def rows():
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (sigs, owners, infos)], names=["sig", "h1", "info"])
+
+            for _, x in sets(batch.column(0), k):
+                if not len(x) or (h := _hashes(x)[0]) in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(h)
+                s, f = signatures(x, num, den)
                 sigs.append(s)
                 infos.append(f)
-            if not at:
-                continue
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            signed = lambda v: pa.array(np.array(v, dtype=U).view(np.int64))
-            flat = lambda v, t: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(v).view(np.int64).astype(t)))
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(at)), pa.array(size, pa.int64()), signed(h1), signed(h2), flat(sigs, np.int64), flat(infos, np.int64)],
-                names=["doc_id", "n", "h1", "h2", "sigs", "infos"],
-            )
+                owners.append(np.full(len(s), h, U))
+                size += len(s)
+                if size > 500_000:
+                    yield rows()
+                    sigs, infos, owners, size = [], [], [], 0
+            if sigs:
+                yield rows()
 
-    return scan
+    return sign
 
 
 def _join(k: int, num: int, den: int) -> Callable:
@@ -154,20 +185,19 @@ def _split(runs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: sets of k-word shingles linked at a Jaccard similarity of num/den."""
-    scan = docs.select("doc_id", "text").mapInArrow(_scan(k, num, den), "doc_id long, n long, h1 long, h2 long, sigs array<long>, infos array<long>")
-    scan = materialize(scan, "sets")
+    scan = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(k), "doc_id long, n long, h1 long, h2 long"), "sets")
     full = scan.where("n > 0 and doc_id is not null")
     # classes of equal sets; a repeated doc_id with different texts ties its classes together below
-    classes = materialize(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("infos").alias("infos")), "classes")
-    rows = classes.select("id", F.explode(F.arrays_zip("sigs", "infos")).alias("s")).select("id", F.col("s.sigs").alias("sig"), F.col("s.infos").alias("info"))
+    classes = materialize(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")), "classes")
+    rows = docs.where("doc_id is not null").select("text").mapInArrow(_sign(k, num, den), "sig long, h1 long, info long")
     by_sig = Window.partitionBy("sig")
-    runs = rows.select("sig", "id", "info", F.count("*").over(by_sig).alias("n_run"), F.min("id").over(by_sig).alias("first")).where("n_run > 1")
-    runs = materialize(runs, "runs")
+    runs = rows.select("*", F.count("*").over(by_sig).alias("n_run"), F.min("h1").over(by_sig).alias("a"), F.max("h1").over(by_sig).alias("b")).where("a <> b")
+    runs = materialize(runs.select("sig", "h1", "info", "n_run").distinct().join(classes.select("h1", "id"), "h1").drop("h1"), "runs")
     weak = (F.col("info") % 2 == 1) & (F.col("n_run") > MANY)
     aside = runs.where(weak).groupBy("id", F.shiftright("info", 8).alias("plan")).agg(F.count("*").alias("n"))
     aside = aside.where(F.col("n") > F.col("plan") % (1 << 24)).select("id", "plan")  # too few others: these keep their weak ones
     kept = runs.where(~weak).unionByName(runs.where(weak).withColumn("plan", F.shiftright("info", 8)).join(aside, ["id", "plan"], "left_semi").drop("plan"))
-    kept = materialize(kept.select("sig", "id", "first"), "kept")
+    kept = materialize(kept.select("sig", "id", F.min("id").over(by_sig).alias("first")), "kept")
     block = components(kept.select("id", "first"), "id", "first").withColumnRenamed("root", "block")
     sized = block.join(classes.select("id", "n"), "id")
     parts = sized.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
@@ -199,7 +229,7 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     tied = ties.join(again, "doc_id").select(F.col("id").alias("u"), F.col("doc_id").alias("v"))
     roots = components(links.unionByName(tied))
     named = classes.select("h1", "h2", "id").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("root"))
-    out = scan.drop("sigs", "infos").join(named, ["h1", "h2"], "left")
+    out = scan.join(named, ["h1", "h2"], "left")
     own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.least("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
