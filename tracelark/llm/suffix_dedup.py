@@ -138,7 +138,11 @@ def _scan(length: int, gram: int) -> Callable:
 
 
 def _segments(length: int, gram: int) -> Callable:
-    """Rows (id, text, list of anchors) -> a row for each anchor: h, id, first start, number of starts, the segment's bytes."""
+    """Rows (id, text, list of anchors) -> a row for each anchor: h, id, first start, number of starts, the segment's bytes.
+
+    From the third place of equal segments in a text on, the starts are repeats whatever other texts hold: they are
+    joined into rows without bytes, so that a text of one repeated pattern does not give a segment for each of its bytes.
+    """
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -149,11 +153,21 @@ def _segments(length: int, gram: int) -> Callable:
             for base, data, offsets in utf8_slices(batch.column(1)):
                 for i in range(len(offsets) - 1):
                     own = data[offsets[i] : offsets[i + 1]].tobytes()
-                    for m in marks[base + i].as_py():
+                    times: dict[bytes, int] = {}
+                    known: list[list[int]] = []
+                    for m in sorted(marks[base + i].as_py(), key=lambda m: m["p"] - m["back"]):
                         first = m["p"] - m["back"]
                         piece = own[first : first + m["span"] + length]
+                        times[piece] = times.get(piece, 0) + 1
+                        if times[piece] > 2:
+                            if known and first <= known[-1][1] + 1:
+                                known[-1][1] = max(known[-1][1], first + m["span"])
+                            else:
+                                known.append([first, first + m["span"]])
+                            continue
                         out.append((m["h"], ids[base + i], first, m["span"] + 1, m["back"], m["crowd"], piece))
                         size += len(piece)
+                    out += [(0, ids[base + i], a, b - a + 1, 0, False, None) for a, b in known]
                     if size > 4_000_000:
                         yield _batch(out)
                         out, size = [], 0
@@ -352,8 +366,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> tuple[
     named = _keyed(docs).select("key", "text").join(materialize(marks, "marks"), "key").where(_sha("text") == F.col("sha"))
     segments = named.select("id", "text", "marks").mapInArrow(_segments(length, gram), "h long, id long, first long, n int, back int, crowd boolean, piece binary")
     segments = materialize(segments, "segments")
-    dealt = segments.where("not crowd").select("h", "id", "first", "n", "piece").repartition(shuffle_parts(docs.sparkSession), "h").sortWithinPartitions("h", "id", "first")
+    dealt = segments.where("not crowd and piece is not null").select("h", "id", "first", "n", "piece").repartition(shuffle_parts(docs.sparkSession), "h").sortWithinPartitions("h", "id", "first")
     runs = dealt.mapInArrow(_sort(length, keep == "first"), "id long, a long, b long")
+    runs = runs.unionByName(segments.where("piece is null").select("id", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1).alias("b")))
     crowded = segments.where("crowd")
     if crowded.limit(1).count():
         strings = crowded.select("id", "first", "piece").distinct().mapInArrow(_string_hashes(length), "g1 long, g2 long, id long, start long")
