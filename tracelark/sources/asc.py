@@ -45,20 +45,30 @@ def headers(rows: DataFrame) -> DataFrame:
     )
 
 
-def parse(rows: DataFrame) -> DataFrame:
-    """Every line with status (frame, skipped, ignored), kind and the frame's parts."""
-    state = headers(rows)
+def parse(rows: DataFrame, radix: int | None = None, relative: bool | None = None) -> DataFrame:
+    """Every line with status (frame, skipped, ignored), kind and the frame's parts.
+
+    ``radix`` and ``relative`` are given where all lines have the same; otherwise each line looks up the header in force.
+    """
+    if radix is None or relative is None:
+        state = headers(rows)
+        rows = rows.join(state, (F.col("trace_id") == F.col("of")) & (F.col("seq") > F.col("since")) & (F.col("seq") < F.col("until")), "left")
+        base, clock = F.coalesce("radix", F.lit(16)), F.coalesce("relative", F.lit(False))
+    else:
+        base, clock = F.lit(radix), F.lit(relative)
     ns, timed = decimal_to_ns(token(0), 9)
-    df = rows.join(state, (F.col("trace_id") == F.col("of")) & (F.col("seq") > F.col("since")) & (F.col("seq") < F.col("until")), "left").select(
-        "trace_id", "seq", "t", F.size("t").alias("size"), F.coalesce("radix", F.lit(16)).alias("radix"), F.coalesce("relative", F.lit(False)).alias("relative"),
+    # lines without a stamp go first, so that nothing else is looked up for them
+    df = rows.where(token(0).rlike(r"^[0-9]+(\.[0-9]+)?$")).select(
+        "trace_id", "seq", "t", F.size("t").alias("size"), base.alias("radix"), clock.alias("relative"),
         ns.alias("stamp"), timed.alias("timed"), F.coalesce(token(1) == "CANFD", F.lit(False)).alias("fd"),
     )
+    radix = F.col("radix") if radix is None else radix
     fd = F.col("fd")
     df = df.withColumn("o", F.when(fd & ~F.coalesce(token(5).rlike("^[0-9]+$"), F.lit(True)), 1).otherwise(0))
     ch, ch_good = channel(F.when(fd, token(2)).otherwise(token(1)))
     id_text = F.when(fd, token(4)).otherwise(token(2))
     marked = id_text.rlike("[xX]$")
-    ident = number(F.regexp_replace(id_text, "[xX]$", ""), F.col("radix"), 0x1FFFFFFF)
+    ident = number(F.regexp_replace(id_text, "[xX]$", ""), radix, 0x1FFFFFFF)
     dlc_text = F.when(fd, token(F.col("o") + 7)).otherwise(token(5))
     dlc = F.when(F.length(dlc_text) == 1, number(dlc_text, 16, 15)).otherwise(number(dlc_text, 10, 15)).cast("int")
     df = df.select(
@@ -66,7 +76,7 @@ def parse(rows: DataFrame) -> DataFrame:
         direction(token(3)).alias("direction"), dlc.alias("dlc"), dlc_text.isNull().alias("no_dlc"), number(token(F.col("o") + 8), 10, 64).cast("int").alias("length"),
     )
     n = F.when(fd, F.col("length")).otherwise(F.col("dlc"))
-    df = df.withColumn("n", n).withColumn("bytes", payload(F.when(fd, F.col("o") + 9).otherwise(6), F.col("n"), F.col("radix")))
+    df = df.withColumn("n", n).withColumn("bytes", payload(F.when(fd, F.col("o") + 9).otherwise(6), F.col("n"), radix))
     mark = token(4)
     good_fd = F.col("channel_good") & F.col("id").isNotNull() & (F.col("length") == fd_length(F.col("dlc"))) & F.col("bytes").isNotNull()
     good = lambda c: F.coalesce(c, F.lit(False))
@@ -102,10 +112,11 @@ def run_clocks(parsed: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(frames, meta) of ASC files; a malformed ``base`` line is an error."""
     rows = lines(spark, path)
-    state = headers(rows).agg(F.max("fault").alias("fault"), F.max("relative").alias("relative")).first()
+    one = F.count_if((F.col("radix") != 16) | F.col("relative"))
+    state = headers(rows).agg(F.max("fault").alias("fault"), F.max("relative").alias("relative"), one.alias("other")).first()
     if state["fault"]:
         raise TraceError("a base line is malformed")
-    parsed = parse(rows)
+    parsed = parse(rows) if state["other"] else parse(rows, 16, False)  # hex and absolute is also what holds without a header
     parsed = run_clocks(parsed) if state["relative"] else parsed.withColumn("timestamp_ns", F.col("stamp"))
     frames = frames_of(parsed)
     ms = wall_clock_ms(F.regexp_replace("line", r"^(date|Begin Triggerblock) +", ""))
