@@ -5,7 +5,7 @@
 2. A second pass gives signatures: the range of hashes is cut into m equal pieces, with m above the largest possible difference between two linked
    sets, so at least one piece of two linked sets has the same content. A signature is a piece's content. No linked pair
    is lost; what two sets merely share in passing (a common line) does not make whole pieces equal.
-   Pieces with three elements or fewer that many documents have are set aside where a document has enough others.
+   Pieces with four elements or fewer that more than two classes have are set aside where a document has enough others.
 3. Sets with a common signature are gathered into blocks (connected components, in Spark).
    Each block's sets form a trie that is joined with itself (``trie_join``). A block beyond ``BLOCK_TOKENS`` is dealt out over
    several tries, and groups that meet in different tries are compared again: dealt anew, and in the end by pairs of parts.
@@ -30,8 +30,9 @@ from .trie_join import groups
 
 #: Elements of the sets that one trie holds at most (8 bytes each).
 BLOCK_TOKENS = 2_000_000
-#: A signature of at most FEW elements counts as weak if more than MANY classes have it.
-FEW, MANY = 3, 16
+#: A signature of at most FEW elements counts as weak if more than MANY classes have it: such pieces are shared passages, and would
+#: string many unlike documents together into one block.
+FEW, MANY = 4, 2
 #: Sets that a task remembers to have signed.
 SEEN = 300_000
 #: Rounds in which large blocks are dealt anew before what is left is compared by pairs of parts.

@@ -86,10 +86,23 @@ def _finish(root: _Node, sets: list[np.ndarray], num: int, den: int) -> None:
             node.index, node.open = index, always
 
 
+def _in_order(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets as sorted ranks of one order: elements that more sets have come first.
+
+    Near copies then share long paths and part late, and what many other sets have in common is a path that is walked once.
+    """
+    every, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(every), np.uint32)
+    rank[np.lexsort((every, -count))] = np.arange(len(every), dtype=np.uint32)
+    ends = np.cumsum([len(x) for x in sets])[:-1]
+    return [np.sort(x) for x in np.split(rank[place], ends)]
+
+
 def groups(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     """For each set the position of one set that stands for its group: sets are linked when
     den * |intersection| >= num * |union|. Sets must be sorted arrays, none empty; equal sets are one group."""
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+    sets = _in_order(sets)
+    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
     parent = list(range(len(sets)))
 
     def find(i: int) -> int:
