@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Pre-tokens in each of the two tables of those used last.
-MEMORY = 250_000
+MEMORY = 150_000
 #: Letters and digits that are newer than the tokenizer's own character tables: it takes them for symbols. Fixed values.
 NEWER = (
     (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2),

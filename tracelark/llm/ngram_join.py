@@ -29,7 +29,7 @@ from .shingles import U, sets, splitmix
 from .trie_join import groups
 
 #: Elements of the sets that one trie holds at most (8 bytes each).
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: A signature of at most FEW elements counts as weak if more than MANY classes have it: such pieces are shared passages, and would
 #: string many unlike documents together into one block.
 FEW, MANY = 4, 2
