@@ -384,6 +384,21 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
     assert 1000 not in got and nearest.nearest(df.limit(0), nearest.F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_rows_of_one_vector_take_one_place_of_the_bound(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(1, (x[0] * (2.0 + i)).tolist()) for i in range(5)] + [(2, (x[0] + 0.01 * rng.normal(size=16)).tolist()) for _ in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    best = {}
+    for i, v in rows[1:]:
+        v = np.array(v)
+        best[i] = max(best.get(i, -1.0), float(v @ x[0] / np.sqrt((v @ v) * (x[0] @ x[0]))))
+    want = sorted(best, key=lambda i: (-best[i], i))[:5]
+    got = nearest.nearest(df, nearest.F.col("vec_id") == 0, 5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == want and np.allclose([r["score"] for r in got], [best[i] for i in want], atol=1e-12)
+
+
 # --- 10 mixing
 
 

@@ -2,7 +2,7 @@
 
 Queries and candidates are dealt into blocks of bounded size; every pair of blocks is one tile of one task. In a tile the unit
 vectors are int8 with a scale each; the product of the int8 tiles gives every similarity with a bound on its error, pairs that cannot be
-among the k best are dropped by those bounds, and the rest is recomputed in double precision from the original vectors. Tiles' results
+among the k best vec_ids are dropped by those bounds, and the rest is recomputed in double precision from the original vectors. Tiles' results
 are merged by heaps. The result is exact: the bounds never drop a true neighbour.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without a vec_id, take no part; rows that
@@ -61,6 +61,9 @@ def _tile(k: int) -> Callable:
         if queries.num_rows and candidates.num_rows:
             q, c = _matrix(queries.column("v")), _matrix(candidates.column("v"))
             qid, cid = np.asarray(queries.column("vec_id")), np.asarray(candidates.column("vec_id"))
+            order = np.argsort(cid, kind="stable")
+            c, cid = c[order], cid[order]
+            heads = np.flatnonzero(np.concatenate([[True], cid[1:] != cid[:-1]]))  # first row of each vec_id
             # scaled by the largest component first, so that no norm overflows or vanishes
             qs, cs = q / np.abs(q).max(1)[:, None], c / np.abs(c).max(1)[:, None]
             qn, cn = np.sqrt((qs * qs).sum(1)), np.sqrt((cs * cs).sum(1))
@@ -75,8 +78,10 @@ def _tile(k: int) -> Callable:
                 low, high = near - bound, near + bound
                 own = qid[a:b, None] == cid
                 low[own], high[own] = -np.inf, -np.inf
-                rank = min(k, low.shape[1])
-                least = np.partition(low, low.shape[1] - rank, axis=1)[:, low.shape[1] - rank]
+                # a vec_id counts once in the result, so its rows count once, by the best, in the bound
+                sure = np.maximum.reduceat(low, heads, axis=1) if len(heads) < len(cid) else low
+                rank = min(k, sure.shape[1])
+                least = np.partition(sure, sure.shape[1] - rank, axis=1)[:, sure.shape[1] - rank]
                 qi, ci = np.nonzero((high >= least[:, None]) & ~own)
                 for at in range(0, len(qi), 1 << 16):
                     i, j = qi[at : at + (1 << 16)] + a, ci[at : at + (1 << 16)]
