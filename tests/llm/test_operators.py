@@ -100,6 +100,41 @@ def test_license_phrases_and_templates(spark, bad, empty):
     assert len(rows) == 8 and {r["n_words"] for r in rows if r["doc_id"] in (1, 2, 3)} == {0} and license_scan.scan(empty).count() == 0
 
 
+def test_license_labels_do_not_depend_on_other_files(spark):
+    few = [(1, "under the terms of the Mozilla Public License, v. 1.1, see there"), (2, "Licensed under CC BY-NC 3.0."), (3, "Redistribution and use in source and binary forms, with or without modification, are allowed"), (4, "mozilla public or licensed under cc by")]
+    full = " ".join(t for _, t, _ in license_scan.TEMPLATES) + " v 2 0 4"
+    hot = [(100 + i, full) for i in range(8)] + [(200 + i, "plain words") for i in range(8)]
+    schema = "doc_id long, text string"
+    alone = by_id(license_scan.scan(spark.createDataFrame(few, schema)))
+    crowd = by_id(license_scan.scan(spark.createDataFrame(few + hot, schema)))
+    assert [alone[i]["labels"] for i, _ in few] == ["mpl", "cc-by-nc", "bsd", ""]
+    assert all(alone[i] == crowd[i] for i, _ in few)
+    assert set(crowd[100]["labels"].split(",")) == {label for label, *_ in license_scan.TEMPLATES}
+
+
+def test_license_places_equal_brute_force():
+    rng = random.Random(7)
+    index = license_scan.Index(license_scan.TEMPLATES, 10, {})
+    texts = [license_scan.words_of(t.encode()) for _, t, _ in license_scan.TEMPLATES]
+    for _ in range(300):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            t = list(rng.choice(texts))
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(t))
+                t[k : k + rng.randint(0, 1)] = [b"x"] * rng.randint(0, 1)
+            words += t[rng.randint(0, 2) :]
+        labels, score = set(), 0.0
+        for label, text, phrases in license_scan.TEMPLATES:
+            t = license_scan.words_of(text.encode())
+            for start in range(-len(t), len(words)):
+                window = words[max(0, start) : max(0, start + len(t))]
+                if all(any(window[k : k + len(p)] == p for k in range(len(window))) for p in (license_scan.words_of(p.encode()) for p in phrases)):
+                    labels.add(label)
+                    score = max(score, sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(t)) / len(t))
+        assert index.scan(words, index.leads.intersection(words)) == (labels, score)
+
+
 # --- 4 BPE
 
 
