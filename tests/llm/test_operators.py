@@ -318,6 +318,31 @@ def test_automaton_equals_edit_distance():
         assert g == (2 * min(hits)[1] + min(hits)[0] if hits else -1), w
 
 
+def test_lexicon_over_several_tables_equals_one(monkeypatch):
+    rng = random.Random(13)
+    terms = [("".join(rng.choice("abcd") for _ in range(rng.randint(4, 7))), bool(rng.getrandbits(1))) for _ in range(12)]
+    one = levenshtein.Lexicon(terms)
+    monkeypatch.setattr(levenshtein, "STATES", len(one.table) // 3)
+    several = levenshtein.Tables(terms)
+    words = ["".join(rng.choice("abcdx") for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    own = levenshtein.classes(one.letter)[np.frombuffer(" ".join(words).encode(), np.uint8)]
+    starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+    ends = starts + [len(w) for w in words]
+    a, b = levenshtein.walk(one.table, one.found, own, starts, ends), several.walk(own, starts, ends)
+    assert len(several.parts) > 1 and several.letter == one.letter and (a >= 0).sum() > 50
+    assert ((a >= 0) == (b >= 0)).all() and (a % 2 == b % 2)[a >= 0].all() and (a == b).mean() > 0.99
+
+
+def test_toxicity_keeps_every_telling_term(spark):
+    rng = random.Random(14)
+    insults = ["".join(rng.choice("aeioubdgkmnqrstvxz") for _ in range(7)) for _ in range(240)]
+    rows = [(i, " ".join(f"plain{rng.randrange(300)}" for _ in range(20)) + (" " + " ".join(rng.sample(insults, 30)) if i % 3 == 0 else "")) for i in range(600)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id long, toxic int")
+    terms = toxicity.learn_lexicon(toxicity.sample(docs, labels, "toxic"))
+    missed = [w for w in insults if not any(w == t if whole else w.startswith(t) for t, whole in terms)]
+    assert not missed
+
+
 def test_toxicity_learns_words_beginnings_and_misspellings(spark, bad, empty):
     rng = random.Random(9)
     vocabulary = ["".join(rng.choice("abdegilmnoprtu") for _ in range(rng.randint(3, 9))) for _ in range(400)]

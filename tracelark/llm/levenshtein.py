@@ -14,15 +14,22 @@ FUZZY_FROM = 5
 #: Digits read as the letters they stand in for.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 SEPARATOR, OTHER = 0, 1
+#: States of a table at most; a lexicon that needs more is split over several tables.
 STATES = 200_000
+#: Terms that are tried in one table.
+PART = 200
+
+
+class TooLarge(ValueError):
+    pass
 
 
 class Lexicon:
     """terms: (text, whole); a whole term matches a word, another matches the words that begin with it."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool]], letters: list[str] | None = None):
         self.terms = terms
-        letters = sorted({c for t, _ in terms for c in t})
+        letters = letters or sorted({c for t, _ in terms for c in t})
         self.letter = {c: i + 2 for i, c in enumerate(letters)}
         self.n_classes = len(letters) + 2
         children: list[dict[int, int]] = [{}]
@@ -94,7 +101,7 @@ class Lexicon:
                     to = self._step(state, c)
                     if to not in number:
                         if len(number) >= STATES:
-                            raise ValueError("the lexicon is too large for one table")
+                            raise TooLarge("the lexicon is too large for one table")
                         number[to] = len(todo)
                         todo.append(to)
                     row[c] = number[to]
@@ -103,6 +110,37 @@ class Lexicon:
         self.found = np.array([self._found(s) for s in todo], dtype=np.int32)
 
 
+class Tables:
+    """A lexicon of any size, as tables over one set of letter classes, each of a run of its terms."""
+
+    def __init__(self, terms: list[tuple[str, bool]]):
+        self.terms = terms
+        letters = sorted({c for t, _ in terms for c in t})
+        self.letter = {c: i + 2 for i, c in enumerate(letters)}
+        self.parts: list[tuple[int, np.ndarray, np.ndarray]] = []  # first term, table, found
+        todo = [(at, min(len(terms), at + PART)) for at in range(0, len(terms), PART)]
+        while todo:
+            low, high = todo.pop(0)
+            try:
+                part = Lexicon(terms[low:high], letters)
+            except TooLarge:
+                if high - low == 1:
+                    raise
+                todo[:0] = [(low, (low + high) // 2), ((low + high) // 2, high)]
+                continue
+            self.parts.append((low, part.table, part.found))
+
+    def walk(self, own: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The match of every word: 2 * term + edits, of the fewest edits and then the first term, or -1."""
+        best = np.full(len(starts), -1, np.int32)
+        for low, table, found in self.parts:
+            got = walk(table, found, own, starts, ends)
+            got[got >= 0] += 2 * low
+            better = (got >= 0) & ((best < 0) | (got % 2 < best % 2))
+            best[better] = got[better]
+        return best
+
+
 _CLASSES: dict[str, np.ndarray] = {}
 
 

@@ -1,8 +1,8 @@
 """Toxicity scores: a lexicon learnt from labels, misspellings by Levenshtein automata, quotation told from abuse by context.
 
 1. From a bounded sample of labelled rows (``SAMPLE`` of either label, by a hash of doc_id) the words and word beginnings that
-   set toxic texts apart become the lexicon (at most ``TERMS``).
-2. The lexicon's trie, intersected with Levenshtein automata, is one table (``levenshtein``) that every word of a text walks.
+   set toxic texts apart become the lexicon; the sample bounds their number.
+2. The lexicon's trie, intersected with Levenshtein automata, is a table (``levenshtein``; several where one would grow too large) that every word of a text walks.
 3. Each match has a context: quotation marks around it and words of reporting before it count for quotation, an address
    ("you") for abuse. Matches by term, edits and context are given a weight: their precision in the sample.
 4. A text's score is one minus the product of what its distinct matches leave open.
@@ -23,12 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, held_out, materialize, table, utf8_slices
-from .levenshtein import Lexicon, classes, walk
+from .levenshtein import Tables, classes
 
 #: Labelled rows of either kind that are learnt from at most.
 SAMPLE = 10_000
-#: Terms of the lexicon at most.
-TERMS = 200
 #: Lengths of the word beginnings that are counted.
 STEMS = range(4, 9)
 #: Least share of toxic texts among the texts that have a term, and of texts with the term among the toxic ones.
@@ -75,13 +73,13 @@ def _quoted(text: str, start: int, end: int, low: int, high: int) -> bool:
     return score >= 0.5
 
 
-def matches(column, lexicon: Lexicon, lut: np.ndarray) -> Iterator[tuple[int, set[int]]]:
+def matches(column, lexicon: Tables, lut: np.ndarray) -> Iterator[tuple[int, set[int]]]:
     """(row, features) of the rows with a match; a feature is 4 * term + 2 * edits + quoted."""
     for base, data, offsets in utf8_slices(column, 1 << 20):
         if not len(data):
             continue
         text, own, starts, ends, heads = _words(data, offsets, lut)
-        found = walk(lexicon.table, lexicon.found, own, starts, ends)
+        found = lexicon.walk(own, starts, ends)
         rows: dict[int, set[int]] = {}
         hits = np.flatnonzero(found >= 0)
         owner = np.searchsorted(heads, starts[hits], side="right") - 1
@@ -149,7 +147,7 @@ def _pick(rows: list[tuple[str, bool, int]]) -> list[tuple[str, bool]]:
     for w, n in word.items():
         if not any(w.startswith(k) for k, _ in out):
             out[w, True] = n
-    return [k for k, _ in sorted(out.items(), key=lambda x: (-x[1], x[0]))[:TERMS]]
+    return [k for k, _ in sorted(out.items(), key=lambda x: (-x[1], x[0]))]
 
 
 def learn_lexicon(rows: DataFrame) -> list[tuple[str, bool]]:
@@ -164,12 +162,12 @@ def learn_lexicon(rows: DataFrame) -> list[tuple[str, bool]]:
     # so many toxic texts that hardly one key of all those tried would have them by chance
     least = max(3, SUPPORT * n_toxic, math.ceil(math.log(0.5 / max(tried, 1)) / math.log(n_toxic / (n_toxic + n_other))))
     telling = keys.where((F.col("toxic") >= least) & (F.col("toxic") >= PURE * (F.col("toxic") + F.col("other"))))
-    rows = telling.orderBy(F.desc("toxic"), "key", "whole").limit(20 * TERMS).collect()
+    rows = telling.collect()  # the labelled sample bounds their number
     return _pick([(r["key"], r["whole"], r["toxic"]) for r in rows])
 
 
 class Model:
-    def __init__(self, lexicon: Lexicon | None, base: float, weight: dict[int, float]):
+    def __init__(self, lexicon: Tables | None, base: float, weight: dict[int, float]):
         self.lexicon, self.base, self.weight = lexicon, base, weight
 
     def score(self, features: set[int]) -> float:
@@ -189,7 +187,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     if not terms:
         share = rows.agg(F.avg((F.col("label") > 0).cast("double"))).first()[0]
         return Model(None, float(share or 0.0), {})
-    lexicon = Lexicon(terms)
+    lexicon = Tables(terms)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -204,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in seen], pa.int32()), pa.array([n * t for (_, t), n in seen.items()], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["feature", "toxic", "n"])
 
     counted = rows.select("text", "label").mapInArrow(count, "feature int, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).collect()
-    counts = {r["feature"]: (r["toxic"], r["n"]) for r in counted}  # at most 4 * TERMS + 1 rows
+    counts = {r["feature"]: (r["toxic"], r["n"]) for r in counted}  # at most 4 rows for each term, and one
     toxic, n = counts.pop(-1, (0, 0))
     base = min(0.4, (toxic + 0.1) / (n + 1.0))
     kind = {k: (sum(t for f, (t, _) in counts.items() if (f >> 1 & 1, f & 1) == k), sum(m for f, (_, m) in counts.items() if (f >> 1 & 1, f & 1) == k)) for k in PRIOR}
