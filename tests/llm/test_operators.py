@@ -343,6 +343,27 @@ def test_toxicity_keeps_every_telling_term(spark):
     assert not missed
 
 
+def test_toxicity_tells_quotation_from_abuse_and_keeps_impure_terms(spark):
+    rng = random.Random(15)
+    rows, labels = [], []
+    for i in range(1600):
+        words = [f"plain{rng.randrange(300)}" for _ in range(30)]
+        toxic = i % 8 == 0
+        if toxic:
+            words.insert(7, "wretchful" if i % 16 else "scoundrel")
+        elif i % 8 == 1:
+            words[7:7] = ["he", "said", '"wretchful"', "and", "left"]
+        elif i % 80 == 2:
+            words.insert(7, "scoundrel")
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(docs, marks)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert {("wretchful", True), ("scoundrel", True)} <= set(model.lexicon.terms)
+    assert all(got[i] >= 0.5 for i in range(0, 1600, 8)) and all(got[i] < 0.5 for i in range(1, 1600, 8))
+
+
 def test_toxicity_learns_words_beginnings_and_misspellings(spark, bad, empty):
     rng = random.Random(9)
     vocabulary = ["".join(rng.choice("abdegilmnoprtu") for _ in range(rng.randint(3, 9))) for _ in range(400)]

@@ -1,10 +1,11 @@
 """Toxicity scores: a lexicon learnt from labels, misspellings by Levenshtein automata, quotation told from abuse by context.
 
 1. From a bounded sample of labelled rows (``SAMPLE`` of either label, by a hash of doc_id) the words and word beginnings that
-   set toxic texts apart become the lexicon; the sample bounds their number.
+   set toxic texts apart become the lexicon; the sample bounds their number. A term needs no pure record: it is taken if, over all
+   its texts or those that have it outside quotation or several times, the lift is ``LIFT`` and no chance of all keys tried.
 2. The lexicon's trie, intersected with Levenshtein automata, is a table (``levenshtein``; several where one would grow too large) that every word of a text walks.
 3. Each match has a context: quotation marks around it and words of reporting before it count for quotation, an address
-   ("you") for abuse. Matches by term, edits and context are given a weight: their precision in the sample.
+   ("you") for abuse. Matches by term, edits, context and whether they recur are given a weight: the lift of their precision in the sample.
 4. A text's score is one minus the product of what its distinct matches leave open.
 
 Cases: null and empty texts, and texts without matches, get the share of toxic rows among sample texts without matches;
@@ -29,8 +30,8 @@ from .levenshtein import Tables, classes
 SAMPLE = 10_000
 #: Lengths of the word beginnings that are counted.
 STEMS = range(4, 9)
-#: Least share of toxic texts among the texts that have a term, and of texts with the term among the toxic ones.
-PURE, SUPPORT = 0.98, 0.01
+#: A single finer term replaces a beginning if it keeps this share of the evidence.
+FINER = 0.9
 #: A match whose precision lifts the sample's share of toxic texts by less than this says nothing.
 LIFT = 0.3
 #: Characters of context on either side.
@@ -74,19 +75,19 @@ def _quoted(text: str, start: int, end: int, low: int, high: int) -> bool:
 
 
 def matches(column, lexicon: Tables, lut: np.ndarray) -> Iterator[tuple[int, set[int]]]:
-    """(row, features) of the rows with a match; a feature is 4 * term + 2 * edits + quoted."""
+    """(row, features) of the rows with a match; a feature is 8 * term + 4 * edits + 2 * quoted + again (two or more such words)."""
     for base, data, offsets in utf8_slices(column, 1 << 20):
         if not len(data):
             continue
         text, own, starts, ends, heads = _words(data, offsets, lut)
         found = lexicon.walk(own, starts, ends)
-        rows: dict[int, set[int]] = {}
+        rows: dict[int, Counter] = {}
         hits = np.flatnonzero(found >= 0)
         owner = np.searchsorted(heads, starts[hits], side="right") - 1
         for h, row in zip(hits.tolist(), owner.tolist(), strict=True):
             quoted = _quoted(text, int(starts[h]), int(ends[h]), int(heads[row]), int(heads[row + 1]))
-            rows.setdefault(base + row, set()).add(2 * int(found[h]) + quoted)
-        yield from rows.items()
+            rows.setdefault(base + row, Counter())[2 * int(found[h]) + quoted] += 1
+        yield from ((row, {2 * f + (n > 1) for f, n in seen.items()}) for row, seen in rows.items())
 
 
 def _family(text: str) -> Column:
@@ -105,49 +106,70 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").select("text", "label"), "labelled")
 
 
+#: Texts whose record may make a term: all that have it, those with it outside quotation, those with it twice or more there.
+KINDS = ("all", "plain", "again")
+
+
 def _count_keys(batches: Iterator) -> Iterator:
-    """For each batch: key, whole, and the numbers of its toxic and other texts that have it."""
+    """For each batch: key, whole, and the numbers of its toxic and other texts that have it, by KINDS."""
     import pyarrow as pa
 
     lut = classes({})
     for batch in batches:
         label = batch.column(1).to_pylist()
-        counts: Counter = Counter()
+        counts: dict[tuple[str, bool], list[int]] = {}
         for base, data, offsets in utf8_slices(batch.column(0), 1 << 20):
-            text, _, starts, ends, heads = _words(data, offsets, lut)
-            text = text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+            original, _, starts, ends, heads = _words(data, offsets, lut)
+            text = original.lower() if len(original.lower()) == len(original) else "".join(c.lower() if len(c.lower()) == 1 else c for c in original)
             upto = np.searchsorted(starts, heads)
             for i in range(len(heads) - 1):
-                words = {text[starts[w] : ends[w]] for w in range(upto[i], upto[i + 1])}
-                keys = {(w, True) for w in words if 3 <= len(w) <= 24} | {(w[:n], False) for w in words for n in STEMS if len(w) >= n}
+                low, high = int(heads[i]), int(heads[i + 1])
+                own = [(text[starts[w] : ends[w]], int(starts[w]), int(ends[w])) for w in range(upto[i], upto[i + 1])]
+                every = Counter(w for w, _, _ in own)
+                plain = every
+                if sum(original.count(q, low, high) for q in QUOTES) > 1:  # else nothing is quoted
+                    plain = Counter(w for w, a, b in own if not _quoted(original, a, b, low, high))
+                kinds = [Counter(), Counter()]
+                for kind, words in zip(kinds, (every, plain), strict=True):
+                    for w, n in words.items():
+                        if 3 <= len(w) <= 24:
+                            kind[w, True] += n
+                        for size in STEMS:
+                            if len(w) >= size:
+                                kind[w[:size], False] += n
                 toxic = label[base + i] > 0
-                counts.update((k, whole, toxic) for k, whole in keys)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _, _ in counts], pa.string()), pa.array([w for _, w, _ in counts], pa.bool_()), pa.array([n * t for (_, _, t), n in counts.items()], pa.int64()), pa.array([n * (not t) for (_, _, t), n in counts.items()], pa.int64())],
-            names=["key", "whole", "toxic", "other"],
-        )
-
-
-def _pick(rows: list[tuple[str, bool, int]]) -> list[tuple[str, bool]]:
-    """Of the telling keys (key, whole, toxic texts) the lexicon: each family of beginnings by its longest beginning that
-    keeps nine tenths of its texts; as a whole word if nearly all its texts have just that word."""
-    stem = {k: n for k, whole, n in rows if not whole}
-    word = {k: n for k, whole, n in rows if whole}
-    out: dict[tuple[str, bool], int] = {}
-    for k, n in sorted(stem.items()):
-        if k[:-1] in stem:
-            continue
-        while kids := [(stem[x], x) for x in stem if len(x) == len(k) + 1 and x.startswith(k) and stem[x] >= 0.9 * n]:
-            k = max(kids)[1]
-        names = [(word[w], w) for w in word if w.startswith(k)]
-        if names and max(names)[0] >= 0.9 * n:
-            out[max(names)[1], True] = n
+                for key in kinds[0]:
+                    row = counts.setdefault(key, [0] * 6)
+                    n = kinds[1][key]
+                    row[not toxic] += 1
+                    row[2 + (not toxic)] += n > 0
+                    row[4 + (not toxic)] += n > 1
+        numbers = [pa.array([n[k] for n in counts.values()], pa.int64()) for k in range(6)]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in counts], pa.string()), pa.array([w for _, w in counts], pa.bool_()), *numbers], names=["key", "whole", *(f"{x}_{k}" for k in KINDS for x in ("toxic", "other"))])
+
+
+def _pick(rows: list[tuple[str, bool, float]], price: float) -> list[tuple[str, bool]]:
+    """Of the telling keys (key, whole, evidence) the lexicon, strongest first.
+
+    A word hangs on its longest beginning, and that on the shorter ones. From the leaves up, a beginning stays as one term, or the terms
+    below it do, whichever has more evidence once each term has paid ``price``; a single finer term is preferred if it keeps FINER of it.
+    """
+    evidence = {(k, whole): g for k, whole, g in rows}
+    best: dict[tuple[str, bool], tuple[float, list[tuple[str, bool]]]] = {}
+    below: dict[tuple[str, bool], list[tuple[str, bool]]] = {}
+    out: list[tuple[str, bool]] = []
+    for key in sorted(evidence, key=lambda x: (-len(x[0]), not x[1], x[0])):  # longer ones first, whole words before beginnings
+        k, whole = key
+        kids = below.get(key, [])
+        finer, terms = sum(best[x][0] for x in kids), [t for x in kids for t in best[x][1]]
+        gain = evidence[key] - price
+        best[key] = (finer, terms) if finer > gain or (len(terms) == 1 and finer >= FINER * gain) else (gain, [key])
+        over = next(((k[:n], False) for n in range(min(len(k), STEMS[-1]) if whole else len(k) - 1, STEMS[0] - 1, -1) if (k[:n], False) in evidence), None)
+        if over is None:
+            out += best[key][1]
         else:
-            out[k, False] = n
-    for w, n in word.items():
-        if not any(w.startswith(k) for k, _ in out):
-            out[w, True] = n
-    return [k for k, _ in sorted(out.items(), key=lambda x: (-x[1], x[0]))]
+            below.setdefault(over, []).append(key)
+    return sorted(out, key=lambda x: (-evidence[x], x))
 
 
 def learn_lexicon(rows: DataFrame) -> list[tuple[str, bool]]:
@@ -157,13 +179,24 @@ def learn_lexicon(rows: DataFrame) -> list[tuple[str, bool]]:
     n_toxic, n_other = size.get(True, 0), size.get(False, 0)
     if not n_toxic or not n_other:
         return []
-    keys = materialize(rows.select("text", "label").mapInArrow(_count_keys, "key string, whole boolean, toxic long, other long").groupBy("key", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "keys")
-    tried = keys.where("toxic + other > 1").count()
-    # so many toxic texts that hardly one key of all those tried would have them by chance
-    least = max(3, SUPPORT * n_toxic, math.ceil(math.log(0.5 / max(tried, 1)) / math.log(n_toxic / (n_toxic + n_other))))
-    telling = keys.where((F.col("toxic") >= least) & (F.col("toxic") >= PURE * (F.col("toxic") + F.col("other"))))
-    rows = telling.collect()  # the labelled sample bounds their number
-    return _pick([(r["key"], r["whole"], r["toxic"]) for r in rows])
+    names = [f"{x}_{k}" for k in KINDS for x in ("toxic", "other")]
+    kind = "key string, whole boolean, " + ", ".join(f"{x} long" for x in names)
+    keys = materialize(rows.select("text", "label").mapInArrow(_count_keys, kind).groupBy("key", "whole").agg(*[F.sum(x).alias(x) for x in names]).where("toxic_all + other_all > 1"), "keys")
+    tried = keys.count()
+    share = n_toxic / (n_toxic + n_other)
+    # a term's price: with it hardly one key of all those tried, in any kind, would pass by chance
+    price = math.log(2 * len(KINDS) * max(tried, 1))
+
+    def evidence(toxic: Column, other: Column) -> Column:
+        """Log-likelihood of the texts' labels at the key's own share of toxic ones over the sample's; null if it lifts too little."""
+        n, zero = toxic + other, F.lit(0.0)
+        own = toxic / n
+        gain = toxic * F.log(own / share) + F.when(other > 0, other * F.log((1 - own) / (1 - share))).otherwise(zero)
+        return F.when((n > 0) & (own - share >= LIFT * (1 - share)), gain)
+
+    best = F.greatest(*[F.coalesce(evidence(F.col(f"toxic_{k}"), F.col(f"other_{k}")), F.lit(0.0)) for k in KINDS])
+    telling = keys.where("toxic_all > 2").select("key", "whole", best.alias("evidence")).where(F.col("evidence") > price).collect()  # the labelled sample bounds their number
+    return _pick([(r["key"], r["whole"], r["evidence"]) for r in telling], price)
 
 
 class Model:
@@ -202,15 +235,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in seen], pa.int32()), pa.array([n * t for (_, t), n in seen.items()], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["feature", "toxic", "n"])
 
     counted = rows.select("text", "label").mapInArrow(count, "feature int, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).collect()
-    counts = {r["feature"]: (r["toxic"], r["n"]) for r in counted}  # at most 4 rows for each term, and one
+    counts = {r["feature"]: (r["toxic"], r["n"]) for r in counted}  # at most 8 rows for each term, and one
     toxic, n = counts.pop(-1, (0, 0))
     base = min(0.4, (toxic + 0.1) / (n + 1.0))
-    kind = {k: (sum(t for f, (t, _) in counts.items() if (f >> 1 & 1, f & 1) == k), sum(m for f, (_, m) in counts.items() if (f >> 1 & 1, f & 1) == k)) for k in PRIOR}
+    kind = {k: [0, 0] for k in PRIOR}
+    for f, (t, m) in counts.items():
+        own = kind[f >> 2 & 1, f >> 1 & 1]
+        own[0], own[1] = own[0] + t, own[1] + m
     prior = {k: (t + 4 * PRIOR[k]) / (m + 4) for k, (t, m) in kind.items()}
     share = rows.agg(F.avg((F.col("label") > 0).cast("double"))).first()[0]
     weight = {}
-    for f in range(4 * len(terms)):
-        k = (f >> 1 & 1, f & 1)
+    for f in range(8 * len(terms)):
+        k = (f >> 2 & 1, f >> 1 & 1)
         t, m = counts.get(f, (0, 0))
         precision = (t + 2 * prior[k]) / (m + 2)
         lift = (precision - share) / (1 - share)
