@@ -55,7 +55,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encode),
 ]
 
-#: The stages' results depend on learnt models and on token merges, which SQL cannot express; tests hold them against brute force.
+#: The stages' results depend on learnt models and on token merges, which SQL cannot express; tests hold the operators,
+#: one by one, against brute force, not the stages' composition.
 ORACLE_SQL: str | None = None
 
 
