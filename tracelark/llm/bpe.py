@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding by a two-tier lookup.
 
 Tier one: a minimal perfect hash over the vocabulary resolves pre-tokens that are tokens themselves. Tier two: a miss is merged
-with a heap of ranked pairs over a linked list of bytes. Each task keeps the results of recent pre-tokens, within a bound.
+with a heap of ranked pairs over a linked list of bytes. No pre-token reaches over white space, so a text is first cut into words with the
+space before them; each task keeps the results of recent words and pre-tokens, within a bound, and frees them when it ends.
 The vocabulary (about 50,000 tokens, under 1 MB) goes to the tasks with the function; texts stay on Spark's Arrow path.
 
 Cases: a null or empty text has no ids (n_tokens 0, the hashes of the empty string); repeated rows are encoded each by itself; an
@@ -14,8 +15,10 @@ import base64
 import gc
 import hashlib
 import heapq
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Pre-tokens in each of the two tables of those used last.
+#: Entries in each of the two tables of the words and pre-tokens used last.
 MEMORY = 150_000
+#: White space of the pattern: a word with the space before it, or a run of white space, as the pattern takes it.
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_UNITS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
 #: Letters and digits that are newer than the tokenizer's own character tables: it takes them for symbols. Fixed values.
 NEWER = (
     (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2),
@@ -97,6 +103,10 @@ class Codec:
         self.newer = regex.compile(f"[{newer}]")
         strict = pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{newer}])").replace(r"?\p{L}+", rf"?[\p{{L}}--[{newer}]]+").replace(r"?\p{N}+", rf"?[\p{{N}}--[{newer}]]+")
         self.find_strict = regex.compile(strict, regex.V1).findall
+        self.forget()
+
+    def forget(self) -> None:
+        """Ids as text, and what they decode to, of words and pre-tokens; the older table goes when the newer one is full."""
         self.recent: dict[str, tuple[str, bytes]] = {}
         self.older: dict[str, tuple[str, bytes]] = {}
 
@@ -105,25 +115,30 @@ class Codec:
 
         The heap holds rank, start and end of each pair in one number.
         """
-        rank, n, push, pop = self.pairs.get, len(piece), heapq.heappush, heapq.heappop
+        rank, two, n, push, pop = self.pairs.get, self.two, len(piece), heapq.heappush, heapq.heappop
+        bits = n.bit_length()
+        mask, high = (1 << bits) - 1, 2 * bits
         end = list(range(1, n + 1))  # of the part that starts here; 0 where none starts
         before = list(range(-1, n - 1))
-        two = self.two
-        heap = [(r << 64) | (i << 32) | (i + 2) for i, r in enumerate(map(two.__getitem__, map(int.__add__, map(_HIGH, piece), piece[1:]))) if r >= 0]
+        heap, left = [], piece[0] << 8
+        for i, byte in enumerate(piece[1:]):
+            if (r := two[left | byte]) >= 0:
+                heap.append((r << high) | (i << bits) | (i + 2))
+            left = byte << 8
         heapq.heapify(heap)
         while heap:
             top = pop(heap)
-            i, to = (top >> 32) & 0xFFFFFFFF, top & 0xFFFFFFFF
+            i, to = (top >> bits) & mask, top & mask
             mid = end[i]
-            if not mid or mid >= n or end[mid] != to:  # one of the two parts has been joined meanwhile
+            if not mid or mid >= to or end[mid] != to:  # one of the two parts has been joined meanwhile
                 continue
             end[i], end[mid] = to, 0
             if to < n:
                 before[to] = i
                 if (r := rank(piece[i : end[to]])) is not None:
-                    push(heap, (r << 64) | (i << 32) | end[to])
+                    push(heap, (r << high) | (i << bits) | end[to])
             if i and (r := rank(piece[before[i] : to])) is not None:
-                push(heap, (r << 64) | (before[i] << 32) | to)
+                push(heap, (r << high) | (before[i] << bits) | to)
         out, i, ranks = [], 0, self.pairs
         while i < n:
             out.append(ranks[piece[i : end[i]]])
@@ -134,31 +149,41 @@ class Codec:
         """The ids of one pre-token as text, and what they decode to."""
         raw = text.encode()
         one = self.whole.get(raw)
-        ids = [one] if one is not None else self.merge(raw)
+        if one is not None:
+            return str(one), self.tokens[one]
+        ids = self.merge(raw)
         return ",".join(map(str, ids)), b"".join([self.tokens[i] for i in ids])
 
     def cut(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")  # quick, and none of the newer letters is in it
-        except UnicodeEncodeError:
-            if self.newer.search(text):
-                return self.find_strict(text)
+        """The pre-tokens of a text."""
+        if not text.isascii() and self.newer.search(text):
+            return self.find_strict(text)
         return self.find(text)
 
+    def word(self, text: str) -> tuple[str, bytes]:
+        """The ids of a word with the space before it, of a pre-token, or of white space, as text, and what they decode to."""
+        got = self.older.get(text)
+        if got is None:
+            cut = self.cut(text)
+            if len(cut) == 1:
+                got = self.piece(text)
+            else:
+                known = self.recent.get
+                parts = [known(p) or self.word(p) for p in cut]
+                got = ",".join([p for p, _ in parts]), b"".join([d for _, d in parts])
+        if len(text) <= 64:
+            if len(self.recent) >= MEMORY:
+                self.older, self.recent = self.recent, {}
+            self.recent[text] = got
+        return got
+
     def pieces(self, text: str) -> list[tuple[str, bytes]]:
-        """For each pre-token its ids as text and what they decode to."""
-        cut = self.cut(text)
-        out = list(map(self.recent.get, cut))
-        for at in [i for i, x in enumerate(out) if x is None]:
-            t = cut[at]
-            got = self.recent.get(t)  # it may have come up meanwhile
-            if got is None:
-                got = self.older.get(t) or self.piece(t)
-                if len(t) <= 64:
-                    if len(self.recent) >= MEMORY:  # keep what was used lately
-                        self.older, self.recent = self.recent, {}
-                    self.recent[t] = got
-            out[at] = got
+        """For each word, or run of white space, its ids as text and what they decode to."""
+        units = _UNITS(text)
+        out = list(map(self.recent.get, units))
+        if None in out:
+            for at in [i for i, x in enumerate(out) if x is None]:
+                out[at] = self.recent.get(units[at]) or self.word(units[at])  # it may have come up meanwhile
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -175,8 +200,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-#: 256 times a byte.
-_HIGH = [b << 8 for b in range(256)].__getitem__
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -189,24 +212,36 @@ def codec(ranks_file: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
+@contextmanager
+def _task(ranks_file, pattern: str) -> Iterator[Codec]:
+    """The codec for one task: what it remembers holds no cycles and is freed at the end."""
+    own, was = codec(ranks_file.value, pattern), gc.isenabled()
+    gc.disable()
+    try:
+        yield own
+    finally:
+        own.forget()
+        if was:
+            gc.enable()
+
+
 def _digests(ranks_file, pattern: str) -> Callable:
     def digests(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own = codec(ranks_file.value, pattern)
-        gc.disable()  # the remembered pre-tokens hold no cycles, and there are many
-        for batch in batches:
-            counts, ids_sha, decoded_sha = [], [], []
-            for text in batch.column(1):
-                pieces = own.pieces(text.as_py() or "")
-                ids = ",".join([p for p, _ in pieces])
-                counts.append(ids.count(",") + 1 if ids else 0)
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                decoded = hashlib.sha256()
-                for at in range(0, len(pieces), 4096):
-                    decoded.update(b"".join([d for _, d in pieces[at : at + 4096]]))
-                decoded_sha.append(decoded.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with _task(ranks_file, pattern) as own:
+            for batch in batches:
+                counts, ids_sha, decoded_sha = [], [], []
+                for text in batch.column(1):
+                    pieces = own.pieces(text.as_py() or "")
+                    ids = ",".join([p for p, _ in pieces])
+                    counts.append(ids.count(",") + 1 if ids else 0)
+                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                    decoded = hashlib.sha256()
+                    for at in range(0, len(pieces), 4096):
+                        decoded.update(b"".join([d for _, d in pieces[at : at + 4096]]))
+                    decoded_sha.append(decoded.hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests
 
@@ -215,9 +250,9 @@ def _ids(ranks_file, pattern: str) -> Callable:
     def ids(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own = codec(ranks_file.value, pattern)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.encode(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        with _task(ranks_file, pattern) as own:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.encode(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return ids
 
