@@ -1,7 +1,8 @@
 """Connected components over a distributed table of links, by alternating large and small stars.
 
-The links stay in Spark: minima are partial aggregates, so a vertex with very many neighbours is no hot spot there, and the
-joins back to the links may be split by the engine. Each round is cut by a checkpoint in the shared folder.
+The links stay in Spark: minima are partial aggregates, so a vertex with very many neighbours is no hot spot there. They are
+cut by a checkpoint in the shared folder before they are joined back, so that the engine sees two plain shuffles and can split
+the links of such a vertex over several tasks. Each round is cut by a checkpoint as well.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     while True:
         # large star: the larger neighbours of a vertex are linked to its smallest neighbour
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        low = checkpoint(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         # small star: a vertex and its smaller neighbours are linked to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("low"))

@@ -28,13 +28,13 @@ from .components import components
 from .shingles import U, sets, splitmix
 from .trie_join import groups
 
-#: Elements of the sets that one trie holds at most (8 bytes each).
-BLOCK_TOKENS = 1_000_000
+#: Elements of the sets that one trie holds at most (8 bytes each); a set counts for SET_COST more, for its nodes.
+BLOCK_TOKENS, SET_COST = 1_000_000, 50
 #: A signature of at most FEW elements counts as weak if more than MANY classes have it: such pieces are shared passages, and would
 #: string many unlike documents together into one block.
 FEW, MANY = 4, 2
 #: Sets that a task remembers to have signed.
-SEEN = 300_000
+SEEN = 100_000
 #: Rounds in which large blocks are dealt anew before what is left is compared by pairs of parts.
 DEALS = 3
 
@@ -128,7 +128,7 @@ def _sign(k: int, num: int, den: int) -> Callable:
                 infos.append(f)
                 owners.append(np.full(len(s), h, U))
                 size += len(s)
-                if size > 500_000:
+                if size > 200_000:
                     yield rows()
                     sigs, infos, owners, size = [], [], [], 0
             if sigs:
@@ -201,7 +201,7 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     kept = materialize(kept.select("sig", "id", F.min("id").over(by_sig).alias("first")), "kept")
     block = components(kept.select("id", "first"), "id", "first").withColumnRenamed("root", "block")
     sized = block.join(classes.select("id", "n"), "id")
-    parts = sized.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
+    parts = sized.groupBy("block").agg(F.ceil(F.sum(F.col("n") + SET_COST) / (BLOCK_TOKENS + SET_COST)).alias("parts"))
     sized = materialize(sized.join(parts, "block").select("id", "n", "block", "parts"), "blocks")
 
     def deal(ids: DataFrame, seed: int) -> DataFrame:

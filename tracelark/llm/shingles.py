@@ -9,6 +9,8 @@ import numpy as np
 from .common import utf8_slices
 
 U = np.uint64
+#: Bytes of texts that are hashed at a time: about ten arrays of eight bytes for each are held meanwhile.
+SLICE = 1 << 18
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -53,7 +55,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def sets(column, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct hashes) for each text: its k-word shingles, or the whole sequence as one if it has fewer words."""
-    for base, data, offsets in utf8_slices(column, 1 << 20):
+    for base, data, offsets in utf8_slices(column, SLICE):
         words, upto = word_hashes(data, offsets)
         with np.errstate(over="ignore"):
             acc = splitmix(words[: max(0, len(words) - k + 1)] ^ U(k))
