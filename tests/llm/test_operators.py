@@ -391,28 +391,37 @@ def test_toxicity_learns_words_beginnings_and_misspellings(spark, bad, empty):
 # --- 8 suffix dedup
 
 
-def brute_repeats(rows, length):
+def covered(raw, length, seen):
+    cover = bytearray(len(raw))
+    for s in range(len(raw) - length + 1):
+        if seen[raw[s : s + length]] > 1:
+            cover[s : s + length] = b"\1" * length
+    return cover
+
+
+def brute_repeats(rows, length, passage):
     raw = [(i, (t or "").encode()) for i, t, *_ in rows]
-    seen = Counter(b[s : s + length] for _, b in raw for s in range(len(b) - length + 1))
+    seen = {n: Counter(b[s : s + n] for _, b in raw for s in range(len(b) - n + 1)) for n in (length, passage)}
     out = []
     for i, b in raw:
-        cover = bytearray(len(b))
-        for s in range(len(b) - length + 1):
-            if seen[b[s : s + length]] > 1:
-                cover[s : s + length] = b"\1" * length
+        cover = covered(b, length, seen[length])
         kept = bytes(x for x, c in zip(b, cover, strict=True) if not c)
-        out.append((i, len(b), sum(cover), sum(bool(c) and (p == 0 or not cover[p - 1]) for p, c in enumerate(cover)), hashlib.sha256(kept).hexdigest()))
+        runs = [m.span() for m in re.finditer(b"\1+", covered(b, passage, seen[passage]))]
+        words = [sum(x <= m.start() and m.end() <= y for m in re.finditer(rb"[^\x20\x09-\x0d]+", b)) for x, y in runs]
+        row = (i, len(b), sum(cover), sum(bool(c) and (p == 0 or not cover[p - 1]) for p, c in enumerate(cover)), hashlib.sha256(kept).hexdigest())
+        out.append((*row, max((y - x for x, y in runs), default=0), sum(w > 50 for w in words)))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("length", "crowd"), [(400, 20_000), (60, 20_000), (60, 3)])
-def test_repeats_equal_brute_force(docs, corpus, monkeypatch, length, crowd):
+@pytest.mark.parametrize(("length", "passage", "crowd"), [(400, 200, 4_000), (60, 60, 4_000), (120, 50, 0)])
+def test_repeats_equal_brute_force(docs, corpus, monkeypatch, length, passage, crowd):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
-    assert sorted((tuple(r) for r in suffix_dedup.digest(docs, length).collect()), key=str) == brute_repeats(corpus, length)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 20_000)
+    assert sorted((tuple(r) for r in suffix_dedup.digest(docs, length, passage).collect()), key=str) == brute_repeats(corpus, length, passage)
 
 
-@pytest.mark.parametrize("crowd", [20_000, 3])
+@pytest.mark.parametrize("crowd", [4_000, 0])
 def test_first_copies_stay(docs, corpus, monkeypatch, crowd):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     length, seen, want = 60, set(), {}
@@ -428,16 +437,52 @@ def test_first_copies_stay(docs, corpus, monkeypatch, crowd):
     assert all(r["n_chars"] == (len(r["text"]) if want[i] != corpus[i][1] else 7) for i, r in got.items())
 
 
+@pytest.mark.parametrize("first", [False, True])
+def test_factors_equal_brute_force(first):
+    """Longest previous and other factors of random segments, periodic ones and ones cut short by a text's end among them."""
+    rng = random.Random(3)
+    for _ in range(200):
+        alphabet, low = rng.choice(["ab", "abc", "abcdefgh", "a"]), rng.choice([3, 5, 9])
+        levels = tuple(sorted({low, rng.choice([low, low + 2, 2 * low, 4 * low])}))
+        base, pieces = "".join(rng.choice(alphabet) for _ in range(60)), []
+        for i in range(rng.randint(2, 8)):
+            at, n = rng.randrange(30), rng.randint(low, low + 25)
+            p = list(base[at : at + n]) if rng.random() < 0.7 else [rng.choice(alphabet) for _ in range(n)]
+            if rng.random() < 0.4:
+                p[rng.randrange(len(p))] = "z"
+            pieces.append((10 * rng.randint(0, 3) + i, rng.randint(0, 5), rng.randint(1, len(p) - low + 1), "".join(p).encode()))
+        strings = [(i, s + o, p[o:]) for i, s, n, p in pieces for o in range(n)]
+        want = {
+            (i, s, level)
+            for level, length in enumerate(levels)
+            for x, (i, s, t) in enumerate(strings)
+            for y, (j, r, u) in enumerate(strings)
+            if x != y and len(t) >= length and t[:length] == u[:length] and (not first or (j, r) < (i, s))
+        }
+        assert {(i, s, level) for i, a, b, level in suffix_dedup.factor_runs(pieces, levels, first) for s in range(a, b + 1)} == want
+
+
+def test_longest_factors_of_one_text():
+    rng = random.Random(4)
+    for _ in range(30):
+        text = "".join(rng.choice("ab") for _ in range(rng.randint(2, 120))).encode()
+        starts = np.arange(len(text))
+        got = suffix_dedup.Factors(np.frombuffer(text + suffix_dedup.END, np.uint8), starts, starts, len(text) - starts, 50)
+        common = lambda i, j, text=text: next((k for k in range(50) if i + k >= len(text) or j + k >= len(text) or text[i + k] != text[j + k]), 50)
+        assert got.previous.tolist() == [max((common(i, j) for j in range(i)), default=0) for i in range(len(text))]
+        assert got.other.tolist() == [max((common(i, j) for j in range(len(text)) if j != i), default=0) for i in range(len(text))]
+
+
 def test_suffix_dedup_copes(spark, bad, empty):
     from .conftest import BAD
 
-    assert sorted((tuple(r) for r in suffix_dedup.digest(bad, 400).collect()), key=str) == brute_repeats(BAD, 400)
+    assert sorted((tuple(r) for r in suffix_dedup.digest(bad, 400, 200).collect()), key=str) == brute_repeats(BAD, 400, 200)
     assert suffix_dedup.digest(empty).count() == 0 and suffix_dedup.cleaned(empty).columns == empty.columns
     assert suffix_dedup.cleaned(bad, 400).count() == 8
     text = "".join(random.Random(1).choice("abc") for _ in range(500))
     rows = [(None, text), (7, text + "x"), (7, "y" + text), (None, "z" + text)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((tuple(r) for r in suffix_dedup.digest(df, 400).collect()), key=str) == brute_repeats(rows, 400)
+    assert sorted((tuple(r) for r in suffix_dedup.digest(df, 400, 200).collect()), key=str) == brute_repeats(rows, 400, 200)
 
 
 # --- 9 nearest neighbours

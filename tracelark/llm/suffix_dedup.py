@@ -1,21 +1,22 @@
-"""Removal of long repeated byte strings by suffix order.
+"""Removal of long repeated byte strings by suffix order and longest previous factors.
 
 A string of ``length`` bytes is repeated if it also starts somewhere else. To find all of them without sorting every suffix of the corpus:
 
-1. Anchors. Of each ``length``-byte string the 64-byte gram with the smallest hash is its anchor; equal strings have equal anchors
-   at equal places. Only anchors seen twice can belong to a repeat. Texts that are equal as a whole are one text
-   from here on, whatever their number.
-2. Around each shared anchor the strings it is the anchor of lie in one segment of at most 2 * length bytes. Segments are
-   dealt by anchor, so all places of a string meet in one task, and joined there into blocks.
-3. In a block the suffixes are sorted by their first ``length`` bytes (doubling), ties by place. In that order the previous smaller place
-   of the longest-previous-factor array is the neighbour before, so a start whose previous factor reaches ``length``
-   repeats an earlier string, and a start with a next one is repeated by a later string.
-4. An anchor with more than ``CROWD`` places would fill a task. Its strings are compared by two 64-bit hashes
-   that Spark counts with map-side sums instead; nothing is left out.
+1. Anchors. Of each string of the smallest length asked for (``levels[0]``) the gram with the smallest hash is its anchor; equal strings
+   have equal anchors at equal places. Consecutive starts with one anchor are a segment: they and the bytes their strings reach
+   over, up to the largest length asked for. Texts that are equal as a whole are one text from here on, whatever their number.
+2. Only anchors seen twice can belong to a repeat. Equal segments are counted by hash, without their bytes: all strings of a segment that
+   stands twice are repeats. Of equal segments one goes on, and only where its anchor has unlike segments.
+3. These are dealt by anchor, so all places of a string meet in one task, and joined there into blocks. In a block the suffixes that begin
+   at the starts are sorted by their first bytes (up to the largest length), with the longest common prefixes of neighbours.
+   The previous and next smaller places in that order give every start its longest previous factor; the neighbours on
+   either side, whatever their place, give its longest other match (``Factors``).
+4. An anchor with more than ``CROWD`` unlike segments (the edge of a passage that very many texts share) would fill a task. Its strings
+   are compared by two 64-bit hashes that Spark counts with map-side sums instead; nothing is left out.
 
 ``keep="none"`` removes every occurrence, ``keep="first"`` all but the first in order of doc_id and place.
 
-Cases: a null text is empty; texts shorter than ``length`` lose nothing; repeated rows (equal doc_id and text) are different places
+Cases: a null text is empty; texts shorter than a length lose nothing at it; repeated rows (equal doc_id and text) are different places
 for ``keep="none"`` and one place for ``keep="first"``, which keeps them all; rows without a doc_id come last, in order of a
 hash of the text; one doc_id may have several texts; an empty table gives no rows; extra columns are ignored by the query and kept by ``cleaned``.
 """
@@ -30,17 +31,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_parts, table, utf8_slices
-from .shingles import U, splitmix
+from .shingles import _SPACES, U, splitmix
 
 LENGTH = 400
-#: Bytes of a gram for a string of LENGTH; shorter strings take a sixth.
+#: Bytes from which a repeated string counts as part of a passage, and words that a passage has more of.
+PASSAGE, PASSAGE_WORDS = 200, 50
+#: Bytes of a gram at most; shorter strings take a sixth.
 GRAM = 64
-#: Places of one anchor that one task sorts at most (segments of under 2 * length bytes each, equal ones once: 16 MB for 400).
-CROWD = 20_000
+#: Unlike segments of one anchor that one task sorts at most (of under levels[0] + levels[-1] bytes each: 2.4 MB for 400).
+CROWD = 4_000
 #: Bytes that one suffix sort takes at most (one anchor's segments stay together).
-BLOCK = 1_500_000
-#: Bytes of a text that are hashed at a time.
-CHUNK = 1 << 20
+BLOCK = 1_200_000
+#: Bytes of texts that are hashed at a time.
+CHUNK = 1 << 18
+#: In no text encoded as UTF-8: ends a segment.
+END = b"\xff"
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -63,253 +68,265 @@ def powers(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
+def running(data: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """Running sums from which ``hashes`` are taken (base is odd, so its powers can be undone)."""
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * powers(base, len(data)))])
+
+
+def hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each pair."""
+    with np.errstate(over="ignore"):
+        return splitmix((sums[end] - sums[start]) * powers(pow(base, -1, 1 << 64), len(sums))[start])
+
+
 def gram_hashes(data: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
-    """A 64-bit hash of data[i:i+k] for each i, from one running sum (base is odd, so its powers can be undone)."""
+    """A 64-bit hash of data[i:i+k] for each i."""
     n = len(data)
     if n < k:
         return np.zeros(0, U)
+    sums = running(data, base)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * powers(base, n))])
         return splitmix((sums[k:] - sums[:-k]) * powers(pow(base, -1, 1 << 64), n - k + 1))
 
 
 def window_minima(h: np.ndarray, w: int) -> np.ndarray:
-    """Place of the smallest entry (the first of equals) of every window of w entries."""
+    """Place of the smallest entry of every window of w entries, by their upper bits; the first of equals."""
     n = len(h)
+    bits = U(max(1, n - 1).bit_length())
+    key = (h >> bits << bits) | np.arange(n, dtype=U)
     pad = -n % w
-    full = np.concatenate([h, np.full(pad, np.iinfo(np.uint64).max, U)]) if pad else h
-    rows = full.reshape(-1, w)
+    rows = (np.concatenate([key, np.full(pad, np.iinfo(np.uint64).max, U)]) if pad else key).reshape(-1, w)
     left = np.minimum.accumulate(rows, axis=1).ravel()
     right = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(right[: n - w + 1], left[w - 1 : n])
-    change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    # the windows of one run share the value; its places are those of h with that value in reach
-    out = np.empty(n - w + 1, np.int64)
-    ends = np.concatenate([change[1:], [n - w + 1]])
-    for a, b in zip(change.tolist(), ends.tolist(), strict=True):
-        own = np.flatnonzero(h[a : b + w - 1] == least[a]) + a
-        out[a:b] = own[np.searchsorted(own, np.arange(a, b))] if len(own) > 1 else own[0]
-    return out
+    return (np.minimum(right[: n - w + 1], left[w - 1 : n]) & ((U(1) << bits) - U(1))).astype(np.int64)
+
 
+def segments(data: np.ndarray, offsets: np.ndarray, levels: tuple[int, ...], gram: int) -> tuple[np.ndarray, ...]:
+    """Segments of the texts data[offsets[i]:offsets[i+1]]: text, anchor's hash, first start, number of starts, bytes and hash of the segment.
 
-def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash, place, first and last start of the strings it is the anchor of; chunk by chunk with the same result as at once."""
-    w = length - gram + 1
+    The work goes on chunk by chunk; a segment on the border of two chunks is two segments.
+    """
+    low, high = levels[0], levels[-1]
     found: list[tuple[np.ndarray, ...]] = []
-    at, n = 0, len(data)
-    while at + length <= n:
-        part = data[at : at + CHUNK + length - 1]
-        h = gram_hashes(part, gram)
-        least = window_minima(h, w)
-        edge = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        last = np.concatenate([edge[1:], [len(least)]]) - 1
-        found.append((h[least[edge]], least[edge] + at, edge + at, last + at))
-        at += CHUNK
+    for at in range(0, max(0, len(data) - low + 1), CHUNK):
+        part = data[at : at + CHUNK + low + high]
+        n = min(CHUNK, len(data) - low + 1 - at)  # starts
+        sums = running(part)
+        with np.errstate(over="ignore"):
+            h = splitmix((sums[gram : n + low] - sums[: n + low - gram]) * powers(pow(_BASE, -1, 1 << 64), n + low - gram))
+        place = window_minima(h, low - gram + 1)
+        start = np.arange(at, at + n)
+        text = np.searchsorted(offsets, start, side="right") - 1
+        end = offsets[text + 1]
+        fits = np.flatnonzero(end - start >= low)
+        if not len(fits):
+            continue
+        own = place[fits]
+        edge = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (np.diff(fits) > 1)]))
+        first, last = fits[edge], fits[np.concatenate([edge[1:], [len(fits)]]) - 1]
+        stop = np.minimum(last + high, end[first] - at)
+        found.append((text[first], h[own[edge]], first + at - offsets[text[first]], last - first + 1, stop - first, hashes(sums, first, stop)))
     if not found:
-        return tuple(np.zeros(0, t) for t in (U, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, U, np.int64, np.int64, np.int64, U))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _scan(length: int, gram: int) -> Callable:
+def _word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    full = ~_SPACES[data]
+    first = full.copy()
+    first[1:] &= ~full[:-1]
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    first[heads] = full[heads]
+    upto = np.concatenate([[0], np.cumsum(first)])
+    return upto[offsets[1:]] - upto[offsets[:-1]]
+
+
+_SCANNED = "key long, doc_id long, n_bytes long, n_words long, sha string, h array<long>, first array<int>, n array<int>, size array<int>, ph array<long>"
+
+
+def _scan(levels: tuple[int, ...], gram: int) -> Callable:
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            ids, sizes, shas, hs, at = batch.column(0), [], [], [], []
-            ps, lows, highs = [], [], []
-            for base, data, offsets in utf8_slices(batch.column(1)):
-                for i in range(len(offsets) - 1):
-                    own = data[offsets[i] : offsets[i + 1]]
-                    h, p, a, b = anchors(own, length, gram)
-                    at.append(base + i)
-                    sizes.append(len(own))
-                    shas.append(hashlib.sha256(own.tobytes()).hexdigest())
-                    hs.append(h.view(np.int64))
-                    ps.append(p)
-                    lows.append((p - a).astype(np.int32))
-                    highs.append((b - a).astype(np.int32))
-            if not at:
-                continue
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in hs])]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (hs, ps, lows, highs)]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(sizes, pa.int64()), pa.array(shas), *lists], names=["doc_id", "n_bytes", "sha", "h", "p", "back", "span"])
+            for base, data, offsets in utf8_slices(batch.column(2), CHUNK):
+                rows = len(offsets) - 1
+                text, h, first, n, size, ph = segments(data, offsets, levels, gram)
+                ends = pa.array(np.searchsorted(text, np.arange(rows + 1)).astype(np.int32))
+                columns = (h.view(np.int64), first.astype(np.int32), n.astype(np.int32), size.astype(np.int32), ph.view(np.int64))
+                shas = [hashlib.sha256(data[offsets[i] : offsets[i + 1]]).hexdigest() for i in range(rows)]
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in columns]
+                plain = [pa.array(np.diff(offsets).astype(np.int64)), pa.array(_word_counts(data, offsets).astype(np.int64)), pa.array(shas)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, rows), batch.column(1).slice(base, rows), *plain, *lists], names=[x.split(" ")[0] for x in _SCANNED.split(", ")])
 
     return scan
 
 
-def _segments(length: int, gram: int) -> Callable:
-    """Rows (id, text, list of anchors) -> a row for each anchor: h, id, first start, number of starts, the segment's bytes.
+def _cut(batches: Iterator) -> Iterator:
+    """Rows (id, text, list of segments) -> a row for each segment: anchor, id, first start, number of starts, crowded, its bytes."""
+    import pyarrow as pa
+
+    names, kinds = ["h", "id", "first", "n", "crowd", "piece"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    for batch in batches:
+        out, size = [], 0
+        for i, text, marks in zip(*[batch.column(k) for k in range(3)], strict=True):
+            raw, i = text.as_py().encode(), i.as_py()
+            for m in marks.as_py():
+                out.append((m["h"], i, m["first"], m["n"], m["crowd"], raw[m["first"] : m["first"] + m["size"]]))
+                size += m["size"]
+            if size > 4_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+                out, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+
+
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Dense ranks of the keys; equal keys have equal ranks."""
+    order = np.argsort(key)
+    ordered = key[order]
+    changes = np.zeros(len(order), np.int32)
+    np.not_equal(ordered[1:], ordered[:-1], out=changes[1:], casting="unsafe")
+    np.cumsum(changes, out=changes)
+    out = np.empty(len(order), np.int32)
+    out[order] = changes
+    return out
 
-    From the third place of equal segments in a text on, the starts are repeats whatever other texts hold: they are
-    joined into rows without bytes, so that a text of one repeated pattern does not give a segment for each of its bytes.
-    """
 
-    def cut(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def prefix_ranks(data: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
+    """(k, ranks of the first k bytes of every suffix of k bytes or more) for growing k, up to the last k below ``most``.
 
-        for batch in batches:
-            out: list[tuple] = []
-            ids, marks, size = batch.column(0).to_pylist(), batch.column(2), 0
-            for base, data, offsets in utf8_slices(batch.column(1)):
-                for i in range(len(offsets) - 1):
-                    own = data[offsets[i] : offsets[i + 1]].tobytes()
-                    times: dict[bytes, int] = {}
-                    known: list[list[int]] = []
-                    for m in sorted(marks[base + i].as_py(), key=lambda m: m["p"] - m["back"]):
-                        first = m["p"] - m["back"]
-                        piece = own[first : first + m["span"] + length]
-                        times[piece] = times.get(piece, 0) + 1
-                        if times[piece] > 2:
-                            if known and first <= known[-1][1] + 1:
-                                known[-1][1] = max(known[-1][1], first + m["span"])
-                            else:
-                                known.append([first, first + m["span"]])
-                            continue
-                        out.append((m["h"], ids[base + i], first, m["span"] + 1, m["back"], m["crowd"], piece))
-                        size += len(piece)
-                    out += [(0, ids[base + i], a, b - a + 1, 0, False, None) for a, b in known]
-                    if size > 4_000_000:
-                        yield _batch(out)
-                        out, size = [], 0
-            if out:
-                yield _batch(out)
-
-    def _batch(rows: list[tuple]):
-        import pyarrow as pa
+    Each step joins the ranks of two or three strings that follow one another.
+    """
+    bits = len(data).bit_length()
+    times = 3 if 3 * bits <= 63 else 2
+    steps = [most]
+    while steps[-1] > 7:
+        steps.append(-(-steps[-1] // times))
+    k = steps[-1]
+    key = np.zeros(len(data) - k + 1, np.int64)
+    for j in range(k):
+        key = (key << 8) | data[j : len(data) - k + 1 + j]
+    out = [(k, _ranks(key))]
+    for to in steps[-2:0:-1]:
+        out.append((to, _ranks(_joined(*out[-1], to, np.arange(len(data) - to + 1), times, bits))))
+    return out
 
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(7)], names=["h", "id", "first", "n", "back", "crowd", "piece"])
 
-    return cut
+def _joined(k: int, ranks: np.ndarray, to: int, at: np.ndarray, times: int, bits: int) -> np.ndarray:
+    """Keys of the first ``to`` bytes at the places ``at``, from the ranks of k bytes."""
+    key = ranks[at].astype(np.int64)
+    for j in range(1, times):
+        key = (key << bits) | ranks[at + min(j * k, to - k)]
+    return key
 
 
-def truncated_classes(data: np.ndarray, length: int) -> np.ndarray:
-    """For every place the rank of the ``length`` bytes that start there, by doubling; places too near the end get -1.
+class Factors:
+    """Suffix order of some starts in ``data``, truncated to ``most`` bytes, and their longest factors.
 
-    The order of the ranks is the suffix order truncated to ``length``; equal strings have equal ranks.
+    ``place`` orders the starts: of equal strings the one with the smallest place is the first. ``previous`` is the length of the longest
+    string at the start that also begins at a smaller place, ``other`` of the longest that begins at any other; neither counts bytes
+    beyond ``room`` (those left in the start's own segment).
     """
 
-    def rank(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key)
-        ordered = key[order]
-        del key
-        changes = np.zeros(len(order), np.int32)
-        np.not_equal(ordered[1:], ordered[:-1], out=changes[1:], casting="unsafe")
-        del ordered
-        np.cumsum(changes, out=changes)
-        out = np.empty(len(order), np.int32)
-        out[order] = changes
-        return out
+    def __init__(self, data: np.ndarray, starts: np.ndarray, place: np.ndarray, room: np.ndarray, most: int):
+        data = np.concatenate([data, np.full(2 * most, 0xFF, np.uint8)])
+        self.data, self.most = data, most
+        self.levels = prefix_ranks(data, most)
+        bits = len(data).bit_length()
+        k, ranks = self.levels[-1]
+        key = _joined(k, ranks, most, starts, 3 if 3 * bits <= 63 else 2, bits) if k < most else ranks[starts].astype(np.int64)
+        self.order = order = np.lexsort((place, key))
+        n = len(order)
+        at, left = starts[order], np.minimum(room[order], most)
+        common = np.zeros(n + 1, np.int64)  # with the neighbour before; none before the first and after the last
+        if n > 1:
+            same = key[order[1:]] == key[order[:-1]]
+            common[1:n] = np.minimum(np.where(same, most, self._common(at[:-1], at[1:])), np.minimum(left[1:], left[:-1]))
+        longest = np.maximum(common[:n], common[1:])
+        ahead = np.maximum(_smaller(place[order], common[:n]), _smaller(place[order][::-1], common[:0:-1])[::-1])
+        self.other, self.previous = np.empty(n, np.int64), np.empty(n, np.int64)
+        self.other[order], self.previous[order] = longest, ahead
+
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Longest common prefixes of the suffixes at a and b, by descending through the levels, up to ``most``."""
+        off = np.zeros(len(a), np.int64)
+        for k, ranks in reversed(self.levels):
+            for _ in range(2):
+                todo = off < self.most
+                off += k * (todo & (ranks[a + off * todo] == ranks[b + off * todo]))
+        for _ in range(self.levels[0][0] - 1):
+            off += (off < self.most) & (self.data[a + off] == self.data[b + off])
+        return np.minimum(off, self.most)
+
+
+def _smaller(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For entries in suffix order the common prefix with the nearest one before that has a smaller place (0: none).
+
+    ``common`` is that with the neighbour before. All entries jump at once: while the place found is not smaller, an entry takes
+    over what that one has found, since all in between have larger places still.
+    """
+    n = len(place)
+    to, low = np.arange(-1, n - 1), common.copy()
+    todo = np.arange(n)
+    while True:
+        todo = todo[to[todo] >= 0]
+        todo = todo[place[to[todo]] > place[todo]]
+        if not len(todo):
+            return np.where(to >= 0, low, 0)
+        over = to[todo]
+        low[todo], to[todo] = np.minimum(low[todo], low[over]), to[over]
+
+
+def factor_runs(pieces: list[tuple[int, int, int, bytes]], levels: tuple[int, ...], first: bool) -> list[tuple[int, int, int, int]]:
+    """Of unlike segments (id, first start, number of starts, bytes) the runs (id, from, to, level) of starts that are repeats.
+
+    With ``first`` those whose longest previous factor reaches the level's length; otherwise those with any other match of that length.
+    """
+    sizes = np.array([len(p[3]) + 1 for p in pieces])
+    data = np.frombuffer(END.join([p[3] for p in pieces]) + END, np.uint8)
+    heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    n = np.array([p[2] for p in pieces])
+    owner = np.repeat(np.arange(len(pieces)), n)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    ids, firsts = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
+    start = firsts[owner] + offset
+    place = np.empty(len(owner), np.int64)
+    place[np.lexsort((start, ids[owner]))] = np.arange(len(owner))
+    factors = Factors(data, heads[owner] + offset, place, sizes[owner] - 1 - offset, levels[-1])
+    reach = factors.previous if first else factors.other
+    out: list[tuple[int, int, int, int]] = []
+    for level, length in enumerate(levels):
+        hit = np.flatnonzero(reach >= length)
+        if len(hit):
+            edge = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (owner[hit[1:]] != owner[hit[:-1]])]))
+            a, b = hit[edge], hit[np.concatenate([edge[1:], [len(hit)]]) - 1]
+            out += zip(ids[owner[a]].tolist(), start[a].tolist(), start[b].tolist(), [level] * len(a), strict=True)
+    return out
 
-    n = len(data)
-    if n < length:
-        return np.full(n, -1, np.int64)
-    reach = min(7, length)
-    key = np.zeros(n - reach + 1, np.int64)
-    for j in range(reach):
-        key = (key << 8) | data[j : n - reach + 1 + j].astype(np.int64)
-    now = rank(key)
-    while reach < length:
-        step = min(reach, length - reach)
-        m = n - reach - step + 1
-        wide = now[:m].astype(np.int64)
-        wide *= int(now.max()) + 1
-        wide += now[step : step + m]
-        now = rank(wide)
-        reach += step
-    return np.concatenate([now, np.full(n - len(now), -1, np.int32)])
-
-
-def _runs(keys: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(id, first, last) of runs of consecutive starts."""
-    out: list[list[int]] = []
-    for i, s in sorted(set(keys)):
-        if out and out[-1][0] == i and out[-1][2] == s - 1:
-            out[-1][2] = s
-        else:
-            out.append([i, s, s])
-    return [tuple(x) for x in out]
 
+_RUNS = "id long, a long, b long, level int"
 
-def previous_factors(pieces: list[tuple[int, int, int, bytes]], length: int, first: bool) -> list[tuple[int, int, int]]:
-    """Of (id, first start, number of starts, bytes) the runs (id, from, to) of starts that are repeats.
 
-    With ``first`` those whose longest previous factor reaches ``length``; otherwise those with a previous or a next one.
-    Each distinct piece is sorted once; equal pieces are places of the same strings.
-    """
-    places: dict[bytes, list[tuple[int, int, int]]] = {}
-    for i, s, n, piece in pieces:
-        places.setdefault(piece, []).append((i, s, n))
-    distinct = list(places)
-    data = np.frombuffer(b"".join(distinct), np.uint8)
-    heads = np.concatenate([[0], np.cumsum([len(p) for p in distinct])])
-    ranks = truncated_classes(data, length)
-    starts, owner, offset = [], [], []
-    for k, piece in enumerate(distinct):
-        n = len(piece) - length + 1
-        starts.append(np.arange(heads[k], heads[k] + n))
-        owner.append(np.full(n, k))
-        offset.append(np.arange(n))
-    starts, owner, offset = np.concatenate(starts), np.concatenate(owner), np.concatenate(offset)
-    own = ranks[starts]
-    order = np.argsort(own, kind="stable")
-    ordered = own[order]
-    tied = np.zeros(len(order), bool)
-    tied[1:] |= ordered[1:] == ordered[:-1]
-    tied[:-1] |= ordered[1:] == ordered[:-1]
-    shared = np.zeros(len(order), bool)
-    shared[order] = tied  # the string starts in another distinct piece too, or twice in this one
-    out: list[tuple[int, int, int]] = []
-    if not first:
-        by_owner = np.split(shared, np.cumsum([len(p) - length + 1 for p in distinct])[:-1])
-        for k, piece in enumerate(distinct):
-            mine = by_owner[k]
-            if len(places[piece]) > 1:
-                mine = np.ones(len(mine), bool)
-            if mine.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
-                for i, s, _ in places[piece]:
-                    out += [(i, s + a, s + b - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-        return out
-    # earliest place of each string: the first in (id, start) among all places of its class
-    least: dict[int, tuple[int, int]] = {}
-    low = {k: min(places[p])[:2] for k, p in enumerate(distinct)}
-    for r, k, o in zip(own[shared].tolist(), owner[shared].tolist(), offset[shared].tolist(), strict=True):
-        here = (low[k][0], low[k][1] + o)
-        if r not in least or here < least[r]:
-            least[r] = here
-    later: list[tuple[int, int]] = []
-    at = np.concatenate([[0], np.cumsum([len(p) - length + 1 for p in distinct])])
-    for k, piece in enumerate(distinct):
-        mine, mine_ranks = shared[at[k] : at[k + 1]], own[at[k] : at[k + 1]]
-        lowest = low[k]
-        for i, s, n in places[piece]:
-            if (i, s) != lowest:  # another place of the same piece comes before
-                out.append((i, s, s + n - 1))
-            else:
-                later += [(i, s + o) for o in np.flatnonzero(mine).tolist() if least[int(mine_ranks[o])] < (i, s + o)]
-    return out + _runs(later)
-
-
-def _sort(length: int, first: bool) -> Callable:
-    """Rows sorted by anchor -> (id, from, to): runs of starts of repeated strings."""
+def _sort(levels: tuple[int, ...], first: bool) -> Callable:
+    """Rows (h, id, first, n, piece) sorted by anchor -> runs of starts of repeated strings."""
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held: list[tuple[int, int, int, bytes]] = []
+        held: dict[tuple[int, int, int], tuple[int, int, int, bytes]] = {}  # a repeated row brings its segments again
         size, last = 0, None
 
         def flush():
-            out = previous_factors(held, length, first) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["id", "a", "b"])
+            out = factor_runs(list(held.values()), levels, first) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["id", "a", "b", "level"])
 
         for batch in batches:
             for h, i, s, n, piece in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
                 if h != last and size > BLOCK:
                     yield flush()
-                    held, size = [], 0
-                held.append((i, s, n, piece))
+                    held, size = {}, 0
+                held[h, i, s] = i, s, n, piece
                 size += len(piece)
                 last = h
         yield flush()
@@ -317,18 +334,19 @@ def _sort(length: int, first: bool) -> Callable:
     return work
 
 
-def _string_hashes(length: int) -> Callable:
-    """For the segments of crowded anchors every string's two hashes: (g1, g2, id, start)."""
+def _string_hashes(levels: tuple[int, ...]) -> Callable:
+    """For the segments of crowded anchors every string's two hashes: (level, g1, g2, id, start)."""
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for i, s, piece in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+            for i, s, n, piece in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
                 data = np.frombuffer(piece, np.uint8)
-                g1, g2 = gram_hashes(data, length), gram_hashes(data, length, 0xC2B2AE3D27D4EB4F)
-                n = len(g1)
-                yield pa.RecordBatch.from_arrays([pa.array(g1.view(np.int64)), pa.array(g2.view(np.int64)), pa.array(np.full(n, i)), pa.array(np.arange(s, s + n))], names=["g1", "g2", "id", "start"])
+                for level, length in enumerate(levels):
+                    g1, g2 = gram_hashes(data, length)[:n], gram_hashes(data, length, 0xC2B2AE3D27D4EB4F)[:n]
+                    m = len(g1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, level, np.int32)), pa.array(g1.view(np.int64)), pa.array(g2.view(np.int64)), pa.array(np.full(m, i)), pa.array(np.arange(s, s + m))], names=["level", "g1", "g2", "id", "start"])
 
     return work
 
@@ -348,41 +366,53 @@ def _keyed(docs: DataFrame, *extra: Column) -> DataFrame:
     return df.withColumn("key", F.coalesce("doc_id", _late(_sha("text"))))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> tuple[DataFrame, DataFrame]:
-    """(texts, runs): texts has id, key, sha, n_bytes, copies for every distinct text; runs has id, a, b: starts of repeats.
+def repeats(docs: DataFrame, levels: tuple[int, ...] = (LENGTH,), keep: str = "none") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, texts, runs): rows has doc_id, sha, n_bytes and n_words of every row; texts has id, key, sha, n_bytes, copies of every distinct
+    text; runs has id, a, b, level: starts of strings of levels[level] bytes, or more, that are repeats.
 
     ``key`` is the smallest key of the text's rows and ``id`` is the same but for the second text of a key.
     """
-    gram = min(GRAM, max(8, length // 6))
-    scan = _keyed(docs).select("key", "text").mapInArrow(_scan(length, gram), "key long, n_bytes long, sha string, h array<long>, p array<long>, back array<int>, span array<int>")
-    scan = materialize(scan, "anchors")
-    texts = scan.groupBy("sha").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("sha"))
-    texts = materialize(texts.withColumn("id", F.when(nth == 1, F.col("key")).otherwise(_late(F.col("sha")))), "texts")
-    one = scan.where(F.size("h") > 0).join(texts.select("sha", F.col("key").alias("low"), "id"), "sha").where("key = low").dropDuplicates(["sha"])
-    places = one.select("id", "sha", "key", F.explode(F.arrays_zip("h", "p", "back", "span")).alias("m")).select("id", "sha", "key", "m.*")
-    shared = places.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1").withColumn("crowd", F.col("c") > CROWD)
-    marks = shared.groupBy("id", "sha", "key").agg(F.collect_list(F.struct("h", "p", "back", "span", "crowd")).alias("marks"))
-    named = _keyed(docs).select("key", "text").join(materialize(marks, "marks"), "key").where(_sha("text") == F.col("sha"))
-    segments = named.select("id", "text", "marks").mapInArrow(_segments(length, gram), "h long, id long, first long, n int, back int, crowd boolean, piece binary")
-    segments = materialize(segments, "segments")
-    dealt = segments.where("not crowd and piece is not null").select("h", "id", "first", "n", "piece").repartition(shuffle_parts(docs.sparkSession), "h").sortWithinPartitions("h", "id", "first")
-    runs = dealt.mapInArrow(_sort(length, keep == "first"), "id long, a long, b long")
-    runs = runs.unionByName(segments.where("piece is null").select("id", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1).alias("b")))
-    crowded = segments.where("crowd")
+    gram = min(GRAM, max(8, levels[0] // 6))
+    scan = _keyed(docs).select("key", "doc_id", "text").mapInArrow(_scan(levels, gram), _SCANNED)
+    scan = materialize(scan.withColumn("row", F.monotonically_increasing_id()), "anchors")
+    texts = scan.groupBy("sha").agg(F.min(F.struct("key", "row")).alias("low"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
+    nth = F.row_number().over(Window.partitionBy("low.key").orderBy("sha"))
+    texts = texts.select("sha", F.col("low.key").alias("key"), F.col("low.row").alias("row"), "copies", "n_bytes", F.when(nth == 1, F.col("low.key")).otherwise(_late(F.col("sha"))).alias("id"))
+    texts = materialize(texts, "texts")
+    one = scan.where(F.size("h") > 0).join(texts.select("row", "id"), "row")
+    places = materialize(one.select("id", F.explode(F.arrays_zip("h", "first", "n", "size", "ph")).alias("m")).select("id", "m.*"), "places")
+    twice = materialize(places.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
+    shared = materialize(places.join(twice, "h"), "segments")
+    kinds = materialize(shared.groupBy("h", "ph", "n").agg(F.count("*").alias("c"), F.min(F.struct("id", "first", "size")).alias("low")), "kinds")
+    # all strings of a segment that stands twice are repeats
+    equal = shared.join(kinds.where("c > 1").select("h", "ph", "n", "low"), ["h", "ph", "n"])
+    equal = equal.where((F.col("id") != F.col("low.id")) | (F.col("first") != F.col("low.first"))) if keep == "first" else equal
+    ends = [(level, F.col("first") + F.least(F.col("n") - 1, F.col("size") - length)) for level, length in enumerate(levels)]
+    spans = F.array(*[F.struct(F.col("id"), F.col("first").cast("long").alias("a"), b.cast("long").alias("b"), F.lit(level).alias("level")) for level, b in ends])
+    runs = equal.select(F.explode(F.filter(spans, lambda r: r["b"] >= r["a"])).alias("r")).select("r.*")
+    unlike = kinds.groupBy("h").agg(F.count("*").alias("d")).where("d > 1").select("h", (F.col("d") > CROWD).alias("crowd"))
+    marks = kinds.join(unlike, "h").groupBy("low.id").agg(F.collect_list(F.struct("h", "low.first", "n", "low.size", "crowd")).alias("marks"))
+    marks = materialize(marks.join(texts.select("id", "key", "sha"), "id"), "marks")
+    named = _keyed(docs).select("key", "text").join(marks, "key").where(_sha("text") == F.col("sha"))
+    pieces = named.select("id", "text", "marks").mapInArrow(_cut, "h long, id long, first int, n int, crowd boolean, piece binary")
+    pieces = materialize(pieces, "pieces")
+    dealt = pieces.where("not crowd").select("h", "id", "first", "n", "piece").repartition(shuffle_parts(docs.sparkSession), "h").sortWithinPartitions("h", "id", "first")
+    runs = runs.unionByName(dealt.mapInArrow(_sort(levels, keep == "first"), _RUNS))
+    crowded = pieces.where("crowd")
     if crowded.limit(1).count():
-        strings = crowded.select("id", "first", "piece").distinct().mapInArrow(_string_hashes(length), "g1 long, g2 long, id long, start long")
-        counts = strings.groupBy("g1", "g2").agg(F.count("*").alias("c"), F.min(F.struct("id", "start")).alias("least")).where("c > 1")
-        again = strings.join(counts, ["g1", "g2"])
+        strings = crowded.select("id", "first", "n", "piece").distinct().mapInArrow(_string_hashes(levels), "level int, g1 long, g2 long, id long, start long")
+        keys = ["level", "g1", "g2"]
+        counts = materialize(strings.groupBy(*keys).agg(F.count("*").alias("c"), F.min(F.struct("id", "start")).alias("least")).where("c > 1"), "strings")
+        again = strings.join(counts, keys)
         again = again.where((F.col("id") != F.col("least.id")) | (F.col("start") != F.col("least.start"))) if keep == "first" else again
-        runs = runs.unionByName(again.select("id", F.col("start").alias("a"), F.col("start").alias("b")))
-    return texts, materialize(runs.where("a is not null"), "runs")
+        runs = runs.unionByName(again.select("id", F.col("start").alias("a"), F.col("start").alias("b"), "level"))
+    return scan.select("doc_id", "sha", "n_bytes", "n_words"), texts, materialize(runs, "runs")
 
 
-def _covered(runs: list, n_bytes: int, length: int) -> list[tuple[int, int]]:
+def _covered(runs: list[tuple[int, int]], n_bytes: int, length: int) -> list[tuple[int, int]]:
     """Maximal byte runs covered by strings of ``length`` bytes starting in the given runs of starts."""
     out: list[list[int]] = []
-    for a, b in sorted((r["a"], r["b"]) for r in runs):
+    for a, b in sorted(runs):
         a, b = a, min(n_bytes, b + length)
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
@@ -391,15 +421,16 @@ def _covered(runs: list, n_bytes: int, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, with every occurrence of a repeated string removed."""
-    texts, runs = repeats(docs, length, "none")
-    by_text = runs.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    alone = texts.where((F.col("copies") == 1) | (F.col("n_bytes") < length))
-    part = alone.join(by_text, "id").select("key", "sha", "runs")
-    cut = _keyed(docs).select("key", "text").join(part, "key")
+def _words_within(raw: bytes, a: int, b: int) -> int:
+    """Words of the text that lie within raw[a:b] as a whole."""
+    own = raw[a:b]
+    n = len(own.split())
+    n -= n > 0 and a > 0 and not _SPACES[raw[a - 1]] and not _SPACES[own[0]]
+    return n - (n > 0 and b < len(raw) and not _SPACES[raw[b]] and not _SPACES[own[-1]])
+
 
-    def remove(batches: Iterator) -> Iterator:
+def _digest(length: int, passage: int) -> Callable:
+    def digest(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
@@ -408,25 +439,47 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 raw = text.encode()
                 if hashlib.sha256(raw).hexdigest() != sha:  # another text under the same key
                     continue
-                spans, kept, at = _covered(own, len(raw), length), hashlib.sha256(), 0
+                spans, kept, at = _covered([(r["a"], r["b"]) for r in own if r["level"] or passage == length], len(raw), length), hashlib.sha256(), 0
                 for a, b in spans:
                     kept.update(raw[at:a])
                     at = b
                 kept.update(raw[at:])
-                rows.append((sha, sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["sha", "n_removed", "n_spans", "kept"])
+                shared = _covered([(r["a"], r["b"]) for r in own], len(raw), passage)
+                rows.append((sha, sum(b - a for a, b in spans), len(spans), kept.hexdigest(), max((b - a for a, b in shared), default=0), sum(_words_within(raw, a, b) > PASSAGE_WORDS for a, b in shared)))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["sha", "n_removed", "n_spans", "kept", "longest_repeat", "n_passages"])
+
+    return digest
+
 
-    removed = cut.select("text", "sha", "runs").mapInArrow(remove, "sha string, n_removed long, n_spans long, kept string")
+def digest(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, with every occurrence of a repeated string of ``length`` bytes removed.
+
+    Strings of ``passage`` bytes are looked for as well: longest_repeat is the longest run of bytes that they cover, and n_passages the
+    number of such runs with more than fifty words.
+    """
+    passage = min(passage, length)
+    rows, texts, runs = repeats(docs, (passage, length) if passage < length else (length,), "none")
+    by_text = runs.groupBy("id").agg(F.collect_list(F.struct("a", "b", "level")).alias("runs"))
+    alone = texts.where((F.col("copies") == 1) | (F.col("n_bytes") < length))
+    part = materialize(alone.join(by_text, "id").select("key", "sha", "runs"), "cuts")
+    cut = _keyed(docs).select("key", "text").join(part, "key")
+    removed = cut.select("text", "sha", "runs").mapInArrow(_digest(length, passage), "sha string, n_removed long, n_spans long, kept string, longest_repeat long, n_passages long").dropDuplicates(["sha"])
     nothing = hashlib.sha256(b"").hexdigest()
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    info = texts.join(removed, "sha", "left").select(
-        "sha",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+    info = materialize(texts.select("sha", "copies").join(removed, "sha", "left"), "removed")
+    out = rows.join(info, "sha")
+    copied, whole = F.col("copies") > 1, (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+    known = copied & (F.col("n_bytes") >= passage)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.when(whole, F.col("n_bytes")).otherwise(zero("n_removed")).alias("n_removed"),
+        F.when(whole, F.lit(1).cast("long")).otherwise(zero("n_spans")).alias("n_spans"),
         F.when(whole, F.lit(nothing)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(known, F.col("n_bytes")).otherwise(zero("longest_repeat")).alias("longest_repeat"),
+        F.when(known, (F.col("n_words") > PASSAGE_WORDS).cast("long")).otherwise(zero("n_passages")).alias("n_passages"),
     )
-    rows = _keyed(docs).select("doc_id", _sha("text").alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
-    return rows.join(info, "sha").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -436,7 +489,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     there is one, follows the text.
     """
     names = docs.columns
-    texts, runs = repeats(docs, length, "first")
+    _, texts, runs = repeats(docs, (length,), "first")
     part = runs.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("runs")).join(texts, "id").select("key", "sha", "runs")
     # of rows that share a whole text only those with the smallest key stay, if the text is long enough to be a repeat
     several = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("sha", F.col("key").alias("low"))
@@ -454,7 +507,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     out.append(None)
                     continue
                 raw, at, left = text.encode(), 0, []
-                for a, b in _covered(own, len(raw), length):
+                for a, b in _covered([(r["a"], r["b"]) for r in own], len(raw), length):
                     while a < len(raw) and raw[a] & 0xC0 == 0x80:
                         a += 1
                     while b < len(raw) and raw[b] & 0xC0 == 0x80:
