@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Entries in each of the two tables of the words and pre-tokens used last.
 MEMORY = 150_000
@@ -258,6 +258,7 @@ def _ids(ranks_file, pattern: str) -> Callable:
 
 
 def _vocabulary(spark: SparkSession, path: str):
+    small_batches(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())  # the size of one vocabulary file
 
