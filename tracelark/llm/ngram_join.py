@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, release, table
 from .components import components
 from .shingles import U, sets, splitmix
 from .trie_join import groups
@@ -199,6 +199,7 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     aside = aside.where(F.col("n") > F.col("plan") % (1 << 24)).select("id", "plan")  # too few others: these keep their weak ones
     kept = runs.where(~weak).unionByName(runs.where(weak).withColumn("plan", F.shiftright("info", 8)).join(aside, ["id", "plan"], "left_semi").drop("plan"))
     kept = materialize(kept.select("sig", "id", F.min("id").over(by_sig).alias("first")), "kept")
+    release(docs.sparkSession)
     block = components(kept.select("id", "first"), "id", "first").withColumnRenamed("root", "block")
     sized = block.join(classes.select("id", "n"), "id")
     parts = sized.groupBy("block").agg(F.ceil(F.sum(F.col("n") + SET_COST) / (BLOCK_TOKENS + SET_COST)).alias("parts"))
@@ -229,6 +230,7 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     again = full.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("c > 1 and a <> b").select("doc_id")
     tied = ties.join(again, "doc_id").select(F.col("id").alias("u"), F.col("doc_id").alias("v"))
     roots = components(links.unionByName(tied))
+    release(docs.sparkSession)
     named = classes.select("h1", "h2", "id").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("root"))
     out = scan.join(named, ["h1", "h2"], "left")
     own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.least("root", "doc_id"))

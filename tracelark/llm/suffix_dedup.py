@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_parts, table, utf8_slices
+from .common import materialize, release, shuffle_parts, table, utf8_slices
 from .shingles import _SPACES, U, splitmix
 
 LENGTH = 400
@@ -372,6 +372,7 @@ def repeats(docs: DataFrame, levels: tuple[int, ...] = (LENGTH,), keep: str = "n
 
     ``key`` is the smallest key of the text's rows and ``id`` is the same but for the second text of a key.
     """
+    release(docs.sparkSession)
     gram = min(GRAM, max(8, levels[0] // 6))
     scan = _keyed(docs).select("key", "doc_id", "text").mapInArrow(_scan(levels, gram), _SCANNED)
     scan = materialize(scan.withColumn("row", F.monotonically_increasing_id()), "anchors")
@@ -385,6 +386,7 @@ def repeats(docs: DataFrame, levels: tuple[int, ...] = (LENGTH,), keep: str = "n
     shared = materialize(places.join(twice, "h"), "segments")
     kinds = materialize(shared.groupBy("h", "ph", "n").agg(F.count("*").alias("c"), F.min(F.struct("id", "first", "size")).alias("low")), "kinds")
     # all strings of a segment that stands twice are repeats
+    release(docs.sparkSession)
     equal = shared.join(kinds.where("c > 1").select("h", "ph", "n", "low"), ["h", "ph", "n"])
     equal = equal.where((F.col("id") != F.col("low.id")) | (F.col("first") != F.col("low.first"))) if keep == "first" else equal
     ends = [(level, F.col("first") + F.least(F.col("n") - 1, F.col("size") - length)) for level, length in enumerate(levels)]
@@ -406,7 +408,9 @@ def repeats(docs: DataFrame, levels: tuple[int, ...] = (LENGTH,), keep: str = "n
         again = strings.join(counts, keys)
         again = again.where((F.col("id") != F.col("least.id")) | (F.col("start") != F.col("least.start"))) if keep == "first" else again
         runs = runs.unionByName(again.select("id", F.col("start").alias("a"), F.col("start").alias("b"), "level"))
-    return scan.select("doc_id", "sha", "n_bytes", "n_words"), texts, materialize(runs, "runs")
+    runs = materialize(runs, "runs")
+    release(docs.sparkSession)
+    return scan.select("doc_id", "sha", "n_bytes", "n_words"), texts, runs
 
 
 def _covered(runs: list[tuple[int, int]], n_bytes: int, length: int) -> list[tuple[int, int]]:
