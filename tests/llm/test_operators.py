@@ -32,6 +32,7 @@ def test_quality_counts_equal_brute_force(docs, corpus, bad, empty):
                 covered |= {k, k + 1, k + 2}
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(words), sum(map(len, words)), len(lines) - len(set(lines)), len(covered))
+        assert r["n_symbols"] == sum(c in "#*$%&|<>" for c in text)
         assert r["kept"] is False if r["base_failed"] else isinstance(r["kept"], bool)
     rows = quality_rules.judge(bad).collect()
     assert len(rows) == 8 and all(r["base_failed"] for r in rows)
@@ -39,6 +40,29 @@ def test_quality_counts_equal_brute_force(docs, corpus, bad, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_fences_follow_their_group(spark):
+    """What is common in one source is far out in another; the sketches' fences equal those of sorted lists, up to a bucket's width."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):
+        n, code = rng.randint(60, 90), i % 2 == 0
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(6, 14) if code else rng.randint(2, 8))) for _ in range(n)]
+        words = [w + "$" if code and rng.random() < 0.3 else w for w in words]
+        if i in (101, 103):  # prose with the symbols and long words of code
+            words = [w + "abcdefg$" for w in words]
+        rows.append((i, " ".join(words), "en", "code" if code else "prose"))
+    got = by_id(quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert sorted(i for i, r in got.items() if not r["kept"]) == [101, 103]
+    limits = {src: {tuple(r[f"max_{m}"] for m in quality_rules.MEASURES) for r in got.values() if r["source"] == src} for src in ("code", "prose")}
+    assert all(len(x) == 1 for x in limits.values()) and limits["code"] != limits["prose"]
+    for src, fence in limits.items():
+        for (m, (percent, least)), value in zip(quality_rules.MEASURES.items(), next(iter(fence)), strict=True):
+            own = sorted(r[m] for r in got.values() if r["source"] == src)
+            at = lambda p, own=own: own[(len(own) * p + 99) // 100 - 1]
+            want = at(percent) + 3 * max(at(percent) - at(50), least)
+            assert abs(value - want) <= 0.04 * (4 * at(percent) + 3 * at(50)) + 1
+
+
 def test_sketch_buckets_order_numbers_and_keep_small_ones(spark):
     values = sorted({*range(300), *(2**k + d for k in range(6, 40) for d in (-1, 0, 1))})
     rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality_rules.bucket("v").alias("b")).select("v", "b", quality_rules.lower_edge(quality_rules.F.col("b")).alias("low")).orderBy("v").collect()

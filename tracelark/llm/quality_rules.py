@@ -1,13 +1,17 @@
 """Quality rules with adaptive thresholds.
 
-Every document gets a few integer measures. Per language and source, a mergeable quantile sketch of each measure
+Every document gets a few integer measures. Per language and source, a mergeable quantile sketch of each measure over the documents that pass
+the base rule
 (logarithmic buckets with counts: two sketches merge by adding counts, in any order, with the same result)
-gives the quartiles; a fence above them replaces a fixed cutoff, and the documents are joined with the fences of their group.
+gives the median and a high quantile; a fence above it, ``REACH`` times their spread away, replaces a fixed cutoff, and the documents are
+joined with the fences of their group. No cutoff bounds a fence; only the spread has a least value (``MEASURES``), for measures
+that are the same in most documents.
 Groups of fewer than ``MIN_GROUP`` documents use the sketch of their language, and below that the one of the corpus:
 both are merges of the same sketches.
 
 All expressions are Spark's own. Nulls and edge cases: a null text has no words (all measures 0, ``base_failed`` true);
-a null ``lang`` or ``source`` is a group of its own; repeated rows are judged each by itself; an empty table gives no rows;
+a null ``lang`` or ``source`` is a group of its own; a group without a document that passes the base rule has null fences;
+repeated rows are judged each by itself; an empty table gives no rows;
 extra columns are ignored.
 """
 
@@ -22,10 +26,11 @@ MIN_WORDS = 50
 MIN_GROUP = 20
 #: Buckets of the sketch: values below 64 exactly, then 32 buckets for each doubling (an error of at most about 3 %).
 EXACT, FINE = 64, 32
-#: Fence: third quartile + REACH times the spread between the quartiles, and at least FLOOR (per mille of the unit).
-REACH = 3.0
-#: measure -> (lowest upper fence); rates are per 10,000 words (or lines).
-MEASURES = {"symbol_rate": 1500, "dup_line_rate": 5000, "repeat_rate": 3000, "mean_word": 1200}
+#: Fence: a high quantile plus REACH times its distance from the median.
+REACH = 3
+#: measure -> (percent of the high quantile, least spread). Rates are per 10,000 words (or lines), word lengths in hundredths of a
+#: character. Lines and word groups repeat in a few sound documents of every group, so their fences start from further up.
+MEASURES = {"symbol_rate": (90, 200), "dup_line_rate": (99, 100), "repeat_rate": (99, 100), "mean_word": (90, 25)}
 #: Salts by which the rows of one group are spread when they meet their fences.
 SALTS = 16
 
@@ -136,23 +141,25 @@ def merge(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, measure, total, q1, q3. A group has a bounded number of buckets, which are folded in one pass."""
-    rows = sketch.groupBy(*keys, "measure").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"))
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, measure, total, median, high. A group has a bounded number of buckets, which are folded in one pass."""
+    percent = F.create_map(*[x for m, (p, _) in MEASURES.items() for x in (F.lit(m), F.lit(p))])
+    rows = sketch.groupBy(*keys, "measure").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b")).withColumn("percent", percent[F.col("measure")])
 
-    def at(share: float) -> Column:
+    def at(percent: str) -> Column:
+        place = F.expr(f"(total * {percent} + 99) div 100")
         zero = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at"))
-        step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["at"].isNull() & (a["seen"] + x["n"] >= F.ceil(F.col("total") * share)), x["bucket"]).otherwise(a["at"]).alias("at"))
+        step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["at"].isNull() & (a["seen"] + x["n"] >= place), x["bucket"]).otherwise(a["at"]).alias("at"))
         return lower_edge(F.aggregate("b", zero, step, lambda a: a["at"]))
 
-    return rows.select(*keys, "measure", "total", at(0.25).alias("q1"), at(0.75).alias("q3"))
+    return rows.select(*keys, "measure", "total", at("50").alias("median"), at("percent").alias("high"))
 
 
 def fences(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
     """keys, n_<tag>, <measure>_<tag>: one row of upper fences per group."""
-    q = quartiles(sketch, keys)
-    least = F.create_map(*[x for m, v in MEASURES.items() for x in (F.lit(m), F.lit(v))])
-    fence = F.greatest(least[F.col("measure")].cast("long"), (F.col("q3") + REACH * (F.col("q3") - F.col("q1"))).cast("long"))
+    q = quantiles(sketch, keys)
+    least = F.create_map(*[x for m, (_, v) in MEASURES.items() for x in (F.lit(m), F.lit(v))])
+    fence = (F.col("high") + REACH * F.greatest(F.col("high") - F.col("median"), least[F.col("measure")])).cast("long")
     pick = [F.max(F.when(F.col("measure") == m, fence)).alias(f"{m}_{tag}") for m in MEASURES]
     return q.groupBy(*keys).agg(F.max("total").alias(f"n_{tag}"), *pick)
 
@@ -161,7 +168,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """One row per document with the counts, the group's fences and ``kept``."""
     df = checkpoint(measures(docs))
     df = rates(df).withColumns({"g_lang": F.coalesce("lang", F.lit("\x00null")), "g_source": F.coalesce("source", F.lit("\x00null"))})
-    own = checkpoint(sketches(df, ["g_lang", "g_source"]))
+    own = checkpoint(sketches(df.where("not base_failed"), ["g_lang", "g_source"]))
     by_lang = merge(own, ["g_lang"])
     limits = fences(own, ["g_lang", "g_source"], "g").join(fences(by_lang, ["g_lang"], "l"), "g_lang")
     limits = limits.withColumn("one", F.lit(1)).join(fences(merge(own.withColumn("one", F.lit(1)), ["one"]), ["one"], "a"), "one")
@@ -169,11 +176,11 @@ def judge(docs: DataFrame) -> DataFrame:
     limits = limits.select("g_lang", "g_source", *[c.alias(f"max_{m}") for m, c in chosen.items()])
     salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     df = df.withColumn("salt", F.pmod(F.xxhash64("doc_id", "word_chars", "n_words"), F.lit(SALTS)).cast("int"))
-    df = df.join(salted, ["g_lang", "g_source", "salt"])
+    df = df.join(salted, ["g_lang", "g_source", "salt"], "left")  # a group of failed documents alone has no fences
     fits = F.lit(True)
     for m in MEASURES:
         fits = fits & (F.col(m) <= F.col(f"max_{m}"))
-    return df.withColumn("kept", ~F.col("base_failed") & fits)
+    return df.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True)))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
