@@ -14,6 +14,8 @@ from ..plans.model import Signal
 
 #: Points of a plot, spans a cached slice has, least points of a signal (fixed values).
 POINT_BUDGET, SPANS, LEAST_POINTS = 50_000, 3, 2
+#: Milliseconds of a signal that are searched together for the nearest samples.
+SLICE_MS = 60_000
 #: Signals and times of one inspection at most.
 MOST_SIGNALS, MOST_TIMES = 20, 20
 
@@ -25,18 +27,30 @@ def finite(value: Column) -> Column:
 def nearest(series: DataFrame, lookups: DataFrame) -> DataFrame:
     """For each lookup (signal_key, at_ms) the nearest sample of its signal: sample_ms, value; null without samples.
 
-    Ties go to the earlier sample; past the end, of two last samples at one time the earlier one is taken. Samples and lookups of a signal meet
-    in one sort; a lookup stands before the samples of its time.
+    Ties go to the earlier sample; past the end, of two last samples at one time the earlier one is taken. Samples and lookups meet in
+    slices of SLICE_MS of a signal, so that a long signal is sorted by many tasks, and every window only looks back, once in rising and once
+    in falling order of time. What a lookup does not find in its own slice comes from the first and last samples of the others.
     """
-    order = Window.partitionBy("signal_key").orderBy("time_ms", "seq")
-    own = F.struct("time_ms", "value")
-    points = series.select("signal_key", "time_ms", "seq", own.alias("s"), F.lag(own).over(order).alias("before_s"), F.lit(1).alias("is_sample"), F.lit(None).cast("double").alias("at_ms"))
-    asked = lookups.select("signal_key", F.col("at_ms").alias("time_ms"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("struct<time_ms: double, value: double>").alias("s"), F.lit(None).cast("struct<time_ms: double, value: double>").alias("before_s"), F.lit(0).alias("is_sample"), "at_ms")
-    both = Window.partitionBy("signal_key").orderBy("time_ms", "is_sample", "seq")
-    sample = F.when(F.col("is_sample") == 1, F.struct("s", "before_s"))
-    past = F.last(sample, True).over(both.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(sample, True).over(both.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = points.unionByName(asked).select("signal_key", "at_ms", "is_sample", past.alias("p"), after.alias("a")).where("is_sample = 0")
+    slot = lambda t: F.floor(t / F.lit(float(SLICE_MS))).cast("long")
+    own, keys = F.struct("time_ms", "value"), ["signal_key", "slot"]
+    order = Window.partitionBy(*keys).orderBy("time_ms", "seq")
+    kind = "struct<s: struct<time_ms: double, value: double>, before_s: struct<time_ms: double, value: double>>"
+    points = series.select("signal_key", slot(F.col("time_ms")).alias("slot"), "time_ms", "seq", "value")
+    points = points.select(*keys, "time_ms", "seq", F.struct(own.alias("s"), F.lag(own).over(order).alias("before_s")).alias("sample"), F.lit(1).alias("is_sample"))
+    # a lookup stands before the samples of its time
+    asked = lookups.select("signal_key", slot(F.col("at_ms")).alias("slot"), F.col("at_ms").alias("time_ms"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast(kind).alias("sample"), F.lit(0).alias("is_sample"))
+    back = lambda *by: Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = F.last("sample", True).over(back("time_ms", "is_sample", "seq"))
+    after = F.last("sample", True).over(back(F.desc("time_ms"), F.desc("is_sample"), F.desc("seq")))
+    rows = points.unionByName(asked).select(*keys, "time_ms", "is_sample", past.alias("p"), after.alias("a")).where("is_sample = 0").select(*keys, F.col("time_ms").alias("at_ms"), "p", "a")
+    # the last sample of the slices before and the first one of those behind: a row for each slice that has samples or lookups
+    place = F.struct("time_ms", "seq")
+    ends = points.groupBy(*keys).agg(F.max_by("sample", place).alias("last"), F.min_by("sample", place).alias("first"))
+    ends = ends.unionByName(asked.select(*keys).distinct(), allowMissingColumns=True).groupBy(*keys).agg(F.max("last").alias("last"), F.max("first").alias("first"))
+    beside = lambda *by: Window.partitionBy("signal_key").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, F.last("last", True).over(beside("slot")).alias("p_far"), F.last("first", True).over(beside(F.desc("slot"))).alias("a_far"))
+    rows = rows.join(ends.withColumnsRenamed({"signal_key": "k", "slot": "o"}), F.col("signal_key").eqNullSafe(F.col("k")) & F.col("slot").eqNullSafe(F.col("o")), "left")
+    rows = rows.select("signal_key", "at_ms", F.coalesce("p", "p_far").alias("p"), F.coalesce("a", "a_far").alias("a"))
     low = F.when(F.col("a").isNotNull(), F.col("a.s")).otherwise(F.col("p.s"))
     previous = F.when(F.col("a").isNull(), F.coalesce(F.col("p.before_s"), F.col("p.s"))).when(F.col("p").isNotNull(), F.col("p.s")).otherwise(F.col("a.s"))
     at = F.col("at_ms")
@@ -67,16 +81,19 @@ def domains(series: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def window(series: DataFrame, start_ms: float, end_ms: float) -> DataFrame:
-    """The samples within a window and one neighbour on either side; with none inside, the pair around it."""
+    """The samples within a window and one neighbour on either side; with none inside, the pair around it.
+
+    The filter on time reaches the scan; the neighbours are one aggregate for each signal, summed up before anything is shuffled.
+    """
     a, b = min(start_ms, end_ms), max(start_ms, end_ms)
-    order = Window.partitionBy("signal_key").orderBy("time_ms", "seq")
-    t = F.col("time_ms")
+    t, row = F.col("time_ms"), F.struct(*series.columns)
     inside = t.between(a, b)
-    rows = series.withColumns({"next_ms": F.lead("time_ms").over(order), "last_ms": F.lag("time_ms").over(order)})
-    # a sample before the window is a neighbour if the next one is not; a sample behind it if the one before is not
-    before = (t < a) & (F.col("next_ms") >= a)
-    behind = (t > b) & (F.col("last_ms") <= b)
-    return rows.where(inside | before | behind).drop("next_ms", "last_ms")
+    place = F.struct("time_ms", "seq")
+    before, behind = F.max_by(row, F.when(t < a, place)), F.min_by(row, F.when(t > b, place))
+    ends = series.groupBy("signal_key").agg(F.count_if(inside).alias("n"), before.alias("before"), behind.alias("behind"))
+    # a sample before the window is a neighbour if one lies in the window or behind it, and the other way round
+    around = F.array_compact(F.array(F.when((F.col("n") > 0) | F.col("behind").isNotNull(), F.col("before")), F.when((F.col("n") > 0) | F.col("before").isNotNull(), F.col("behind"))))
+    return series.where(inside).unionByName(ends.select(F.explode(around).alias("r")).select("r.*"))
 
 
 def raw_of(value: Column, factor: Column, offset: Column) -> Column:
