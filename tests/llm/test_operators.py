@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -216,6 +217,39 @@ def test_classifier_learns_and_copes(spark, bad, empty):
     assert {r["score"] for r in classifier.score(stats, flat).collect()} == {1.0}
 
 
+def test_classifier_equals_a_direct_solve(spark, docs, corpus):
+    """Weights of the summed normal equations against one solve over all training rows, and scores against the cosines taken one by one."""
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i, *_ in corpus], "doc_id long, quality int")
+    stats = classifier.statistics(docs)
+    model = classifier.learn(stats, labels, "quality")
+    rows = {r["doc_id"]: [r[c] for c in classifier.STATISTICS] for r in stats.collect()}
+    training = [i for i in sorted(rows) if zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([rows[i] for i in training]), np.array([float(i % 3 != 0) for i in training])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    k = model.kernel
+    assert np.allclose(k.mean, mean) and np.allclose(k.scale, scale)
+
+    def features(v):
+        v = np.clip((v - mean) / scale, -8, 8)
+        return np.array([1.0, *v, *[np.sqrt(2 / classifier.FEATURES) * np.cos(sum(v * k.w[:, j]) + k.b[j]) for j in range(classifier.FEATURES)]])
+
+    z = np.array([features(v) for v in x])
+    weights = np.linalg.solve(z.T @ z + classifier.RIDGE * len(y) * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    got = by_id(classifier.score(stats, model))
+    for i, v in rows.items():
+        assert got[i]["score"] == pytest.approx(min(1.0, max(0.0, float(np.interp(features(np.array(v)) @ weights, model.places, model.values)))), abs=1e-5)
+
+
+def test_cosines_approximate_the_gaussian_kernel():
+    rng = np.random.default_rng(5)
+    d = len(classifier.STATISTICS)
+    x = rng.normal(size=(60, d)) * 0.7
+    z = classifier.Kernel(np.zeros(d), np.ones(d))(x)[:, 1 + d :]
+    exact = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * d))
+    assert np.abs(z @ z.T - exact).mean() < 0.1
+
+
 def test_pooling_is_monotone():
     places, values = classifier.pool(np.arange(6.0), np.array([1.0, 1, 2, 1, 1, 1]), np.array([0.0, 1, 0, 1, 0, 1]))
     assert (np.diff(values) >= 0).all() and (np.diff(places) > 0).all()
@@ -412,6 +446,40 @@ def test_toxicity_learns_words_beginnings_and_misspellings(spark, bad, empty):
     assert {r["score"] for r in toxicity.score(bad, none).collect()} == {0.0}
 
 
+def test_toxicity_score_equals_brute_force(spark, docs, corpus):
+    """Scores of a given lexicon and weights: every word against every term by edit distance, context looked up by hand."""
+    terms = [("wretch", True), ("vilex", False), ("scum", True)]
+    weight = {f: 0.9 / (1 + f % 7) for f in range(8 * len(terms))}
+    model = toxicity.Model(levenshtein.Tables(terms), 0.05, weight)
+    rng, rows = random.Random(6), []
+    forms = ["wretch", "wretcg", "wrtech", "Wretch", "vilex", "vilexen", "vixlex", "scum", "scun", "wr3tch"]
+    for i in range(150):
+        words = [rng.choice(["plain", "he", "said", "word", "you", "are", "and", *forms]) for _ in range(rng.randint(0, 25))]
+        words = [f'"{w}"' if rng.random() < 0.2 else w for w in words]
+        rows.append((i, "".join(w + rng.choice([" ", " ", ", ", "\n"]) for w in words)))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        seen = Counter()
+        for m in re.finditer(r"[^\W_]+", text):
+            w = "".join(levenshtein.LEET.get(c, c) for c in m.group().lower())
+            hits = [(0 if w == t else 1, k) for k, (t, whole) in enumerate(terms) if whole and (w == t or (len(t) >= 5 and one_edit(t, w)))]
+            hits += [(0 if w.startswith(t) else 1, k) for k, (t, whole) in enumerate(terms) if not whole and (w.startswith(t) or any(one_edit(t, w[:n]) for n in range(len(t) - 1, len(t) + 2)))]
+            if not hits:
+                continue
+            left = text[max(0, m.start() - toxicity.CONTEXT) : m.start()].split("\n")[-1]
+            right = text[m.end() : m.end() + toxicity.CONTEXT].split("\n")[0]
+            marks = any(q in left for q in toxicity.QUOTES) and any(q in right for q in toxicity.QUOTES)
+            bare = lambda ws: [x.strip(toxicity.QUOTES + ",.") for x in ws]
+            near = bare(left.lower().replace(":", " ").split()[-6:])
+            value = 0.6 * marks + 0.3 * any(x in toxicity.REPORTING for x in near) - 0.3 * any(x in toxicity.ADDRESS for x in near[-3:] + bare(right.lower().split()[:3]))
+            edits, term = min(hits)
+            seen[term, edits, value >= 0.5] += 1
+        rest = 0.95
+        for (term, edits, quoted), n in seen.items():
+            rest *= 1 - weight[8 * term + 4 * edits + 2 * quoted + (n > 1)]
+        assert got[i] == pytest.approx(1 - rest), (i, text)
+
+
 # --- 8 suffix dedup
 
 

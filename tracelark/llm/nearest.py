@@ -112,18 +112,25 @@ def _best(rows, k: int) -> list[tuple[int, int, float]]:
 
 
 def _merge(k: int) -> Callable:
+    """Rows (query_id, vec_id, score) sorted by query -> the k best of each; only one query's candidates are held, k from each of its tiles at most."""
+
     def merge(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def ranked(rows: list[tuple[int, int, float]]):
+            out = [(q, rank, v, s) for rank, (q, v, s) in enumerate(_best(rows, k), 1)]
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["query_id", "rank", "vec_id", "score"])
+
         held: list[tuple[int, int, float]] = []
         for batch in batches:
-            held = _best([*held, *zip(*[batch.column(j).to_pylist() for j in range(3)], strict=True)], k)
-        rank, out, last = 0, [], None
-        for q, v, s in held:
-            rank = rank + 1 if q == last else 1
-            last = q
-            out.append((q, rank, v, s))
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["query_id", "rank", "vec_id", "score"])
+            for row in zip(*[batch.column(j).to_pylist() for j in range(3)], strict=True):
+                if held and held[0][0] != row[0]:
+                    yield ranked(held)
+                    held = []
+                held.append(row)
+                if len(held) > 1000 * k:
+                    held = _best(held, k)
+        yield ranked(held)
 
     return merge
 
@@ -139,7 +146,7 @@ def nearest(vectors: DataFrame, is_query, k: int) -> DataFrame:
     candidates = rows.select("dim", every(n_q).alias("qb"), block(n_c).alias("cb"), "vec_id", "v")
     keys = ["dim", "qb", "cb"]
     tiles = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(_tile(k), "query_id long, vec_id long, score double")
-    return tiles.repartition("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
+    return tiles.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
