@@ -2,6 +2,11 @@
 
 Toxic documents go; of each group of near copies one document stays; later copies of long passages are cut; the rest is
 put into training order by source weights; and the texts are encoded to token ids.
+
+Cases, in every stage: an empty table stays empty; extra columns are kept up to the last stage, whatever their names. Null and empty texts
+are not toxic (unless nearly all labelled texts without a telling word are), link with nothing, hold no passage, are of size 0 and so not
+drawn by the mix. Rows without a doc_id are never near copies of others, come last where passages are cut, and are drawn and encoded like others.
+Rows that repeat a doc_id are scored each by itself; of those that are linked one stays. Very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelark.llm import bpe, toxicity
-from tracelark.llm.common import materialize, table
+from tracelark.llm.common import materialize, release, table
 from tracelark.llm.mixing import mix
 from tracelark.llm.ngram_join import drop_near_copies
 from tracelark.llm.suffix_dedup import cleaned
@@ -37,6 +42,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in training order, each as often as its source's target asks for."""
+    release(spark)  # the stages before have left shuffles of whole texts
     return mix(docs)
 
 
@@ -55,8 +61,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encode),
 ]
 
-#: The stages' results depend on learnt models and on token merges, which SQL cannot express; tests hold the operators,
-#: one by one, against brute force, not the stages' composition.
+#: The stages' results depend on learnt models and on token merges, which SQL cannot express; tests hold the stages,
+#: one after the other, against brute force.
 ORACLE_SQL: str | None = None
 
 
