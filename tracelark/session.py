@@ -14,10 +14,12 @@ from .operators import decode, frames, series
 from .plans.model import Database, Message, Signal
 from .sources import mf4
 from .sources.dbc import message_table, warning_table
-from .sources.traces import Trace, open_trace
+from .sources.traces import MOST_DBC, Trace, open_dbc, open_trace
 
 #: Selected signals at most, axes, markers (fixed values).
 MOST_SELECTED, AXES, MARKERS = 50, ("y1", "y2", "y3", "y4", "y5"), ("c1", "c2")
+#: Beginning of the names of what an MF4 recording brings along: its databases, and the file its native signals stand in.
+BROUGHT = "mf4:"
 
 
 @dataclass
@@ -25,10 +27,12 @@ class Selected:
     key: str
     label: str
     signal: Signal
-    message: Message
+    message: Message | None
     channel: int | None
     direction: str | None
     axis: str = AXES[0]
+    #: Recording and number of a native signal.
+    native: tuple[str, int] | None = None
 
 
 @dataclass
@@ -39,18 +43,37 @@ class Session:
     selected: dict[str, Selected] = field(default_factory=dict)
     window: tuple[float, float] | None = None
     markers: dict[str, float] = field(default_factory=dict)
+    #: Why the databases that the recording brings along cannot be used.
+    database_fault: str | None = None
 
     def open_trace(self, path: str, **options) -> Trace:
-        """Opens a recording; selection, window and markers of the one before are dropped."""
+        """Opens a recording; selection, window, markers and embedded databases of the one before are dropped."""
         self.close()
         self.trace = open_trace(self.spark, path, **options)
         self.trace.frames = self.trace.frames.cache()
+        if self.trace.kind == "mf4":
+            self._take_databases()
         return self.trace
 
+    def _take_databases(self) -> None:
+        """Adds the databases embedded in the recording: all of them or, if one cannot be read, none."""
+        size = F.length("bytes")
+        rows = mf4.read_databases(self.spark, self.trace.path).groupBy("name", F.sha2("bytes", 256).alias("hash"))
+        rows = rows.agg(F.min("trace_id").alias("trace_id"), F.first(F.when(size <= MOST_DBC, F.col("bytes"))).alias("bytes")).orderBy("trace_id", "name", "hash").collect()
+        try:
+            if any(r["bytes"] is None for r in rows):
+                raise ValueError(f"an embedded database has more than {MOST_DBC} bytes")
+            own = {f"{BROUGHT}{i}:{r['name']}": open_dbc(bytes(r["bytes"])) for i, r in enumerate(rows)}
+        except ValueError as e:
+            self.database_fault = str(e)
+        else:
+            self.databases |= own
+
     def close(self) -> None:
         if self.trace is not None:
             self.trace.frames.unpersist()
-        self.trace, self.window = None, None
+        self.trace, self.window, self.database_fault = None, None, None
+        self.databases = {k: v for k, v in self.databases.items() if not k.startswith(BROUGHT)}
         self.selected.clear()
         self.markers.clear()
 
@@ -58,15 +81,29 @@ class Session:
         self.databases[file_id] = database
 
     def catalog(self) -> DataFrame:
-        """All signals of all databases with the sources that send them."""
+        """All signals of all databases with the sources that send them, and the native signals of an MF4 recording."""
         raw = frames.raw_messages(self.trace.frames) if self.trace else self.spark.createDataFrame([], "can_id int, is_extended boolean, channel int, direction string")
         parts = [catalogs.signals(message_table(self.spark, d), i) for i, d in self.databases.items()]
-        if not parts:
+        own = [self._native()] if self.trace is not None and self.trace.kind == "mf4" else []
+        if not parts and not own:
             raise ValueError("no database is open")
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        return catalogs.with_sources(rows, raw, self.trace is not None)
+        if parts:
+            rows = parts[0]
+            for p in parts[1:]:
+                rows = rows.unionByName(p)
+            rows = catalogs.with_sources(rows, raw, self.trace is not None)
+            own.insert(0, rows.withColumn("native", F.lit(None).cast("struct<trace_id: string, id: int, unit: string>")))
+        return own[0] if len(own) == 1 else own[0].unionByName(own[1], allowMissingColumns=True)
+
+    def _native(self) -> DataFrame:
+        """Catalogue rows of the native signals; what only bus signals have is null."""
+        nulls = {"can_id": "int", "is_extended": "boolean", "size_bytes": "int", "channel": "int", "direction": "string", "unavailable_reason": "string"}
+        name = F.to_json(F.array("trace_id"))
+        key = F.concat(F.lit('["mf4",'), F.substring(name, F.lit(2), F.length(name) - 2), F.lit(","), F.concat_ws(",", "data_group", "group", "id"), F.lit("]"))
+        return mf4.read_catalog(self.spark, self.trace.path).select(
+            F.lit(f"{BROUGHT}native").alias("file_id"), F.col("group_name").alias("message_name"), F.col("id").alias("place"), F.col("name").alias("signal_name"), key.alias("key"),
+            F.concat_ws(".", "group_name", "name").alias("label"), F.struct("trace_id", "id", "unit").alias("native"), *[F.lit(None).cast(t).alias(c) for c, t in nulls.items()],
+        )
 
     def warnings(self) -> DataFrame:
         parts = [warning_table(self.spark, d).withColumn("file_id", F.lit(i)) for i, d in self.databases.items()]
@@ -86,7 +123,7 @@ class Session:
             raise ValueError(f"at most {MOST_SELECTED} signals")
         rows = self.catalog()
         asked = self.spark.createDataFrame(list(enumerate(refs)), "place int, ref string")
-        found = catalogs.resolve(rows, asked).join(rows.select("key", "label", "file_id", "can_id", "is_extended", "size_bytes", "signal_name", "channel", "direction", "unavailable_reason"), "key", "left").orderBy("place").collect()
+        found = catalogs.resolve(rows, asked).join(rows.select("key", "label", "file_id", "can_id", "is_extended", "size_bytes", "signal_name", "channel", "direction", "unavailable_reason", "native"), "key", "left").orderBy("place").collect()
         out: dict[str, list[str]] = {"changed": [], "unchanged": [], "unavailable": [], "missing": [], "ambiguous": []}
         for r in found:
             if r["state"] in ("missing", "ambiguous"):
@@ -97,6 +134,10 @@ class Session:
                 out["unavailable"].append(r["key"])
             elif (r["key"] in self.selected) == chosen:
                 out["unchanged"].append(r["key"])
+            elif chosen and r["native"]:
+                signal = Signal(r["signal_name"], 0, 64, True, False, 1.0, 0.0, 0.0, 0.0, r["native"]["unit"] or "", value_type="float64")
+                self.selected[r["key"]] = Selected(r["key"], r["label"], signal, None, None, None, native=(r["native"]["trace_id"], r["native"]["id"]))
+                out["changed"].append(r["key"])
             elif chosen:
                 message, signal = self.databases[r["file_id"]].find(r["can_id"], r["is_extended"], r["size_bytes"], r["signal_name"])
                 self.selected[r["key"]] = Selected(r["key"], r["label"], signal, message, r["channel"], r["direction"])
@@ -107,14 +148,21 @@ class Session:
         return out
 
     def series(self, keys: list[str] | None = None) -> DataFrame:
-        """signal_key, seq, timestamp_ns, time_ms, value of the selected signals, all from one scan."""
+        """signal_key, seq, timestamp_ns, time_ms, value of the selected signals: bus signals from one scan, native ones from another."""
         own = [self.selected[k] for k in (keys if keys is not None else self.selected)]
-        if not own or self.trace is None:
+        names, parts = ["signal_key", "seq", "timestamp_ns", "time_ms", "value"], []
+        if self.trace is not None and (bus := [s for s in own if s.native is None]):
+            rows = decode.decode_many(self.trace.frames, [(s.key, s.message, s.signal) for s in bus])
+            of = self.spark.createDataFrame([(s.key, s.channel, s.direction or "unknown") for s in bus], "signal_key string, c int, d string")
+            rows = rows.join(F.broadcast(of), "signal_key").where(F.col("channel").eqNullSafe(F.col("c")) & (F.col("direction") == F.col("d")))
+            parts.append(rows.select(*names))
+        if self.trace is not None and (native := [s for s in own if s.native is not None]):
+            of = self.spark.createDataFrame([(s.key, *s.native) for s in native], "signal_key string, trace_id string, id int")
+            rows = mf4.read_channels(self.spark, sorted({s.native[0] for s in native}), sorted({s.native[1] for s in native}))
+            parts.append(rows.join(F.broadcast(of), ["trace_id", "id"]).withColumn("timestamp_ns", F.round(F.col("time_ms") * 1e6).cast("long")).select(*names))
+        if not parts:
             return self.spark.createDataFrame([], "signal_key string, seq long, timestamp_ns long, time_ms double, value double")
-        rows = decode.decode_many(self.trace.frames, [(s.key, s.message, s.signal) for s in own])
-        of = self.spark.createDataFrame([(s.key, s.channel, s.direction or "unknown") for s in own], "signal_key string, c int, d string")
-        rows = rows.join(F.broadcast(of), "signal_key").where(F.col("channel").eqNullSafe(F.col("c")) & (F.col("direction") == F.col("d")))
-        return rows.select("signal_key", "seq", "timestamp_ns", "time_ms", "value")
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def mf4_signal(self, signal_id: int) -> DataFrame:
         if self.trace is None or self.trace.kind != "mf4":

@@ -420,29 +420,37 @@ def read_catalog(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _per_file(path, spark, rows, "trace_id string, data_group int, group int, group_name string, id int, name string, unit string")
 
 
-def read_channel(spark: SparkSession, path: str | list[str], signal_id: int, max_data_bytes: int = MOST_BYTES) -> DataFrame:
-    """trace_id, seq, time_ms, value of one native signal in time order; samples that are invalid or not finite are left out."""
+def read_channels(spark: SparkSession, path: str | list[str], signal_ids: list[int], max_data_bytes: int = MOST_BYTES) -> DataFrame:
+    """trace_id, id, seq, time_ms, value of native signals, each in time order, from one pass over a file; samples that are invalid or not
+    finite are left out."""
 
     def rows(p: str, content: bytes) -> Iterator:
         import pyarrow as pa
 
         f = File(content, max_data_bytes)
-        found = next((x for x in native(f) if x[0] == signal_id), None)
-        if found is None:
+        found = [x for x in native(f) if x[0] in signal_ids]
+        if not found:
             raise TraceError("the recording has no such signal")
-        _, d, k, g, c = found
         offset = clock(f, frames(f))[1]
-        at, id_size, groups = f.groups[d]
-        for kk, _, r in f.records(at, id_size, groups):
-            if kk == k:
-                r = r[valid(r, g, g.master) & valid(r, g, c)]
-                t, v = (physical(r, g.master) - offset) * 1000.0, physical(r, c)
-                good = np.isfinite(t) & np.isfinite(v)
-                t, v = t[good], v[good]
-                order = np.argsort(t, kind="stable")
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(t), pa.string()), pa.array(np.arange(len(t))), pa.array(t[order]), pa.array(v[order])], names=["trace_id", "seq", "time_ms", "value"])
+        for d in sorted({x[1] for x in found}):
+            at, id_size, groups = f.groups[d]
+            for kk, _, records in f.records(at, id_size, groups):
+                for i, own, k, g, c in found:
+                    if (own, k) != (d, kk):
+                        continue
+                    r = records[valid(records, g, g.master) & valid(records, g, c)]
+                    t, v = (physical(r, g.master) - offset) * 1000.0, physical(r, c)
+                    good = np.isfinite(t) & np.isfinite(v)
+                    t, v = t[good], v[good]
+                    order = np.argsort(t, kind="stable")
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(t), pa.string()), pa.array([i] * len(t), pa.int32()), pa.array(np.arange(len(t))), pa.array(t[order]), pa.array(v[order])], names=["trace_id", "id", "seq", "time_ms", "value"])
+
+    return _per_file(path, spark, rows, "trace_id string, id int, seq long, time_ms double, value double")
+
 
-    return _per_file(path, spark, rows, "trace_id string, seq long, time_ms double, value double")
+def read_channel(spark: SparkSession, path: str | list[str], signal_id: int, max_data_bytes: int = MOST_BYTES) -> DataFrame:
+    """trace_id, seq, time_ms, value of one native signal in time order."""
+    return read_channels(spark, path, [signal_id], max_data_bytes).drop("id")
 
 
 def read_databases(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -455,5 +463,3 @@ def read_databases(spark: SparkSession, path: str | list[str]) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in own], pa.string()), pa.array([r[1] for r in own], pa.string()), pa.array([r[2] for r in own], pa.binary())], names=["trace_id", "name", "bytes"])
 
     return _per_file(path, spark, rows, "trace_id string, name string, bytes binary")
-
-
