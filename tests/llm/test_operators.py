@@ -103,6 +103,22 @@ def test_ranks_equal_power_iteration(spark):
     assert sum(got.values()) == pytest.approx(1) and got == pytest.approx({h: r for h, r in rank.items() if r or h in got}, abs=1e-12)
 
 
+def test_ranks_reach_the_solution_of_the_linear_system(spark):
+    n = 30
+    edges = [(i, i + 1) for i in range(n - 1)] + [(n - 1, 0), (4, 9), (9, 4), (12, 3)]  # a ring: ways of 29 links
+    seeds = {0: 1.0, 5: 3.0}
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    ranks = url_filter.personalised_rank(make([(f"h{a}", f"h{b}") for a, b in edges], "src string, dst string"), make([(f"h{h}", w) for h, w in seeds.items()], "host string, weight double"), within=1e-6)
+    pass_on, restart = np.zeros((n, n)), np.zeros(n)
+    for a, b in edges:
+        pass_on[b, a] = 1 / sum(s == a for s, _ in edges)
+    for h, w in seeds.items():
+        restart[h] = w / 4
+    want = np.linalg.solve(np.eye(n) - 0.85 * pass_on, 0.15 * restart)
+    got = {r["host"]: r["rank"] for r in ranks.collect()}
+    assert sum(abs(got.get(f"h{i}", 0.0) - want[i]) for i in range(n)) <= 1e-6
+
+
 def test_distrust_flows_against_links(spark):
     page = lambda i, url, *to: (i, url, "".join(f'<a href="http://{h}/">x</a><a HREF=//{h}/y>x</a>' for h in to))
     rows = [page(1, "http://bad.com/de/1"), page(2, "http://farm.net/1", "bad.com"), page(3, "http://good.org/1", "fine.net"), page(4, "http://fine.net/2"), page(5, "http://far.net/1", "farm.net"), page(6, "http://alone.net/")]

@@ -5,7 +5,8 @@ distrust is one from the hosts of blocked pages against the links (who links to
 blocked if its distrust exceeds both its trust and a floor relative to an even share.
 
 Links are absolute references (``scheme://host`` or ``//host``) in the pages' markup, counted once per pair of hosts, so
-a page or host with very many links is summed up before anything is shuffled; ranks and edges stay in Spark.
+a page or host with very many links is summed up before anything is shuffled; ranks and edges stay in Spark. The ranks go on until
+they are within CLOSE of the floor, however long the ways from the seeds are.
 
 Cases: a null url, or one without ``://``, has an empty host and path, which no rule fits and no link reaches: allowed; null
 html has no links; repeated rows count once per pair of hosts as links and are judged each by itself; without links or seeds
@@ -14,6 +15,7 @@ only the seeds' own hosts have ranks; an empty table gives no rows; extra column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,9 +32,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 DAMPING = 0.85
-ROUNDS = 20
-#: A host needs this share of an even portion of all distrust to be blocked.
-FLOOR = 0.5
+#: A host needs this share of an even portion of all distrust to be blocked; ranks are exact to CLOSE of that.
+FLOOR, CLOSE = 0.5, 0.01
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,28 +63,34 @@ def links(pages: DataFrame) -> DataFrame:
     return found.where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _most_rounds(within: float) -> int:
+    """Rounds after which ranks are surely as close as that: each takes DAMPING off the summed difference, which is 2 at most."""
+    return max(1, math.ceil(math.log(within / 2) / math.log(DAMPING)))
+
+
+def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, within: float = 1e-6) -> DataFrame:
     """host, rank: PageRank over src -> dst that restarts at the seeds (host, weight); the ranks add up to 1, if there are seeds.
 
-    What a host without links out would pass on returns to the seeds.
+    What a host without links out would pass on returns to the seeds. Goes on until all ranks together are ``within`` of
+    the limit, or for exactly so many ``rounds``.
     """
     total = seeds.agg(F.sum("weight")).first()[0]
     if not total:
         return seeds.select("host", F.lit(0.0).alias("rank")).limit(0)
-    seeds = checkpoint(seeds.groupBy("host").agg((F.sum("weight") / float(total)).alias("seed")))
+    seeds = seeds.groupBy("host").agg((F.sum("weight") / float(total)).alias("seed"))
+    state = checkpoint(seeds.select("host", "seed", F.lit(0.0).alias("before"), F.col("seed").alias("rank")))
     edges = checkpoint(edges.join(edges.groupBy("src").agg(F.count("*").alias("out")), "src").select("src", "dst", (1.0 / F.col("out")).alias("part")))
-    ranks = seeds.select("host", F.col("seed").alias("rank"))
     if edges.limit(1).count() == 0:
-        return ranks
-    for k in range(rounds):
-        passed = edges.join(ranks, F.col("src") == F.col("host")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
-        kept = float(passed.agg(F.sum("got")).first()[0] or 0.0)
-        new = passed.join(seeds, passed.dst == seeds.host, "full").select(
-            F.coalesce("dst", "host").alias("host"),
-            (DAMPING * F.coalesce("got", F.lit(0.0)) + (1.0 - DAMPING * kept) * F.coalesce("seed", F.lit(0.0))).alias("rank"),
-        )
-        ranks = checkpoint(new)
-    return ranks
+        return state.select("host", "rank")
+    for _ in range(_most_rounds(within) if rounds is None else rounds):
+        passed = edges.join(state.select(F.col("host").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
+        names = {"seed": "seed", "before": "before", "rank": "old", "got": "got"}
+        met = checkpoint(state.join(passed, F.col("host") == F.col("dst"), "full").select(F.coalesce("host", "dst").alias("host"), *[F.coalesce(c, F.lit(0.0)).alias(n) for c, n in names.items()]))
+        kept, moved = met.agg(F.sum("got"), F.sum(F.abs(F.col("old") - F.col("before")))).first()
+        state = met.select("host", "seed", F.col("old").alias("before"), (DAMPING * F.col("got") + (1.0 - DAMPING * kept) * F.col("seed")).alias("rank"))
+        if rounds is None and moved * DAMPING / (1.0 - DAMPING) <= within:  # of the round before; this one came closer still
+            break
+    return state.where("rank > 0").select("host", "rank")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -92,9 +99,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"))
     edges = materialize(links(pages), "hosts")
     seeds = checkpoint(rows.where("ruled is not null").groupBy("host", "ruled").agg(F.count("*").cast("double").alias("weight")))
-    trust = personalised_rank(edges, seeds.where("ruled = 'allow'").select("host", "weight")).withColumnRenamed("rank", "trust")
+    linked = edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(seeds.select("host")).distinct().count()
+    within = CLOSE * FLOOR / max(linked, 1)
+    trust = personalised_rank(edges, seeds.where("ruled = 'allow'").select("host", "weight"), within=within).withColumnRenamed("rank", "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    distrust = personalised_rank(back, seeds.where("ruled = 'block'").select("host", "weight")).withColumnRenamed("rank", "distrust")
+    distrust = personalised_rank(back, seeds.where("ruled = 'block'").select("host", "weight"), within=within).withColumnRenamed("rank", "distrust")
     hosts = distrust.join(trust, "host", "full")
     n = hosts.count()
     hosts = hosts.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
