@@ -6,7 +6,7 @@ import pytest
 
 from tracelark.session import Session
 
-from . import writers as w
+from tracelark.sources import writers as w
 from .test_traces import RECORDS, can_group
 
 BUS = b'BO_ 256 Motor: 2 E\n SG_ Low : 0|8@1+ (1,0) [0|0] "V" X\n'

@@ -5,7 +5,7 @@ import pytest
 from tracelark.sources import asc, blf, mf4, text_lines, trc
 from tracelark.sources.traces import Library, check_limit, open_dbc, open_trace, trace_type
 
-from . import writers as w
+from tracelark.sources import writers as w
 
 
 def rows(frames, *columns):

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import recordings
 from . import virtual_bus as bus
 from .functions.bits import j1939
 from .operators import catalog, decode, frames, series
 from .plans.model import Database
+from .sources import blf, dbc, mf4
+from .sources.traces import open_trace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -264,5 +267,86 @@ def axis_common_unit(spark, sf_dir):
     return catalog.axis_units(rows, ["y1", "y2", "y3"])
 
 
+HEX_SQL = "CASE WHEN payload_len = 1 THEN printf('%02X', w & 255) ELSE printf('%02X%02X%02X%02X00000000', w & 255, w >> 8, sel, counter) END"
+
+
+def _read_sql(error_direction: str = "direction", is_fd: str = "kind = 'data' AND is_fd", where: str = "true") -> str:
+    return f"""SELECT timestamp_ns, channel, CASE WHEN kind = 'error' THEN {error_direction} ELSE direction END AS direction, kind, CASE WHEN kind <> 'error' THEN can_id END AS can_id,
+  CASE WHEN kind <> 'error' THEN false END AS is_extended, {is_fd} AS is_fd, CAST(CASE WHEN kind = 'error' THEN 0 ELSE payload_len END AS INTEGER) AS dlc,
+  CASE WHEN kind = 'data' THEN {HEX_SQL} END AS payload_hex FROM bus WHERE {where}"""
+
+
+def _read(table: DataFrame) -> DataFrame:
+    return table.select("timestamp_ns", "channel", "direction", "kind", "can_id", "is_extended", "is_fd", "dlc", F.hex("payload").alias("payload_hex"))
+
+
+@query(_read_sql("'unknown'"))
+def read_asc(spark, sf_dir):
+    """ASC recordings of the bus: classic, CAN FD, remote and error frames."""
+    return _read(open_trace(spark, recordings.asc(spark, sf_dir)).frames)
+
+
+@query(_read_sql(is_fd="false", where="kind = 'data'").replace("ELSE direction END", "ELSE 'rx' END"))
+def read_asc_relative_decimal(spark, sf_dir):
+    """ASC recordings with decimal numbers and stamps that count from the line before."""
+    return _read(open_trace(spark, recordings.asc_relative(spark, sf_dir)).frames)
+
+
+@query("SELECT sum(CASE WHEN kind = 'data' THEN 1 ELSE 0 END)::BIGINT AS valid_message_count, max(CASE WHEN kind = 'data' THEN timestamp_ns END) AS duration_ns, 0::BIGINT AS skipped_line_count, 1777550400000::BIGINT AS measurement_start_ms FROM bus")
+def read_asc_metadata(spark, sf_dir):
+    meta = open_trace(spark, recordings.asc(spark, sf_dir)).meta
+    return meta.agg(F.sum("valid_message_count").alias("valid_message_count"), F.max("duration_ns").alias("duration_ns"), F.sum("skipped_line_count").alias("skipped_line_count"), F.min("measurement_start_ms").alias("measurement_start_ms"))
+
+
+@query(_read_sql(is_fd="false"))
+def read_trc_1(spark, sf_dir):
+    """TRC recordings of version 1.1, which knows classic frames only."""
+    return _read(open_trace(spark, recordings.trc(spark, sf_dir, False)).frames)
+
+
+@query(_read_sql())
+def read_trc_2(spark, sf_dir):
+    """TRC recordings of version 2.1, by their column list."""
+    return _read(open_trace(spark, recordings.trc(spark, sf_dir, True)).frames)
+
+
+@query(f"""SELECT timestamp_ns, channel, CASE WHEN kind = 'error' THEN 'unknown' WHEN direction = 'tx' THEN 'tx' ELSE 'rx' END AS direction, kind, can_id, false AS is_extended, kind = 'data' AND is_fd AS is_fd,
+  CAST(payload_len AS INTEGER) AS dlc, CASE WHEN kind <> 'remote' THEN {HEX_SQL} END AS payload_hex FROM bus""")
+def read_blf(spark, sf_dir):
+    """BLF recordings: objects that run over the borders of compressed containers."""
+    return _read(blf.read_files(recordings.blf(spark, sf_dir))[0])
+
+
+@query(f"SELECT timestamp_ns // 1000 AS timestamp_us, channel, can_id, CAST(payload_len AS INTEGER) AS dlc, {HEX_SQL} AS payload_hex FROM data")
+def read_mf4_frames(spark, sf_dir):
+    """MF4 recordings of bus frames, in transposed and compressed blocks."""
+    own = mf4.read(spark, recordings.mf4_frames(spark, sf_dir))[0]
+    return own.select(F.round(F.col("timestamp_ns") / 1000).cast("long").alias("timestamp_us"), "channel", "can_id", "dlc", F.hex("payload").alias("payload_hex"))
+
+
+@query("""SELECT s AS name, unit, timestamp_ns::DOUBLE / 1e9::DOUBLE * 1000.0::DOUBLE AS time_ms,
+  CASE s WHEN 'Scaled' THEN w * 0.5::DOUBLE + -100.0::DOUBLE WHEN 'Signed' THEN (CASE WHEN w >= 32768 THEN w - 65536 ELSE w END)::DOUBLE ELSE timestamp_ns::DOUBLE / 1e6::DOUBLE END AS value
+  FROM carried, (VALUES ('Scaled', 'km/h'), ('Signed', ''), ('Elapsed', 'ms')) v(s, unit)""")
+def read_mf4_native(spark, sf_dir):
+    """Native signals of MF4 recordings: unsigned with a scale, signed, and floating."""
+    files = recordings.mf4_native(spark, sf_dir)
+    return mf4.read_channels(spark, files, [0, 1, 2]).join(mf4.read_catalog(spark, files), ["trace_id", "id"]).select("name", "unit", "time_ms", "value")
+
+
+@query("""SELECT can_id, can_id % 5 = 0 AS is_extended, 'M' || can_id AS message_name, s AS signal_name,
+  CAST(CASE s WHEN 'A' THEN can_id % 40 WHEN 'B' THEN 7 + 8 * (can_id % 4) WHEN 'F' THEN 32 WHEN 'Page' THEN 0 ELSE 8 END AS INTEGER) AS start_bit,
+  CAST(CASE s WHEN 'A' THEN 1 + can_id % 16 WHEN 'B' THEN 16 WHEN 'F' THEN 32 WHEN 'Page' THEN 4 ELSE 8 END AS INTEGER) AS bit_length,
+  CASE s WHEN 'B' THEN 'motorola' ELSE 'intel' END AS endianness, CASE WHEN s IN ('B', 'F') THEN 'signed' ELSE 'unsigned' END AS signedness,
+  (CASE s WHEN 'A' THEN 0.5 WHEN 'B' THEN 0.25 WHEN 'Paged' THEN 2 ELSE 1 END)::DOUBLE AS factor, (CASE s WHEN 'A' THEN can_id WHEN 'B' THEN -3 ELSE 0 END)::DOUBLE AS "offset",
+  (CASE s WHEN 'B' THEN -5 ELSE 0 END)::DOUBLE AS minimum, (CASE s WHEN 'A' THEN can_id * 2 WHEN 'B' THEN 5 ELSE 0 END)::DOUBLE AS maximum,
+  CASE WHEN s = 'B' THEN 'A' WHEN s = 'A' AND can_id % 2 = 0 THEN 'V' ELSE '' END AS unit, CASE s WHEN 'F' THEN 'float32' ELSE 'integer' END AS value_type,
+  CASE s WHEN 'Paged' THEN 'Page' END AS selector, CASE s WHEN 'Paged' THEN '[[' || can_id % 16 || ',' || can_id % 16 || ']]' END AS ranges,
+  CASE WHEN s = 'A' AND can_id % 3 = 0 THEN '[[0,"off"],[' || can_id + 1 || ',"top"]]' ELSE '[]' END AS labels
+  FROM (SELECT DISTINCT can_id FROM data), (VALUES ('A'), ('B'), ('F'), ('Page'), ('Paged')) v(s)""")
+def read_dbc_signals(spark, sf_dir):
+    """Databases that describe the bus: layouts in both byte orders, float types, selectors, value tables."""
+    return dbc.read_signals(recordings.databases(spark, sf_dir)).drop("path", "size_bytes")
+
+
 def database() -> Database:
     return Database((bus.MESSAGE,))

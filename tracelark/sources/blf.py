@@ -161,9 +161,13 @@ def to_batch(rows: list[tuple], pa):
 
 def read(spark: SparkSession, path: str | list[str], max_data_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
     """(frames, meta) of BLF files."""
+    return read_files(spark.read.format("binaryFile").load(path), max_data_bytes)
+
+
+def read_files(files: DataFrame, max_data_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(frames, meta) of a table of files with path and content, wherever they come from."""
     from .text_lines import FRAME_SCHEMA
 
-    files = spark.read.format("binaryFile").load(path)
     out = files.select("path", "content").mapInArrow(_tasks(max_data_bytes), FRAME_SCHEMA)
 
     def starts(batches: Iterator) -> Iterator:

@@ -369,18 +369,19 @@ def clock(f: File, raw_frames: list[tuple]) -> tuple[int, float, tuple[float, fl
     return raw_ns or 0, own_s or 0.0, extent
 
 
-def _per_file(path: str | list[str], spark: SparkSession, make, schema: str) -> DataFrame:
-    """Rows that ``make(path, content)`` gives for each file, one task for a file."""
+def _per_file(path: str | list[str] | DataFrame, spark: SparkSession, make, schema: str) -> DataFrame:
+    """Rows that ``make(path, content)`` gives for each file, one task for a file. Instead of paths it takes a table of files with path and content."""
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             for p, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 yield from make(p, content.as_py())
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    files = path if isinstance(path, DataFrame) else spark.read.format("binaryFile").load(path)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
-def read(spark: SparkSession, path: str | list[str], max_data_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
+def read(spark: SparkSession, path: str | list[str] | DataFrame, max_data_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
     """(frames, meta) of MF4 files."""
 
     def rows(p: str, content: bytes) -> Iterator:
@@ -407,7 +408,7 @@ def read(spark: SparkSession, path: str | list[str], max_data_bytes: int = MOST_
     return _per_file(path, spark, rows, FRAME_SCHEMA), meta
 
 
-def read_catalog(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_catalog(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
     """trace_id, data_group, group, group_name, id, name, unit of the native signals."""
 
     def rows(p: str, content: bytes) -> Iterator:
@@ -420,7 +421,7 @@ def read_catalog(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _per_file(path, spark, rows, "trace_id string, data_group int, group int, group_name string, id int, name string, unit string")
 
 
-def read_channels(spark: SparkSession, path: str | list[str], signal_ids: list[int], max_data_bytes: int = MOST_BYTES) -> DataFrame:
+def read_channels(spark: SparkSession, path: str | list[str] | DataFrame, signal_ids: list[int], max_data_bytes: int = MOST_BYTES) -> DataFrame:
     """trace_id, id, seq, time_ms, value of native signals, each in time order, from one pass over a file; samples that are invalid or not
     finite are left out."""
 

@@ -1,4 +1,4 @@
-"""Small writers of binary recordings, for tests."""
+"""Writers of small binary recordings: one file each, as bytes."""
 
 from __future__ import annotations
 
@@ -27,8 +27,12 @@ def can_message(channel: int, can_id: int, data: bytes, flags: int = 0) -> bytes
     return struct.pack("<HBBI", channel, flags, len(data), can_id) + data.ljust(8, b"\0")
 
 
-def can_fd(channel: int, can_id: int, data: bytes, edl: bool = True) -> bytes:
-    return struct.pack("<HBBI", channel, 0, 9, can_id) + bytes(5) + bytes([edl, len(data)]) + bytes(5) + data.ljust(64, b"\0")
+def can_fd(channel: int, can_id: int, data: bytes, edl: bool = True, flags: int = 0, dlc: int = 9) -> bytes:
+    return struct.pack("<HBBI", channel, flags, dlc, can_id) + bytes(5) + bytes([edl, len(data)]) + bytes(5) + data.ljust(64, b"\0")
+
+
+def error_frame(channel: int, can_id: int, data: bytes) -> bytes:
+    return struct.pack("<H", channel) + bytes(8) + bytes([len(data)]) + bytes(5) + struct.pack("<I", can_id) + bytes(4) + data.ljust(8, b"\0")
 
 
 def can_fd_64(channel: int, can_id: int, data: bytes, tx: int = 1) -> bytes:
