@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import UTC, datetime, timedelta
 from decimal import ROUND_HALF_UP, Context, Decimal
 
 DIGITS = 7
@@ -76,7 +77,24 @@ def duration(milliseconds: float) -> str:
     return ("-" if milliseconds < 0 else "") + seconds(abs(milliseconds) / 1000)
 
 
-def axis_time(milliseconds: float) -> str:
+def axis_time(milliseconds: float, measurement_start_ms: int | None = None, absolute: bool = False) -> str:
+    """A time on the axis: since the start, or, if asked for and known, the time of day (UTC)."""
     if not math.isfinite(milliseconds):
         return ""
+    if absolute and measurement_start_ms is not None:
+        at = datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=math.floor(measurement_start_ms + milliseconds))
+        return f"{at:%H:%M:%S}.{at.microsecond // 1000:03d}"
     return seconds(milliseconds / 1000) if milliseconds >= 0 else f"{to_fixed(milliseconds / 1000, 3)}s"
+
+
+def axis_value(value: float) -> str | None:
+    """A value on the axis: fewer decimals the larger it is, powers of ten where it is very large or small."""
+    if not math.isfinite(value):
+        return None
+    size = abs(value)
+    if size < 1e-12:
+        return "0"
+    if not 1e-3 <= size < 1e6:
+        return to_exponential(value, 2)
+    text = to_fixed(value, 0 if size >= 100 else 1 if size >= 10 else 3)
+    return text.rstrip("0").rstrip(".") if "." in text else text

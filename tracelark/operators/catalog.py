@@ -48,6 +48,37 @@ def search(catalog: DataFrame, query: str, limit: int = DEFAULT_HITS) -> tuple[D
     return out.limit(limit + 1), limit
 
 
+def tree(catalog: DataFrame, query: str = "", active: list[str] | None = None, hide_unavailable: bool = False, closed: list[str] = (), files: DataFrame | None = None) -> DataFrame:
+    """The rows of a selector in order: files, their messages, their signals (kind, key, label, expanded).
+
+    Signals are kept by the query's terms, by being active, and by being available. A filter hides files and messages without signals left;
+    without one, a file of ``files`` (file_id) stays though it is empty. Below closed files and messages nothing is shown.
+    """
+    hay, ident = text.folded(F.col("label")), F.lower(F.conv("can_id", 10, 16))
+    rows = catalog.withColumn("message_key", F.to_json(F.struct("file_id", "can_id", "is_extended", "size_bytes", "message_name")))
+    for term in text.terms(query):
+        rows = rows.where(text.matches_term(hay, ident, term))
+    if active is not None:
+        rows = rows.where(F.col("key").isin(list(active)))
+    if hide_unavailable:
+        rows = rows.where("unavailable_reason is null")
+    is_open = lambda c: ~F.col(c).isin(list(closed))
+    order = ["file_id", "can_id", "is_extended", "message_key", "place", "channel", "way", "level"]
+    no = {"can_id": F.lit(None).cast("int"), "is_extended": F.lit(None).cast("boolean"), "message_key": F.lit(None).cast("string"), "place": F.lit(-1), "channel": F.lit(None).cast("int"), "way": F.lit(-1)}
+    keep = ["kind", "shown_key", "label", "expanded", *order]
+    own = rows.select("file_id")
+    if files is not None and not query.strip() and active is None and not hide_unavailable:
+        own = own.unionByName(files.select("file_id"))
+    tops = own.distinct().withColumns({**no, "kind": F.lit("dbc"), "shown_key": F.col("file_id"), "label": F.col("file_id"), "expanded": is_open("file_id"), "level": F.lit(0)}).select(*keep)
+    rows = rows.where(is_open("file_id"))
+    names = rows.groupBy("file_id", "can_id", "is_extended", "message_key").agg(F.first("message_name").alias("label"))
+    names = names.withColumns({**{k: no[k] for k in ("place", "channel", "way")}, "kind": F.lit("message"), "shown_key": F.col("message_key"), "expanded": is_open("message_key"), "level": F.lit(1)}).select(*keep)
+    leaves = rows.where(is_open("message_key")).withColumns({"kind": F.lit("signal"), "shown_key": F.col("key"), "expanded": F.lit(None).cast("boolean"), "way": direction_order(F.col("direction")), "level": F.lit(2)}).select(*keep)
+    # what has no identifier of its own comes first, so a file stands before its messages and a message before its signals
+    place = ["file_id", F.when(F.col("level") == 0, 0).otherwise(1), *[F.col(c).asc_nulls_first() for c in order[1:]]]
+    return tops.unionByName(names).unionByName(leaves).orderBy(*place).select("kind", F.col("shown_key").alias("key"), "label", "expanded")
+
+
 def resolve(catalog: DataFrame, refs: DataFrame) -> DataFrame:
     """For each reference (place, ref) its key, how many rows it could mean, and its state: resolved, missing, ambiguous or repeated.
 

@@ -165,6 +165,15 @@ def search_signals_terms(spark, sf_dir):
     return rows.select("can_id", "channel", "direction", "label")
 
 
+@query(CATALOG_SQL + """, kept AS (SELECT * FROM labelled WHERE contains(lower(label), 'speed') AND decodable AND NOT absent)
+SELECT 'dbc' AS kind, 'file' AS label, true AS expanded WHERE EXISTS (SELECT 1 FROM kept) UNION ALL
+SELECT DISTINCT 'message', split_part(name, '.', 1), true FROM kept UNION ALL SELECT 'signal', label, NULL FROM kept""")
+def selector_tree(spark, sf_dir):
+    """Rows of a selector: files, messages and signals that match a search and can be plotted."""
+    rows = catalog.with_sources(_catalog(spark), frames.raw_messages(bus.frames(spark, sf_dir)))
+    return catalog.tree(rows, "speed", hide_unavailable=True).drop("key")
+
+
 @query("SELECT seq, CASE sel WHEN 0 THEN 'off' WHEN 1 THEN 'idle' WHEN 3 THEN 'run' END AS label FROM carried")
 def value_label_lookup(spark, sf_dir):
     own = decode.samples(frames.data_frames(bus.frames(spark, sf_dir)), bus.MESSAGE, bus.MODE)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -12,9 +13,10 @@ from .functions import formats
 from .operators import catalog as catalogs
 from .operators import decode, frames, series
 from .plans.model import Database, Message, Signal
+from .plans.view import Heights, Span, View, first_free, shown
 from .sources import mf4
 from .sources.dbc import message_table, warning_table
-from .sources.traces import MOST_DBC, Trace, open_dbc, open_trace
+from .sources.traces import MOST_DBC, Trace, open_dbc, open_trace, trace_warning
 
 #: Selected signals at most, axes, markers (fixed values).
 MOST_SELECTED, AXES, MARKERS = 50, ("y1", "y2", "y3", "y4", "y5"), ("c1", "c2")
@@ -33,6 +35,9 @@ class Selected:
     axis: str = AXES[0]
     #: Recording and number of a native signal.
     native: tuple[str, int] | None = None
+    file_id: str = ""
+    #: Place in the palette: the first that no other selected signal has.
+    colour: int = 0
 
 
 @dataclass
@@ -43,6 +48,8 @@ class Session:
     selected: dict[str, Selected] = field(default_factory=dict)
     window: tuple[float, float] | None = None
     markers: dict[str, float] = field(default_factory=dict)
+    heights: Heights = Heights()
+    open_axes: list[str] = field(default_factory=lambda: [AXES[0]])
     #: Why the databases that the recording brings along cannot be used.
     database_fault: str | None = None
 
@@ -74,7 +81,8 @@ class Session:
             self.trace.frames.unpersist()
         self.trace, self.window, self.database_fault = None, None, None
         self.databases = {k: v for k, v in self.databases.items() if not k.startswith(BROUGHT)}
-        self.selected.clear()
+        self.heights = Heights()
+        self.clear()
         self.markers.clear()
 
     def add_database(self, file_id: str, database: Database) -> None:
@@ -136,17 +144,52 @@ class Session:
                 out["unchanged"].append(r["key"])
             elif chosen and r["native"]:
                 signal = Signal(r["signal_name"], 0, 64, True, False, 1.0, 0.0, 0.0, 0.0, r["native"]["unit"] or "", value_type="float64")
-                self.selected[r["key"]] = Selected(r["key"], r["label"], signal, None, None, None, native=(r["native"]["trace_id"], r["native"]["id"]))
+                self.selected[r["key"]] = Selected(r["key"], r["label"], signal, None, None, None, native=(r["native"]["trace_id"], r["native"]["id"]), file_id=r["file_id"], colour=self._colour())
                 out["changed"].append(r["key"])
             elif chosen:
                 message, signal = self.databases[r["file_id"]].find(r["can_id"], r["is_extended"], r["size_bytes"], r["signal_name"])
-                self.selected[r["key"]] = Selected(r["key"], r["label"], signal, message, r["channel"], r["direction"])
+                self.selected[r["key"]] = Selected(r["key"], r["label"], signal, message, r["channel"], r["direction"], file_id=r["file_id"], colour=self._colour())
                 out["changed"].append(r["key"])
             else:
                 del self.selected[r["key"]]
                 out["changed"].append(r["key"])
         return out
 
+    def _colour(self) -> int:
+        return first_free(s.colour for s in self.selected.values())
+
+    def toggle(self, ref: str) -> dict:
+        """Selects a signal, or drops it if it is selected."""
+        return self.select([ref], not any(ref == s.key or ref.lower() == s.label.lower() for s in self.selected.values()))
+
+    def drop_file(self, file_id: str) -> list[str]:
+        """Drops the selected signals of a database; returns their keys."""
+        gone = [k for k, s in self.selected.items() if s.file_id == file_id]
+        for k in gone:
+            del self.selected[k]
+        return gone
+
+    def clear(self) -> None:
+        self.selected.clear()
+
+    def tree(self, query: str = "", active_only: bool = False, hide_unavailable: bool = False, closed: list[str] = ()) -> DataFrame:
+        """The rows of the selector: files, messages and signals."""
+        files = self.spark.createDataFrame([(i,) for i in self.databases], "file_id string")
+        return catalogs.tree(self.catalog(), query, list(self.selected) if active_only else None, hide_unavailable, closed, files)
+
+    def only(self, message: str, signal: str, unit: str) -> str:
+        """The key of the one native signal of that group, name and unit; an error unless there is exactly one."""
+        own = F.col("native.unit").eqNullSafe(unit) & (F.col("message_name") == message) & (F.col("signal_name") == signal)
+        found = self.catalog().where(F.col("native").isNotNull() & own).select("key").limit(2).collect()
+        if len(found) != 1:
+            raise ValueError(f"{signal} is unavailable")
+        return found[0]["key"]
+
+    def plottable(self) -> list[str]:
+        """Keys of the selected signals that have samples to draw."""
+        have = {r[0] for r in self.series().where(series.finite(F.col("value"))).select("signal_key").distinct().collect()}
+        return [k for k in self.selected if k in have]
+
     def series(self, keys: list[str] | None = None) -> DataFrame:
         """signal_key, seq, timestamp_ns, time_ms, value of the selected signals: bus signals from one scan, native ones from another."""
         own = [self.selected[k] for k in (keys if keys is not None else self.selected)]
@@ -249,6 +292,47 @@ class Session:
                 raise ValueError(f"{key} cannot be put on {axis}")
         for key, axis in axes.items():
             self.selected[key].axis = axis
+            if axis not in self.open_axes:
+                self.open_axes.append(axis)
+
+    def add_axis(self) -> str | None:
+        """Opens the next free axis; None if all are open."""
+        axis = next((a for a in AXES if a not in self.open_axes), None)
+        if axis is not None:
+            self.open_axes.append(axis)
+        return axis
+
+    def remove_axis(self, axis: str) -> None:
+        """Closes an axis; its signals go to the first one, which always stays."""
+        if axis == AXES[0] or axis not in self.open_axes:
+            return
+        self.open_axes.remove(axis)
+        for s in self.selected.values():
+            s.axis = AXES[0] if s.axis == axis else s.axis
+
+    def reset_axes(self) -> None:
+        for axis in self.open_axes[1:]:
+            self.remove_axis(axis)
+
+    def view(self) -> dict:
+        """What is shown: the times with the first axis' values (None if there is nothing), whether it is all, and each axis' range."""
+        x = self.domain()
+        if x is None or x[0] == x[1] == 0.0:
+            return {"view": None, "whole": None, "fit": self.window is None, "ranges": {}}
+        found = {r["axis"]: Span(r["y_low"], r["y_high"]) for r in self.axes().where("y_low is not null").collect()} if self.selected else {}
+        whole = View(Span(*x), found.get(AXES[0], Span(0.0, 1.0)))
+        now = shown(whole, Span(*self.window) if self.window else None, self.heights)
+        ranges = {a: now.y if a == AXES[0] else self.heights.of(found.get(a, Span(0.0, 1.0))) for a in self.open_axes}
+        return {"view": now, "whole": whole, "fit": self.window is None, "ranges": ranges}
+
+    def show(self, view: View | None) -> None:
+        """Shows another view, as one before that was panned, zoomed or boxed; without one everything."""
+        if view is None:
+            self.window, self.heights = None, Heights()
+            return
+        now = self.view()["view"]
+        if now is not None:
+            self.window, self.heights = (view.x.low, view.x.high), self.heights.followed(now.y, view.y)
 
     def plot(self, budget: int | None = None) -> DataFrame:
         """The samples to draw: those of the window and a span on either side, reduced to each signal's share of the budget."""
@@ -264,8 +348,13 @@ class Session:
         ranges = series.domains(self.series().join(own, "signal_key"), ["axis"])
         return catalogs.axis_units(own, list(AXES)).join(ranges, "axis", "left")
 
+    def to_json(self) -> str:
+        """The session's description and the catalogue's messages as plain JSON."""
+        messages = {i: [json.loads(x) for x in message_table(self.spark, d).toJSON().collect()] for i, d in self.databases.items()}
+        return json.dumps({**self.describe(), "catalogs": messages})
+
     def describe(self) -> dict:
-        meta = [r.asDict() for r in self.trace.meta.collect()] if self.trace else []
+        meta = [r.asDict() for r in self.trace.meta.withColumn("warning", trace_warning(F.col("skipped_line_count"))).collect()] if self.trace else []
         return {
             "trace": meta, "databases": {i: {"messages": len(d.messages), "signals": sum(len(m.signals) - len(m.absent) for m in d.messages), "warnings": len(d.warnings)} for i, d in self.databases.items()},
             "selected": [{"key": s.key, "label": s.label, "axis": s.axis} for s in self.selected.values()], "window": self.window, "markers": dict(self.markers),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.model import Database
@@ -34,6 +34,20 @@ def display_name(name: str) -> str:
     return name[: -len(name.rsplit(".", 1)[-1]) - 1] if trace_type(name) or name.lower().endswith(".dbc") else name
 
 
+def dropped_trace(names: list[str]) -> str | None:
+    """The recording among dropped files: only a single file counts."""
+    return names[0] if len(names) == 1 and trace_type(names[0]) else None
+
+
+def dropped_databases(names: list[str]) -> list[str]:
+    return [n for n in names if n.lower().endswith(".dbc")]
+
+
+def trace_warning(skipped: Column) -> Column:
+    """What to say about lines that were skipped; null if there are none."""
+    return F.when(skipped > 0, F.concat(F.lit("Parsed with "), skipped.cast("string"), F.lit(" malformed "), F.when(skipped == 1, "line").otherwise("lines"), F.lit(" skipped.")))
+
+
 def check_limit(limit: int) -> int:
     if isinstance(limit, bool) or not isinstance(limit, int) or not LIMIT_RANGE[0] <= limit <= LIMIT_RANGE[1]:
         raise ValueError("a limit is a whole number of bytes from 1 to 4294967295")
@@ -59,7 +73,7 @@ def open_dbc(source: str | bytes, max_dbc_bytes: int = MOST_DBC) -> Database:
 
 
 class Library:
-    """Saved databases as a Parquet folder, by the hash of their content; saving one again changes nothing."""
+    """Saved databases as Parquet folders, one for each hash of a content; saving one again changes nothing."""
 
     SCHEMA = "id string, name string, bytes binary"
 
@@ -82,9 +96,34 @@ class Library:
         known = {r["id"] for r in self.rows().where(F.col("id").isin(list(new))).select("id").collect()}
         rows = [(i, name, data) for i, (name, data) in new.items() if i not in known]
         if rows:
-            self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+            self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.partitionBy("id").mode("append").parquet(self.path)
         return list(new)
 
+    def reload(self) -> tuple[dict[str, Database], list[str]]:
+        """All databases that can be read, by their names' order, and what is wrong with the others."""
+        good, faults = {}, []
+        for r in self.rows().orderBy("name", "id").toLocalIterator():
+            try:
+                good[r["id"]] = open_dbc(bytes(r["bytes"]))
+            except ValueError as e:
+                faults.append(f"{r['name']}: {e}")
+        return good, faults
+
+    def _remove(self, path: str) -> bool:
+        own = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return own.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+    def delete(self, file_id: str) -> bool:
+        """Removes a database; says whether it was there."""
+        if not set(file_id) <= set("0123456789abcdef") or not file_id:
+            return False
+        return self._remove(f"{self.path}/id={file_id}")
+
+    def reset(self) -> None:
+        """Removes all databases."""
+        for r in self.rows().select("id").toLocalIterator():
+            self.delete(r["id"])
+
     def get(self, file_id: str) -> Database:
         row = self.rows().where(F.col("id") == file_id).first()
         if row is None:
