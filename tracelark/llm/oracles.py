@@ -43,3 +43,38 @@ SELECT doc_id, size, source_size, target, rounds * size + rest AS taken, CAST(CA
     WHEN weight = 1 THEN CASE WHEN u < 1 THEN u * 1.0 * 2.0 / (1.5 + sqrt(greatest(0.0, 2.25 + u * 1.0 * -2.0))) ELSE 1.0 END
     WHEN weight = 2 THEN CASE WHEN u < 1 THEN CASE WHEN u < 0.5 THEN u ELSE 0.5 + (u - 0.5) END ELSE 1.0 END
     ELSE CASE WHEN u < 0.375 THEN u * 2.0 / (0.5 + sqrt(greatest(0.0, 0.25 + u * 2.0))) WHEN u < 1 THEN 0.5 + (u - 0.375) * 2.0 / (1.0 + sqrt(greatest(0.0, 1.0 + (u - 0.375) * 2.0))) ELSE 1.0 END END)), 6) END AS first_position FROM z"""
+
+OP12 = r"""WITH r AS (SELECT row_number() OVER () AS row, CAST(vec_id AS BIGINT) AS vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM documents_of_vectors),
+a AS (SELECT * FROM r WHERE vec_id % 50 = 0),
+s AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, r.row, r.vec_id, a.label = r.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda x: x[1] * x[2])) AS BIGINT) AS score FROM a JOIN r ON a.row <> r.row AND len(a.v) = len(r.v)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row) <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY s.score DESC, s.vec_id, s.row) AS INTEGER) AS rank, s.vec_id AS negative_id,
+    p.score AS positive_score, s.score AS negative_score FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT * FROM n WHERE rank <= 3""".replace("documents_of_vectors", "embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0")
+
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP13 = f"""WITH RECURSIVE d AS (SELECT coalesce('=' || source, '') AS tree, doc_id, {_LEAF.format("text")} AS leaf,
+    CASE WHEN {_CRC} % 5 = 0 THEN {_LEAF.format(_LOWER)} END AS tampered FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+own AS (SELECT tree, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM l
+  UNION ALL SELECT tree, level + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (n + 15) // 16 FROM own WHERE n > 1 GROUP BY tree, level, pos // 16, n),
+subs AS (SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, level AS height FROM own WHERE n = 1),
+over_all AS (SELECT 0 AS level, pos, subroot AS node, count(*) OVER () AS n FROM subs
+  UNION ALL SELECT level + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (n + 15) // 16 FROM over_all WHERE n > 1 GROUP BY level, pos // 16, n),
+inner_path AS (SELECT l.tree, l.pos, o.level, coalesce(string_agg(o.node, '' ORDER BY o.pos) FILTER (o.pos < l.pos >> (4 * o.level)), '') AS before, coalesce(string_agg(o.node, '' ORDER BY o.pos) FILTER (o.pos > l.pos >> (4 * o.level)), '') AS after
+  FROM l JOIN own o ON o.tree = l.tree AND o.pos >> 4 = l.pos >> (4 * (o.level + 1)) AND o.n > 1 GROUP BY ALL),
+outer_path AS (SELECT s.tree, s.height + o.level AS level, coalesce(string_agg(o.node, '' ORDER BY o.pos) FILTER (o.pos < s.pos >> (4 * o.level)), '') AS before, coalesce(string_agg(o.node, '' ORDER BY o.pos) FILTER (o.pos > s.pos >> (4 * o.level)), '') AS after
+  FROM subs s JOIN over_all o ON o.pos >> 4 = s.pos >> (4 * (o.level + 1)) AND o.n > 1 GROUP BY s.tree, s.height, s.pos, o.level),
+path AS (SELECT * FROM inner_path UNION ALL SELECT l.tree, l.pos, o.level, before, after FROM l JOIN outer_path o USING (tree)),
+steps AS (SELECT tree, pos, list({{'b': before, 'a': after}} ORDER BY level) AS p FROM path GROUP BY tree, pos),
+x AS (SELECT l.*, coalesce(p, []) AS p FROM l LEFT JOIN steps USING (tree, pos)),
+folds AS (SELECT tree, pos, 0 AS k, coalesce(tampered, leaf) AS h, p FROM x UNION ALL SELECT tree, pos, k + 1, sha256(p[k + 1].b || h || p[k + 1].a), p FROM folds WHERE k < len(p))
+SELECT x.doc_id, x.leaf, s.subroot, o.node AS root, sha256(array_to_string(list_transform(x.p, lambda q: q.b || q.a), '')) AS proof_sha256, f.h AS folded_root, f.h = o.node AS verified
+FROM x JOIN subs s USING (tree) JOIN folds f ON f.tree = x.tree AND f.pos = x.pos AND f.k = len(x.p) JOIN over_all o ON o.n = 1"""
