@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,11 +45,37 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Folders of the tables that were written within each open scope.
+_SCOPES: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again: a cut of the lineage that outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame | str, spark: SparkSession | None = None) -> None:
+    """Deletes tables that ``materialize`` wrote, or their folders: for those whose every reader has been written itself."""
+    for x in tables:
+        spark = spark if isinstance(x, str) else x.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x if isinstance(x, str) else x._folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scope(folders: list[str]) -> Iterator[None]:
+    """Notes in ``folders`` where ``materialize`` writes meanwhile, so that the tables can go when what was made of them has been written."""
+    _SCOPES.append(folders)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
 
 
 def release(spark: SparkSession) -> None:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, table
+from .common import discard, materialize, release, table
 from .components import components
 from .shingles import U, sets, splitmix
 from .trie_join import groups
@@ -210,6 +210,7 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
         return ids.select("id", F.xxhash64("block", F.when(F.col("parts") > 1, part).otherwise(0)).alias("block"))
 
     links = _links(docs, deal(sized, 0), k, num, den)
+    found = [links]
     large = sized.where("parts > 1")
     if large.limit(1).count():
         runs_large = kept.join(large.select("id"), "id", "left_semi").select("sig", "id")
@@ -219,17 +220,19 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
                 break
             parts_now = large.join(todo, "id", "left_semi")
             if seed < DEALS:
-                links = links.unionByName(_links(docs, deal(parts_now, seed), k, num, den))
+                found.append(_links(docs, deal(parts_now, seed), k, num, den))
             else:  # by pairs of parts: every two sets of a block meet
                 part = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts"))
                 pairs = parts_now.select("id", "block", part.alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q"))
                 pairs = pairs.select("id", F.xxhash64("block", F.least("p", "q"), F.greatest("p", "q")).alias("block"))
-                links = links.unionByName(_links(docs, pairs, k, num, den))
+                found.append(_links(docs, pairs, k, num, den))
+            links = links.unionByName(found[-1])
     # rows that repeat a doc_id tie their classes together
     ties = full.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "id"), ["h1", "h2"])
     again = full.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("c > 1 and a <> b").select("doc_id")
     tied = ties.join(again, "doc_id").select(F.col("id").alias("u"), F.col("doc_id").alias("v"))
     roots = components(links.unionByName(tied))
+    discard(runs, kept, sized, *found)
     release(docs.sparkSession)
     named = classes.select("h1", "h2", "id").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("root"))
     out = scan.join(named, ["h1", "h2"], "left")

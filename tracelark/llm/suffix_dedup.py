@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, shuffle_parts, table, utf8_slices
+from .common import discard, materialize, release, shuffle_parts, table, utf8_slices
 from .shingles import _SPACES, U, splitmix
 
 LENGTH = 400
@@ -385,6 +385,7 @@ def repeats(docs: DataFrame, levels: tuple[int, ...] = (LENGTH,), keep: str = "n
     twice = materialize(places.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
     shared = materialize(places.join(twice, "h"), "segments")
     kinds = materialize(shared.groupBy("h", "ph", "n").agg(F.count("*").alias("c"), F.min(F.struct("id", "first", "size")).alias("low")), "kinds")
+    discard(places, twice)
     # all strings of a segment that stands twice are repeats
     release(docs.sparkSession)
     equal = shared.join(kinds.where("c > 1").select("h", "ph", "n", "low"), ["h", "ph", "n"])
@@ -400,7 +401,7 @@ def repeats(docs: DataFrame, levels: tuple[int, ...] = (LENGTH,), keep: str = "n
     pieces = materialize(pieces, "pieces")
     dealt = pieces.where("not crowd").select("h", "id", "first", "n", "piece").repartition(shuffle_parts(docs.sparkSession), "h").sortWithinPartitions("h", "id", "first")
     runs = runs.unionByName(dealt.mapInArrow(_sort(levels, keep == "first"), _RUNS))
-    crowded = pieces.where("crowd")
+    crowded, counts = pieces.where("crowd"), None
     if crowded.limit(1).count():
         strings = crowded.select("id", "first", "n", "piece").distinct().mapInArrow(_string_hashes(levels), "level int, g1 long, g2 long, id long, start long")
         keys = ["level", "g1", "g2"]
@@ -409,6 +410,7 @@ def repeats(docs: DataFrame, levels: tuple[int, ...] = (LENGTH,), keep: str = "n
         again = again.where((F.col("id") != F.col("least.id")) | (F.col("start") != F.col("least.start"))) if keep == "first" else again
         runs = runs.unionByName(again.select("id", F.col("start").alias("a"), F.col("start").alias("b"), "level"))
     runs = materialize(runs, "runs")
+    discard(shared, kinds, marks, pieces, *([counts] if counts is not None else []))
     release(docs.sparkSession)
     return scan.select("doc_id", "sha", "n_bytes", "n_words"), texts, runs
 
