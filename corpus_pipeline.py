@@ -11,12 +11,13 @@ Rows that repeat a doc_id are scored each by itself; of those that are linked on
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelark.llm import bpe, toxicity
-from tracelark.llm.common import materialize, release, table
+from tracelark.llm.common import discard, materialize, release, scope, table
 from tracelark.llm.mixing import mix
 from tracelark.llm.ngram_join import drop_near_copies
 from tracelark.llm.suffix_dedup import cleaned
@@ -25,27 +26,50 @@ from tracelark.llm.suffix_dedup import cleaned
 PASSAGE = 200
 
 
+#: Folders of the tables that the stages before have written on their way.
+_LEFT: list[str] = []
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes what the stages before have left, as ``docs`` is their output, written and read again: tables in
+    the shared folder and shuffles of whole texts."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(*_LEFT, spark=spark)
+        _LEFT.clear()
+        release(spark)
+        with scope(_LEFT):
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score, learnt from the labels, is below one half."""
     return toxicity.reject(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 of their five-word shingles."""
     return drop_near_copies(docs, k=5, num=80, den=100)
 
 
+@_stage
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of passages of PASSAGE bytes or more; ``n_chars`` follows the text."""
     return cleaned(docs, PASSAGE)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in training order, each as often as its source's target asks for."""
-    release(spark)  # the stages before have left shuffles of whole texts
     return mix(docs)
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of tokens and hashes of the token ids and of the text they decode to, one row per place in the order."""
     import public_tokenizers
@@ -67,7 +91,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
