@@ -70,3 +70,40 @@ def test_search_order_references_and_units(spark):
     assert [r["state"] for r in catalog.resolve(rows, refs).orderBy("place").collect()] == ["resolved", "repeated", "ambiguous", "missing", "repeated"]
     units = spark.createDataFrame([("y1", "V"), ("y1", ""), ("y9", " V "), ("y2", "A"), ("y2", "B")], "axis string, unit string")
     assert {r["axis"]: (r["n_signals"], r["unit"]) for r in catalog.axis_units(units, ["y1", "y2"]).collect()} == {"y1": (3, "V"), "y2": (2, None)}
+
+
+def lines():
+    """Series with spikes, ties, straight and flat parts, equal times, and numbers at the limits of doubles."""
+    rng = np.random.default_rng(3)
+    return {
+        "noise": (np.arange(2000.0) * 0.1, rng.normal(0, 1, 2000)), "flat": (np.arange(900.0) * 0.7, np.full(900, 0.1)), "steps": (np.arange(2000.0) / 3, np.repeat(rng.integers(0, 3, 40) * 0.1, 50)),
+        "straight": (np.arange(900.0) * 0.1, np.arange(900.0) * 0.3), "equal times": (np.sort(rng.integers(0, 200, 1500)).astype(float), rng.integers(0, 4, 1500).astype(float)), "one": ([5.0], [1.0]), "two": ([1.0, 2.0], [3.0, 4.0]),
+        "wave": (np.arange(5000.0) * 0.01, np.sin(np.arange(5000) * 0.01)), "no numbers": (np.arange(300.0), np.where(np.arange(300) % 50 == 7, np.nan, rng.normal(size=300))), "endless": (np.arange(300.0), np.where(np.arange(300) % 100 == 7, np.inf, rng.normal(size=300))),
+        "far off": (np.arange(900.0) + 1e15, rng.normal(size=900) * 1e-9 + 1e6), "walk": (np.cumsum(rng.exponential(1, 6000)), np.cumsum(rng.normal(size=6000))),
+    }
+
+
+@pytest.mark.parametrize(("chunk", "target"), [(65_536, 2), (65_536, 3), (65_536, 40.9), (65_536, 700), (97, 5), (97, 40)])
+def test_lines_over_hulls_equal_the_sequential_ones(spark, monkeypatch, chunk, target):
+    monkeypatch.setattr(series, "CHUNK", chunk)
+    own = lines()
+    rows = [(k, i, float(a), float(b)) for k, (x, y) in own.items() for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    got = {k: [] for k in own}
+    for r in series.lttb(spark.createDataFrame(rows, "signal_key string, seq long, time_ms double, value double").repartition(3), target).collect():
+        got[r["signal_key"]].append(r["seq"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: series.lttb_indices(np.array(x), np.array(y), target).tolist() for k, (x, y) in own.items()}
+
+
+def test_only_what_a_line_may_choose_stays_on_a_hull():
+    rng = np.random.default_rng(9)
+    for n in (3, 10, 300, 20_000):
+        x, y = np.arange(float(n)), rng.normal(size=n)
+        kept = series.outer(x, y, x.max(), np.abs(y).max())
+        assert len(kept) <= 60
+        for _ in range(50):
+            anchor, mean = (-rng.exponential(n), rng.normal() * 3), (n + rng.exponential(n), rng.normal() * 3)
+            assert int(np.argmax(series._area(anchor, mean, x, y))) in kept
+
+
+def test_empty_series_have_no_line(spark):
+    assert series.lttb(of(spark, []), 10).count() == 0 and series.lttb(of(spark, []), 2).count() == 0

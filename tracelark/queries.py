@@ -239,11 +239,37 @@ def time_window_with_neighbours(spark, sf_dir):
     return series.window(_series(spark, sf_dir), 6e8, 1e8).select("signal_key", "seq", "time_ms", "value")
 
 
-@query()
+def _lttb_sql(key: str, keep: int) -> str:
+    """The line of ``keep`` points of each series: from anchor to anchor, one bucket a step."""
+    edge = "least(floor(({0}) * ((n - 2) / {1}::DOUBLE))::BIGINT + 1, n - 1)"
+    at = lambda k: edge.format(k, keep - 2)
+    mean = lambda c: f"list_reduce(list_prepend(0.0::DOUBLE, list({c} ORDER BY i)), lambda a, b: a + b) / count(*)"
+    return f""", s AS (SELECT {key}),
+p AS (SELECT *, row_number() OVER (PARTITION BY signal_key ORDER BY time_ms, seq) - 1 AS i, count(*) OVER (PARTITION BY signal_key) AS n FROM s),
+b AS (SELECT *, greatest(floor((i - 1) / ((n - 2) / {keep - 2}::DOUBLE))::BIGINT, 0) AS near FROM p WHERE n > {keep}),
+c AS (SELECT *, CASE WHEN i = 0 THEN -1 WHEN i = n - 1 THEN {keep - 1} WHEN {at("near")} > i THEN near - 1 WHEN {at("near + 1")} <= i THEN near + 1 ELSE near END AS k FROM b),
+d AS (SELECT * FROM c UNION ALL SELECT * REPLACE ({keep - 2} AS k) FROM c WHERE i = n - 1 AND {at(keep - 2)} = n - 1),
+m AS (SELECT signal_key, k - 1 AS k, {mean("time_ms")} AS mx, {mean("value")} AS my FROM d WHERE k BETWEEN 1 AND {keep - 2} GROUP BY signal_key, k),
+w AS (SELECT signal_key, -1::BIGINT AS k, seq, time_ms, value FROM c WHERE i = 0
+  UNION ALL SELECT signal_key, k, seq, time_ms, value FROM (
+    SELECT c.signal_key, c.k, c.seq, c.time_ms, c.value, c.i, abs((w.time_ms - mx) * (c.value - w.value) - (w.time_ms - c.time_ms) * (my - w.value)) AS area
+    FROM w JOIN c ON c.signal_key = w.signal_key AND c.k = w.k + 1 JOIN m ON m.signal_key = c.signal_key AND m.k = c.k WHERE w.k < {keep - 3})
+  QUALIFY row_number() OVER (PARTITION BY signal_key ORDER BY area DESC, i) = 1)
+SELECT signal_key, seq, time_ms, value FROM p WHERE n <= {keep} OR i = n - 1 UNION ALL SELECT signal_key, seq, time_ms, value FROM w"""
+
+
+@query(_lttb_sql(f"{SERIES_SQL} FROM carried", 20))
 def lttb_downsample(spark, sf_dir):
+    """Many signals of a few samples each."""
     return series.lttb(_series(spark, sf_dir), 20)
 
 
+@query(_lttb_sql(SERIES_SQL.replace("CAST(can_id AS VARCHAR)", "'all'") + " FROM carried", 60))
+def lttb_one_long_signal(spark, sf_dir):
+    """All samples as one signal, whose buckets are thinned by many tasks."""
+    return series.lttb(_series(spark, sf_dir).withColumn("signal_key", F.lit("all")), 60)
+
+
 @query("SELECT seq, channel, sum(raw) OVER (PARTITION BY channel ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS clock FROM bus")
 def relative_clock_running_sum(spark, sf_dir):
     """Running sums per channel, within ranges of lines and the ranges' offsets, as for files with relative stamps."""

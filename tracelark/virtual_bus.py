@@ -75,7 +75,7 @@ F64 = Signal("F64", 0, 64, True, False, 1.0, 0.0, value_type="float64")
 F32 = Signal("F32", 64, 32, True, False, 1.0, 0.0, value_type="float32")
 FLOATS = Message(1, 1, False, "Floats", 12, (F64, F32), is_fd=True)
 
-BUS_SQL = """WITH base AS (
+BUS_SQL = """WITH RECURSIVE base AS (
   SELECT event_id AS seq, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * 1000 AS timestamp_ns, CAST(1 + event_id % 2 AS INTEGER) AS channel,
     CASE WHEN event_type IN ('click', 'view') THEN 'rx' WHEN event_type IN ('purchase', 'signup') THEN 'tx' ELSE 'unknown' END AS direction,
     CASE WHEN event_type = 'error' THEN 'error' WHEN event_id % 29 = 0 THEN 'remote' ELSE 'data' END AS kind,
