@@ -107,3 +107,15 @@ def test_only_what_a_line_may_choose_stays_on_a_hull():
 
 def test_empty_series_have_no_line(spark):
     assert series.lttb(of(spark, []), 10).count() == 0 and series.lttb(of(spark, []), 2).count() == 0
+
+
+def test_legends_are_ordered_by_locale(spark):
+    """Small and capital letters, and accents, count only where all else is equal; signs come before digits, and these before letters."""
+    names = ["zeta", "Öl", "ol", "Zeta", "öl", "Ol", "oz", "a_b", "ab", "a-b", "9", "Ab", "éa", "e", "ez", "_x", "Straße", "Strasse", "Strassf"]
+    rows = spark.createDataFrame([(n, "", "", "", i, "", 1.0, 0.0, []) for i, n in enumerate(names)], "signal_name string, message_name string, label string, key string, selected_at int, unit string, factor double, offset double, value_descriptions array<struct<raw_value: bigint, label: string>>")
+    got = [r["signal_name"] for r in catalog.legend_order(rows, "alphabetical").collect()]
+    assert got == ["_x", "9", "a_b", "a-b", "ab", "Ab", "e", "éa", "ez", "ol", "Ol", "öl", "Öl", "oz", "Strasse", "Straße", "Strassf", "zeta", "Zeta"]
+    assert [r["signal_name"] for r in catalog.legend_order(rows, "selection").collect()] == names
+    tables = [([(2, "b"), (1, "Z")], "V"), ([(1, "z")], "A"), ([], "v"), ([], "Ä"), ([], "a"), ([(1, "é"), (1, "d")], "")]
+    rows = spark.createDataFrame([(str(i), "", "", "", i, u, 1.0, 0.0, t) for i, (t, u) in enumerate(tables)], rows.schema)
+    assert [r["signal_name"] for r in catalog.legend_order(rows, "grouped").collect()] == ["5", "0", "1", "4", "3", "2"]

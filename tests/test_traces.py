@@ -1,3 +1,4 @@
+import random
 import struct
 
 import pytest
@@ -146,6 +147,60 @@ def test_blf_objects_over_containers(spark, tmp_path, compress):
     assert (m["measurement_start_ms"], m["valid_message_count"], m["duration_ns"]) == (1777550400005, 4, 50)
 
 
+def blf_objects(rng, n, misleading):
+    """Objects of all kinds; misleading ones hold marks, and whole frames, in their data."""
+    some = lambda most: bytes(rng.randrange(256) for _ in range(rng.randrange(most)))
+    fake, out = w.blf_object(1, 5, w.can_message(1, 0x77, b"ab")), []
+    for i in range(n):
+        kind = rng.choice([1, 86, 100, 101, 73, 7])
+        if misleading and i % 5 == 0:
+            out.append(w.blf_object(7, i, b"LOBJ" * rng.randrange(9) + fake + some(50)))
+        elif kind in (1, 86):
+            out.append(w.blf_object(kind, i * 10, w.can_message(i % 4, i, some(9), rng.choice([0, 1, 0x80])), flags=rng.choice([1, 2])))
+        elif kind == 100:
+            out.append(w.blf_object(100, i * 10, w.can_fd(3, i, bytes(rng.choice([3, 12, 64])))))
+        elif kind == 101:
+            out.append(w.blf_object(101, i * 10, w.can_fd_64(4, i, some(5))))
+        elif kind == 73:
+            out.append(w.blf_object(73, i * 10, w.error_frame(1, i, b"xy")))
+        else:
+            out.append(w.blf_object(7, i, some(300)))
+    return out
+
+
+@pytest.mark.parametrize(("size", "compress", "misleading"), [(61, True, False), (61, False, False), (2000, True, False), (900, False, True), (1500, True, True), (40, True, True)])
+def test_blf_files_in_splits_equal_one_task(spark, tmp_path, size, compress, misleading):
+    data = w.blf(blf_objects(random.Random(size), 300, misleading), size, compress)
+    (tmp_path / "a.blf").write_bytes(data)
+    want = [(i, *f) for i, f in enumerate(blf.frames(data))]
+    plain = lambda df: sorted(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r[1:]) for r in df.collect())
+    conf = {"spark.sql.files.maxPartitionBytes": "3k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 1
+        assert plain(blf.read(spark, str(tmp_path))[0]) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = spark.createDataFrame([("a.blf", data)], "path string, content binary")
+    frames, meta = blf.read_files(files)
+    assert plain(frames) == want and meta.first()["valid_message_count"] == sum(f[4] == "data" for f in want)
+
+
+def test_blf_faults_show_in_splits_too(spark, tmp_path):
+    data = w.blf(blf_objects(random.Random(1), 60, False), 500)
+    for i, bad in enumerate((b"LOGX" + data[4:], data[:-3], data + b"LOBJ", data + bytes(30), data[: len(data) // 2], w.blf([w.blf_object(1, 1, w.can_message(1, 0x900, b""))]))):
+        (tmp_path / f"{i}.blf").write_bytes(bad)
+        with pytest.raises(asc.TraceError) as one:
+            list(blf.frames(bad))
+        with pytest.raises(Exception, match=str(one.value)):
+            blf.read(spark, str(tmp_path / f"{i}.blf"))[0].count()
+    with pytest.raises(Exception, match="exceeds 700 bytes"):
+        blf.read_files(spark.createDataFrame([("a", data)], "path string, content binary"), 700)[0].count()
+
+
 def test_blf_faults():
     good = w.blf([w.blf_object(1, 10, w.can_message(1, 0x100, b"\x01"))])
     assert len(list(blf.frames(good))) == 1

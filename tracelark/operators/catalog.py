@@ -92,20 +92,28 @@ def resolve(catalog: DataFrame, refs: DataFrame) -> DataFrame:
     return both.withColumn("state", state).select("place", "ref", "n", F.when(F.col("state") == "resolved", F.col("key")).alias("key"), "state")
 
 
+def by_locale(text: Column) -> Column:
+    """Text that is ordered as people read it: letters with and without accents, small and capital ones stand together."""
+    return F.collate(text, "UNICODE")
+
+
 def value_table_key(descriptions: Column) -> Column:
-    return F.to_json(F.array_sort(F.transform(descriptions, lambda x: F.struct(x["raw_value"].alias("raw"), x["label"].alias("label")))))
+    """A value table as a JSON array of pairs, in the order of the raw values and then of the labels."""
+    entries = F.array_sort(F.transform(descriptions, lambda x: F.struct(x["raw_value"].alias("raw"), by_locale(x["label"]).alias("label"))))
+    pair = lambda x: F.concat(F.lit("["), x["raw"].cast("string"), F.lit(","), F.substr(F.to_json(F.array(F.collate(x["label"], "UTF8_BINARY"))), F.lit(2)))
+    return F.concat(F.lit("["), F.array_join(F.transform(entries, pair), ","), F.lit("]"))
 
 
 def legend_order(signals: DataFrame, mode: str) -> DataFrame:
-    """place, by the order of selection, by name, or grouped: value tables first, then by unit, factor and offset."""
-    names = [F.col(c) for c in ("signal_name", "message_name", "label", "key")]
+    """By the order of selection, by name, or grouped: value tables first, then by unit, factor and offset. Texts compare by locale."""
+    names = [by_locale(F.col(c)) for c in ("signal_name", "message_name", "label", "key")]
     if mode == "selection":
         order = [F.col("selected_at")]
     elif mode == "alphabetical":
         order = names
     else:
         has = F.size("value_descriptions") > 0
-        order = [F.when(has, 0).otherwise(1), F.when(has, value_table_key(F.col("value_descriptions"))).otherwise(F.col("unit")), F.col("factor"), F.col("offset"), *names]
+        order = [F.when(has, 0).otherwise(1), by_locale(F.when(has, value_table_key(F.col("value_descriptions"))).otherwise(F.col("unit"))), F.col("factor"), F.col("offset"), *names]
     return signals.orderBy(*order)
 
 

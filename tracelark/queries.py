@@ -293,6 +293,20 @@ def legend_order_grouped(spark, sf_dir):
     return placed.select(F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("place"), F.col("signal_name").alias("name"), "unit", "factor")
 
 
+STEMS = ("Öl", "ol", "Zug", "zug", "a_b", "ét", "Et", "öl", "a-b", "Ab")
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY name COLLATE en) AS place, name FROM (
+  SELECT DISTINCT list_extract({list(STEMS)}, 1 + can_id % {len(STEMS)}) || '.' || (can_id // {len(STEMS)}) AS name FROM data)""")
+def legend_order_locale(spark, sf_dir):
+    """Names in mixed case, with accents and signs, as people order them."""
+    c = F.col("can_id")
+    stem = F.get(F.array(*[F.lit(s) for s in STEMS]), c % len(STEMS))
+    rows = frames.data_frames(bus.frames(spark, sf_dir)).select("can_id").distinct().select(F.concat(stem, F.lit("."), F.expr(f"can_id div {len(STEMS)}")).alias("signal_name"), *[F.lit("").alias(x) for x in ("message_name", "label", "key")])
+    placed = catalog.legend_order(rows, "alphabetical")
+    return placed.select(F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("place"), F.col("signal_name").alias("name"))
+
+
 @query("""SELECT axis, count(*) AS n_signals, CASE WHEN count(DISTINCT nullif(unit, '')) = 1 THEN max(nullif(unit, '')) END AS unit FROM (
   SELECT DISTINCT can_id, CASE WHEN can_id % 4 < 3 THEN 'y' || (can_id % 4 + 1) ELSE 'y1' END AS axis, CASE WHEN can_id % 4 IN (0, 3) THEN 'V' WHEN can_id % 4 = 1 THEN CASE WHEN can_id % 3 = 0 THEN '' ELSE 'A' END ELSE 'u' || (can_id % 7) END AS unit FROM data) GROUP BY axis""")
 def axis_common_unit(spark, sf_dir):

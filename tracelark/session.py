@@ -114,10 +114,10 @@ class Session:
         )
 
     def warnings(self) -> DataFrame:
-        parts = [warning_table(self.spark, d).withColumn("file_id", F.lit(i)) for i, d in self.databases.items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        """What the open databases' texts are reported for, by file; no rows where none is open."""
+        out = warning_table(self.spark, Database(())).withColumn("file_id", F.lit(""))
+        for i, d in self.databases.items():
+            out = out.unionByName(warning_table(self.spark, d).withColumn("file_id", F.lit(i)))
         return out
 
     def search(self, query: str, limit: int = catalogs.DEFAULT_HITS) -> dict:
