@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import recordings
+from . import recordings, sql
 from . import virtual_bus as bus
 from .functions.bits import j1939
 from .operators import catalog, decode, frames, series
-from .plans.model import Database
+from .plans import layouts
+from .plans.model import Database, Message
 from .sources import blf, dbc, mf4
 from .sources.traces import open_trace
 
@@ -136,6 +137,23 @@ def decode_multi_signal_long(spark, sf_dir):
     return decode.decode_many(bus.frames(spark, sf_dir), own).drop("timestamp_ns")
 
 
+@query("""SELECT 'M' || can_id || '.' || s AS signal_key, channel, direction, seq, time_ms, value FROM (SELECT *, 'Value' AS s, w * 0.5::DOUBLE + -100.0::DOUBLE AS value FROM carried
+  UNION ALL SELECT *, 'SignedBe', (CASE WHEN wb >= 32768 THEN wb - 65536 ELSE wb END) * 0.1::DOUBLE + -3.0::DOUBLE FROM carried UNION ALL SELECT *, 'Simple', counter::DOUBLE FROM carried WHERE sel = 2)""")
+def decode_plan_table(spark, sf_dir):
+    """A message for each of all 2,048 identifiers, three signals each, in one scan."""
+    messages = [Message(i, i, False, f"M{i}", 8, bus.MESSAGE.signals) for i in range(2048)]
+    wanted = [(f"{m.name}.{s.name}", m, s) for m in messages for s in (bus.VALUE, bus.SIGNED_BE, bus.SIMPLE)]
+    return decode.decode_many(bus.frames(spark, sf_dir), wanted).drop("timestamp_ns")
+
+
+@query("SELECT channel, direction, seq, time_ms, sel::DOUBLE AS value, CASE sel WHEN 0 THEN 'off' WHEN 1 THEN 'idle' WHEN 3 THEN 'run' END AS label FROM carried WHERE can_id % 8 = 7 AND channel = 1")
+def sql_signal_labels(spark, sf_dir):
+    """Samples and labels asked from SQL text, through functions that are registered in the session."""
+    own = bus.frames(spark, sf_dir).where("can_id % 8 = 7").withColumn("can_id", F.lit(7))
+    sql.register(spark, own, layouts.rows(spark, [("Bus.Mode", Message(7, 7, False, "Bus", 8, bus.MESSAGE.signals), bus.MODE)]))
+    return spark.sql("SELECT channel, direction, seq, time_ms, value, label FROM signal_labels('Bus.Mode') WHERE channel = 1")
+
+
 def _catalog(spark: SparkSession) -> DataFrame:
     """A catalogue of 64 messages with two signals each; every eighth message is sent over several frames."""
     unit = F.when(F.col("id") % 3 == 0, "V").otherwise("A")
