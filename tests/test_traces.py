@@ -259,6 +259,56 @@ def test_mf4_native_channels_unsorted_with_invalid_samples_and_absolute_clock(sp
     assert rows(t.frames, "timestamp_ns", "can_id") == [(100_000, 0x100)] and t.meta.first()["duration_ns"] == 1_000_000_000
 
 
+def in_blocks(m, content, sizes):
+    """A list of plain, packed and transposed blocks of the sizes, whatever records they cut."""
+    at, links = 0, []
+    for i, n in enumerate([*sizes, len(content)]):
+        part = content[at : at + n]
+        links += [m.data(part) if i % 3 == 0 else m.packed(part) if i % 3 == 1 else m.packed(part, 7)] if part else []
+        at += n
+    half = len(links) // 2
+    later = m.block(b"##DL", [0, *links[half:]], bytes(8))
+    return m.block(b"##HL", [m.block(b"##DL", [later, *links[:half]], bytes(8))], bytes(8))
+
+
+@pytest.mark.parametrize(("ids", "start"), [(0, 0.0), (0, 3e8), (1, 3e8)])
+def test_mf4_blocks_may_cut_records(spark, tmp_path, ids, start):
+    rng = random.Random(ids)
+    records, stamps = [], []
+    for i in range(400):
+        stamps.append(start + (i if i % 10 else i - 3) * 0.5)
+        records.append(struct.pack("<ddBB", stamps[-1], i * 1.5 if i % 50 else float("nan"), i % 256, 2 if i % 31 == 0 else 0))
+    frames = [RECORDS[k * 20 : k * 20 + 20] for k in range(len(RECORDS) // 20)]
+    for name, sizes in (("one", []), ("many", [rng.randrange(1, 60) for _ in range(70)])):
+        m = w.Mf4()
+        value = m.channel("Value", 8, 64, data_type=4, unit="V")
+        count = m.channel("Count", 16, 8, flags=2, invalid=1, after=value)
+        time = m.channel("t", 0, 64, kind=2, sync=1, data_type=4, after=count)
+        native = m.group(time, 17, 390, "Own", record_id=7, invalid=1)
+        if ids:
+            group = can_group(m, record_id=9, after=native)
+            stream = b"".join(b"\x07" + r + (b"\x09" + frames[i // 100 % len(frames)] if i % 100 == 0 else b"") for i, r in enumerate(records))
+            last = m.data_group(group, in_blocks(m, stream, sizes), 1)
+        else:
+            other = m.data_group(can_group(m), in_blocks(m, RECORDS, sizes[:3]))
+            last = m.data_group(native, in_blocks(m, b"".join(records), sizes), 0, other)
+        (tmp_path / f"{name}.mf4").write_bytes(m.finish(last))
+    got = {}
+    for name in ("one", "many"):
+        path = str(tmp_path / f"{name}.mf4")
+        t = open_trace(spark, path)
+        got[name] = [tuple(r)[1:] for r in mf4.read_channels(spark, path, [0, 1]).orderBy("id", "seq").collect()], [tuple(r)[2:] for r in t.frames.orderBy("seq").collect()], tuple(t.meta.first())[2:]
+    assert got["one"] == got["many"] and len(got["one"][1]) == (4 if ids else 3)
+    n = 400 if ids else 390  # only records with ids are not counted
+    want = sorted((s, i) for i, s in enumerate(stamps[:n]))
+    origin = min(stamps[:n]) if start else 0.0
+    ids_of = {r["name"]: r["id"] for r in mf4.read_catalog(spark, str(tmp_path / "one.mf4")).collect()}
+    series = lambda k: [(r[2], r[3]) for r in got["one"][0] if r[0] == ids_of[k]]
+    assert [v for _, v in series("Value")] == [i * 1.5 for _, i in want if i % 50]
+    assert [v for _, v in series("Count")] == [float(i % 256) for _, i in want if i % 31]
+    assert [t for t, _ in series("Count")] == pytest.approx([(s - origin) * 1000 for s, i in want if i % 31])
+
+
 def test_mf4_faults():
     for bad in (b"UnFinMF " + bytes(100), b"MDF     3.30" + bytes(100), b"x"):
         with pytest.raises(asc.TraceError):

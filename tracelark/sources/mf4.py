@@ -1,22 +1,28 @@
 """MF4 recordings: bus frames and native channels of finalised version 4 files.
 
-The blocks of a file are indexed first; records are then decoded as columns of one byte matrix per channel group. One task reads a file.
+One task reads the index of a file and hands its data blocks out, packed as they are, with the plan of the channels that are wanted; other tasks expand
+the blocks and decode the records that lie within as columns of a matrix of bytes. Where a record begins in each block follows from the sizes
+in the index; records across the borders of blocks are put together from their pieces, which only such blocks are opened for. Data groups whose
+records carry ids are cut up by id, in the order of the file, while they are handed out.
 """
 
 from __future__ import annotations
 
+import pickle
 import struct
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.bits import FD_LENGTHS
+from ..operators.series import finite, numbered
 from .asc import TraceError
-from .blf import MOST_BYTES, to_batch
-from .text_lines import FRAME_SCHEMA
+from .blf import MOST_BYTES
+from .text_lines import FRAME_COLUMNS, FRAME_SCHEMA
 
 #: Clocks from this second on are absolute: the recording starts at its first time (fixed value).
 ABSOLUTE = 100_000_000
@@ -160,9 +166,8 @@ class File:
             content = inflate(content, original)
         return self.text(links[1]), self.text(links[2]), content
 
-    def content(self, at: int) -> bytes:
-        """The records of a data group: plain, compressed, transposed, or lists of such blocks."""
-        out: list[bytes] = []
+    def blocks(self, at: int) -> Iterator[tuple[int, int, bytes]]:
+        """expanded size, row of a transposed block or -1 if it is packed as it is or -2 if it is plain, and bytes of a data group's blocks in order."""
         todo, seen, total = [at], set(), 0
         while todo:
             at = todo.pop()
@@ -172,61 +177,80 @@ class File:
                 raise TraceError("blocks link in a circle")
             seen.add(at)
             kind, links, body = self.block(at)
-            if kind in (b"##DT", b"##DV"):
-                out.append(body)
-            elif kind == b"##DZ":
-                method, (row,), (original, packed) = body[2], struct.unpack_from("<I", body, 4), struct.unpack_from("<QQ", body, 8)
-                if total + original > self.most:
-                    raise TraceError(f"the data exceeds {self.most} bytes")
-                data = inflate(body[24 : 24 + packed], original)
-                if method == 1:
-                    if row == 0:
-                        raise TraceError("compressed data is invalid")
-                    n = len(data) // row * row
-                    data = np.frombuffer(data[:n], np.uint8).reshape(row, -1).T.tobytes() + data[n:]
-                elif method:
-                    raise TraceError(f"unsupported compression {method}")
-                out.append(data)
-            elif kind == b"##DL":
+            if kind == b"##DL":
                 todo += [links[0], *links[:0:-1]]
             elif kind == b"##HL":
                 todo.append(next((a for a in links if a), 0))
+            elif kind in (b"##DT", b"##DV", b"##DZ"):
+                if kind == b"##DZ":
+                    method, (row,), (size, packed) = body[2], struct.unpack_from("<I", body, 4), struct.unpack_from("<QQ", body, 8)
+                    if method > 1:
+                        raise TraceError(f"unsupported compression {method}")
+                    if method == 1 and row == 0:
+                        raise TraceError("compressed data is invalid")
+                    row, body = row if method else PACKED, body[24 : 24 + packed]
+                else:
+                    size, row = len(body), PLAIN
+                total += size
+                if total > self.most:
+                    raise TraceError(f"the data exceeds {self.most} bytes")
+                yield size, row, body
             else:
                 raise TraceError("unsupported data block")
-            total = sum(map(len, out)) if kind in (b"##DT", b"##DV", b"##DZ") else total
-            if total > self.most:
-                raise TraceError(f"the data exceeds {self.most} bytes")
-        return b"".join(out)
-
-    def records(self, at: int, id_size: int, groups: list[Group]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """group number, places in the file's order, and the records as a matrix of bytes, for each group."""
-        data = np.frombuffer(self.content(at), np.uint8)
+
+    def chunks(self, at: int, id_size: int, groups: list[Group]) -> Iterator[tuple[int, int, int, int, bytes, bytes | None]]:
+        """group number, start in the group's stream of records, expanded size, row, bytes, and for records with ids their places in the data group."""
         if id_size == 0:
-            if groups:
-                size = groups[0].size + groups[0].invalid_size
-                n = min(len(data) // size, groups[0].cycles) if size else 0
-                yield 0, np.arange(n), data[: n * size].reshape(n, size)
+            start = 0
+            for size, row, body in self.blocks(at) if groups else ():
+                yield 0, start, size, row, body, None
+                start += size
             return
         if id_size not in (1, 2, 4, 8):
             raise TraceError("invalid size of record ids")
         by_id = {g.record_id: k for k, g in enumerate(groups)}
-        starts: list[list[tuple[int, int]]] = [[] for _ in groups]
-        raw, place, nth = data.tobytes(), 0, 0
-        while place + id_size <= len(raw):
-            k = by_id.get(int.from_bytes(raw[place : place + id_size], "little"))
-            if k is None:
-                raise TraceError("a record has an unknown id")
-            place += id_size
-            size = groups[k].size + groups[k].invalid_size
-            if place + size > len(raw):
-                raise TraceError("a record is cut off")
-            starts[k].append((nth, place))
-            place, nth = place + size, nth + 1
-        for k, own in enumerate(starts):
-            if own:
-                size = groups[k].size + groups[k].invalid_size
-                at_ = np.array([p for _, p in own])
-                yield k, np.array([i for i, _ in own]), data[at_[:, None] + np.arange(size)]
+        cut: list[tuple[list[bytes], list[int]]] = [([], []) for _ in groups]
+        starts, rest, nth = [0] * len(groups), b"", 0
+
+        def given(k: int):
+            parts, places = cut[k]
+            body = b"".join(parts)
+            out = k, starts[k], len(body), PLAIN, body, np.array(places, np.int64).tobytes()
+            starts[k] += len(body)
+            cut[k] = [], []
+            return out
+
+        for size, row, body in self.blocks(at):
+            raw, place = rest + expand(size, row, body), 0
+            while place + id_size <= len(raw):
+                k = by_id.get(int.from_bytes(raw[place : place + id_size], "little"))
+                if k is None:
+                    raise TraceError("a record has an unknown id")
+                end = place + id_size + groups[k].size + groups[k].invalid_size
+                if end > len(raw):
+                    break
+                cut[k][0].append(raw[place + id_size : end])
+                cut[k][1].append(nth)
+                place, nth = end, nth + 1
+            rest = raw[place:]
+            yield from (given(k) for k in range(len(groups)) if cut[k][1])
+        if len(rest) >= id_size:
+            raise TraceError("a record is cut off")
+
+
+#: Rows of blocks that are packed as they are, and that are not packed.
+PACKED, PLAIN = -1, -2
+
+
+def expand(size: int, row: int, body: bytes) -> bytes:
+    """The content of a data block."""
+    if row == PLAIN:
+        return body
+    data = inflate(body, size)
+    if row == PACKED:
+        return data
+    n = size // row * row
+    return np.frombuffer(data[:n], np.uint8).reshape(row, -1).T.tobytes() + data[n:]
 
 
 def inflate(data: bytes, size: int) -> bytes:
@@ -292,49 +316,57 @@ def valid(rows: np.ndarray, g: Group, c: Channel) -> np.ndarray:
     return rows[:, at] & (1 << (c.invalid_bit & 7)) == 0
 
 
-def _group_frames(g: Group, places: np.ndarray, rows: np.ndarray) -> Iterator[tuple]:
+def _frame_columns(g: Group, places: np.ndarray, rows: np.ndarray) -> dict[str, object]:
+    """The columns of the frames that the records are."""
     prefix, kind = next((c.name, COMPOSITES[c.name]) for c in g.channels if c.name in COMPOSITES)
     member = lambda name: g.named(f"{prefix}.{name}")
     good = valid(rows, g, g.master)
     places, rows = places[good], rows[good]
     ns = np.rint(physical(rows, g.master) * 1e9).astype(np.int64)
-    ident = raw(rows, member("ID")) & np.uint64(0x1FFFFFFF)
+    ident = (raw(rows, member("ID")) & np.uint64(0x1FFFFFFF)).astype(np.int64)
     extended = raw(rows, member("IDE")) != 0 if member("IDE") else ident > 0x7FF
-    dlc = np.minimum(raw(rows, member("DLC")), np.uint64(255)).astype(int)
-    length = raw(rows, member("DataLength")) if member("DataLength") and kind != "remote" else None
-    edl = raw(rows, member("EDL")) if member("EDL") else None
-    source = lambda name: (raw(rows, member(name)), valid(rows, g, member(name))) if member(name) else None
-    bus, way = source("BusChannel"), source("Dir")
-    cell = member("DataBytes")
-    for i in range(len(rows)):
-        own = (int(ident[i]), bool(extended[i]))
-        if not own[1] and own[0] > 0x7FF:
-            if kind != "error":
-                raise TraceError("an identifier is out of range")
-            own = (None, None)
-        fd = bool(edl[i]) if edl is not None else kind == "data" and (dlc[i] > 8 or (length is not None and length[i] > 8))
-        n, payload = 0, None
-        if kind != "remote":
-            n = min(int(length[i]), 64) if length is not None else FD_LENGTHS[min(dlc[i], 15)] if fd else min(int(dlc[i]), 8)
-            if n and (cell is None or cell.kind != 0 or cell.data_type != 10 or n * 8 > cell.bits):
-                raise TraceError("a record has no payload of its length")
-            payload = rows[i, cell.byte_offset : cell.byte_offset + n].tobytes() if n else b""
-        channel = int(bus[0][i]) or None if bus and bus[1][i] else None
-        direction = ("tx" if way[0][i] else "rx") if way and way[1][i] else "unknown"
-        yield int(places[i]), (int(ns[i]), channel, direction, kind, *own, bool(fd), int(dlc[i]), n, payload)
-
-
-def frames(f: File) -> list[tuple]:
-    """The frames of all groups, in the order of the file."""
-    out: list[tuple] = []
-    for at, id_size, groups in f.groups:
-        if any(g.frame_kind for g in groups):
-            own: list[tuple] = []
-            for k, places, rows in f.records(at, id_size, groups):
-                if groups[k].frame_kind:
-                    own += _group_frames(groups[k], places, rows)
-            out += [x for _, x in sorted(own, key=lambda x: x[0])]
-    return out
+    known = extended | (ident <= 0x7FF)
+    if kind != "error" and not known.all():
+        raise TraceError("an identifier is out of range")
+    dlc = np.minimum(raw(rows, member("DLC")), np.uint64(255)).astype(np.int64)
+    length = np.minimum(raw(rows, member("DataLength")), np.uint64(1 << 32)).astype(np.int64) if member("DataLength") and kind != "remote" else None
+    fd = raw(rows, member("EDL")) != 0 if member("EDL") else np.full(len(rows), kind == "data") & ((dlc > 8) | ((length > 8) if length is not None else False))
+    n = np.zeros(len(rows), np.int64)
+    if kind != "remote":
+        n = np.minimum(length, 64) if length is not None else np.where(fd, np.array(FD_LENGTHS)[np.minimum(dlc, 15)], np.minimum(dlc, 8))
+        cell = member("DataBytes")
+        most = int(n.max(initial=0))
+        if most and (cell is None or cell.kind != 0 or cell.data_type != 10 or most * 8 > cell.bits):
+            raise TraceError("a record has no payload of its length")
+        if most and cell.byte_offset + most > rows.shape[1]:
+            raise TraceError("a channel reaches over its record")
+        cells = rows[:, cell.byte_offset : cell.byte_offset + most] if most else np.zeros((len(rows), 0), np.uint8)
+        payload = cells[np.arange(most) < n[:, None]].tobytes()
+    source = lambda name: (raw(rows, member(name)), valid(rows, g, member(name))) if member(name) else (np.zeros(len(rows), np.uint64), np.zeros(len(rows), bool))
+    (bus, on_bus), (way, has_way) = source("BusChannel"), source("Dir")
+    return {
+        "place": places, "timestamp_ns": ns, "channel": (bus.astype(np.int64), on_bus & (bus != 0)), "direction": np.where(has_way, np.where(way != 0, "tx", "rx"), "unknown"),
+        "kind": kind, "can_id": (ident, known), "is_extended": (extended, known), "is_fd": fd, "dlc": dlc, "payload_len": n, "payload": None if kind == "remote" else payload,
+    }
+
+
+def _frame_batch(path: str, d: int, g: Group, places: np.ndarray, rows: np.ndarray):
+    import pyarrow as pa
+
+    c = _frame_columns(g, places, rows)
+    n = len(c["place"])
+    masked = lambda x, t: pa.array(x[0], t, mask=~x[1])
+    if c["payload"] is None:
+        payload = pa.nulls(n, pa.binary())
+    else:
+        ends = np.concatenate([[0], np.cumsum(c["payload_len"])]).astype(np.int32)
+        payload = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(c["payload"])])
+    seq = (d << DATA_GROUP_BITS) | c["place"]
+    columns = [
+        pa.array([path] * n, pa.string()), pa.array(seq, pa.int64()), pa.array(c["timestamp_ns"]), masked(c["channel"], pa.int32()), pa.array(c["direction"].astype(object), pa.string()), pa.array([c["kind"]] * n, pa.string()),
+        masked(c["can_id"], pa.int32()), masked(c["is_extended"], pa.bool_()), pa.array(c["is_fd"], pa.bool_()), pa.array(c["dlc"], pa.int32()), pa.array(c["payload_len"], pa.int32()), payload,
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=list(FRAME_COLUMNS))
 
 
 def native(f: File) -> list[tuple[int, int, int, Group, Channel]]:
@@ -347,26 +379,9 @@ def native(f: File) -> list[tuple[int, int, int, Group, Channel]]:
     return [(i, *x) for i, x in enumerate(out)]
 
 
-def clock(f: File, raw_frames: list[tuple]) -> tuple[int, float, tuple[float, float] | None]:
-    """Offset of raw stamps in ns, of native times in s, and the extent of native times: absolute clocks share one origin."""
-    low, high = np.inf, -np.inf
-    for d in {x[1] for x in native(f)}:
-        at, id_size, groups = f.groups[d]
-        for k, _, rows in f.records(at, id_size, groups):
-            g = groups[k]
-            if g.frame_kind is None and g.master is not None and any(x[1] == d and x[2] == k for x in native(f)):
-                t = physical(rows[valid(rows, g, g.master)], g.master)
-                t = t[np.isfinite(t) & (t >= 0)]
-                if len(t):
-                    low, high = min(low, t.min()), max(high, t.max())
-    extent = (float(low), float(high)) if low <= high else None
-    first = min((x[0] for x in raw_frames), default=0)
-    raw_ns = first if first >= ABSOLUTE * 1_000_000_000 else None
-    own_s = extent[0] if extent and extent[0] >= ABSOLUTE else None
-    if raw_ns is not None and own_s is not None:
-        shared = min(raw_ns, round(own_s * 1e9))
-        return shared, shared / 1e9, extent
-    return raw_ns or 0, own_s or 0.0, extent
+#: Places of a record's number in the order of a file, below that of its data group.
+DATA_GROUP_BITS = 40
+_CHUNK = "path string, data_group int, number int, start long, size long, row int, width int, bytes binary, places binary, plan binary"
 
 
 def _per_file(path: str | list[str] | DataFrame, spark: SparkSession, make, schema: str) -> DataFrame:
@@ -381,31 +396,151 @@ def _per_file(path: str | list[str] | DataFrame, spark: SparkSession, make, sche
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-def read(spark: SparkSession, path: str | list[str] | DataFrame, max_data_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(frames, meta) of MF4 files."""
+def _dealt(spark: SparkSession, path: str | list[str] | DataFrame, most: int, wanted: Callable[[File], dict[tuple[int, int], tuple]]) -> DataFrame:
+    """The data blocks of the groups that ``wanted`` names, with the plan it has for each, dealt out to all tasks."""
 
     def rows(p: str, content: bytes) -> Iterator:
         import pyarrow as pa
 
-        f = File(content, max_data_bytes)
-        own = frames(f)
-        if not any(x[3] == "data" for x in own) and not native(f):
-            raise TraceError("the recording has neither frames nor signals")
-        shift = clock(f, own)[0]
-        for a in range(0, len(own), 50_000):
-            yield to_batch([(p, a + i, x[0] - shift, *x[1:]) for i, x in enumerate(own[a : a + 50_000])], pa)
+        f = File(content, most)
+        plans = wanted(f)
+        packed = {k: pickle.dumps(v) for k, v in plans.items()}
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        for d in sorted({d for d, _ in plans}):
+            at, id_size, groups = f.groups[d]
+            for k, start, size, row, body, places in f.chunks(at, id_size, groups):
+                if (d, k) in plans:
+                    own = (p, d, k, start, size, row, groups[k].size + groups[k].invalid_size, body, places, packed[d, k])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(own, kinds, strict=True)], names=[c.split()[0] for c in _CHUNK.split(", ")])
+
+    return _per_file(path, spark, rows, _CHUNK).repartition("path", "data_group", "number", "start")
+
+
+def _each(decoded: Callable, across: bool) -> Callable:
+    """Blocks -> what ``decoded(path, data group, plan, places, rows)`` gives for the records that lie within each; or, with blocks in order, for the records across them."""
+
+    def within(batches: Iterator) -> Iterator:
+        for p, d, _, start, size, row, width, body, places, plan in _chunk_rows(batches):
+            plan = pickle.loads(plan)
+            first = -start % width if width else size
+            n = max(0, (size - first) // width) if width else 0
+            if n:
+                data = np.frombuffer(expand(size, row, body), np.uint8)
+                at = (start + first) // width + np.arange(n)
+                nth = np.frombuffer(places, np.int64) if places is not None else at
+                keep = at < plan[0].cycles if places is None else np.ones(n, bool)
+                yield from decoded(p, d, plan, nth[keep], data[first : first + n * width].reshape(n, width)[keep])
+
+    def over(batches: Iterator) -> Iterator:
+        own, rest = None, b""
+        for p, d, k, start, size, row, width, body, _, plan in _chunk_rows(batches):
+            if (p, d, k) != own:
+                own, rest = (p, d, k), b""
+            plan = pickle.loads(plan)
+            data = expand(size, row, body)
+            first = min(-start % width, size)
+            rest += data[:first]
+            if len(rest) == width:
+                at = (start + first) // width - 1
+                if at < plan[0].cycles:
+                    yield from decoded(p, d, plan, np.array([at]), np.frombuffer(rest, np.uint8).reshape(1, width))
+                rest = b""
+            if first < size:
+                rest = data[first + (size - first) // width * width :]
+
+    return over if across else within
+
+
+def _chunk_rows(batches: Iterator) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(batch.column(j)[i].as_py() for j in range(batch.num_columns))
+
+
+def _decoded(chunks: DataFrame, decoded: Callable, schema: str) -> DataFrame:
+    """What is decoded from all records of (path, data_group, number, start, ...)."""
+    width = F.col("width")
+    apart = chunks.where((width > 0) & F.col("places").isNull() & ((F.col("start") % width != 0) | ((F.col("start") + F.col("size")) % width != 0)))
+    keys = ["path", "data_group", "number"]
+    over = apart.repartition(*keys).sortWithinPartitions(*keys, "start").mapInArrow(_each(decoded, True), schema)
+    return chunks.mapInArrow(_each(decoded, False), schema).unionByName(over)
+
+
+def _lean(g: Group, channels: list[Channel]) -> Group:
+    """A group with some of its channels only."""
+    return replace(g, channels=channels)
+
+
+def clocks(spark: SparkSession, path: str | list[str] | DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """trace_id, shift_ns of raw stamps, offset_s of native times, and low_s and high_s, the extent of native times: absolute clocks share one origin.
+
+    Only the time channels are decoded, block by block.
+    """
+
+    def wanted(f: File) -> dict:
+        out = {}
+        for d, (_, _, groups) in enumerate(f.groups):
+            for k, g in enumerate(groups):
+                if g.master is not None and (g.frame_kind or any(c.kind == 0 and c.numeric and c.name for c in g.channels)):
+                    out[d, k] = (_lean(g, [g.master]), g.frame_kind)
+        return out
+
+    def decoded(p: str, d: int, plan: tuple, places: np.ndarray, rows: np.ndarray) -> Iterator:
+        import pyarrow as pa
+
+        g, kind = plan
+        t = physical(rows[valid(rows, g, g.master)], g.master)
+        if kind:
+            ns = np.rint(t * 1e9).astype(np.int64)
+            own = (p, int(ns.min()), None, None) if len(ns) else None
+        else:
+            t = t[np.isfinite(t) & (t >= 0)]
+            own = (p, None, float(t.min()), float(t.max())) if len(t) else None
+        if own:
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(own, kinds, strict=True)], names=["trace_id", "raw_ns", "low_s", "high_s"])
+
+    found = _decoded(_dealt(spark, path, most, wanted), decoded, "trace_id string, raw_ns long, low_s double, high_s double")
+    found = found.groupBy("trace_id").agg(F.coalesce(F.min("raw_ns"), F.lit(0)).alias("raw_ns"), F.min("low_s").alias("low_s"), F.max("high_s").alias("high_s"))
+    raw_at, own_at = F.col("raw_ns") >= ABSOLUTE * 1_000_000_000, F.coalesce(F.col("low_s") >= ABSOLUTE, F.lit(False))
+    shared = F.least(F.col("raw_ns"), F.rint(F.col("low_s") * 1e9).cast("long"))
+    return found.select(
+        "trace_id", "low_s", "high_s", F.when(raw_at & own_at, shared).when(raw_at, F.col("raw_ns")).otherwise(0).alias("shift_ns"),
+        F.when(raw_at & own_at, shared / 1e9).when(own_at, F.col("low_s")).otherwise(0.0).alias("offset_s"),
+    )
+
+
+def _checked(f: File) -> File:
+    if not native(f) and not any(g.frame_kind for _, _, groups in f.groups for g in groups):
+        raise TraceError("the recording has neither frames nor signals")
+    return f
+
+
+def read(spark: SparkSession, path: str | list[str] | DataFrame, max_data_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(frames, meta) of MF4 files; seq rises in the order of a file."""
+
+    def wanted(f: File) -> dict:
+        return {(d, k): (g,) for d, (_, _, groups) in enumerate(_checked(f).groups) for k, g in enumerate(groups) if g.frame_kind}
+
+    def decoded(p: str, d: int, plan: tuple, places: np.ndarray, rows: np.ndarray) -> Iterator:
+        yield _frame_batch(p, d, plan[0], places, rows)
 
     def heads(p: str, content: bytes) -> Iterator:
         import pyarrow as pa
 
-        f = File(content, max_data_bytes)
-        own = frames(f)
-        shift, offset, extent = clock(f, own)
-        times = [x[0] - shift for x in own if x[3] == "data"] + ([round((extent[1] - offset) * 1e9)] if extent else [])
-        yield pa.RecordBatch.from_pylist([{"trace_id": p, "trace_type": "mf4", "measurement_start_ms": f.start_ms, "valid_message_count": sum(x[3] == "data" for x in own), "skipped_line_count": 0, "duration_ns": max(times, default=None)}], pa.schema([("trace_id", pa.string()), ("trace_type", pa.string()), ("measurement_start_ms", pa.int64()), ("valid_message_count", pa.int64()), ("skipped_line_count", pa.int64()), ("duration_ns", pa.int64())]))
+        f = _checked(File(content, max_data_bytes))
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.string()), pa.array([f.start_ms], pa.int64()), pa.array([len(native(f))], pa.int64())], names=["trace_id", "measurement_start_ms", "n_native"])
 
-    meta = _per_file(path, spark, heads, "trace_id string, trace_type string, measurement_start_ms long, valid_message_count long, skipped_line_count long, duration_ns long")
-    return _per_file(path, spark, rows, FRAME_SCHEMA), meta
+    shifts = clocks(spark, path, max_data_bytes)
+    out = _decoded(_dealt(spark, path, max_data_bytes, wanted), decoded, FRAME_SCHEMA).join(shifts.select("trace_id", "shift_ns"), "trace_id")
+    out = out.withColumn("timestamp_ns", F.col("timestamp_ns") - F.col("shift_ns")).select(*FRAME_COLUMNS)
+    data = F.col("kind") == "data"
+    counts = out.groupBy("trace_id").agg(F.count(F.when(data, 1)).alias("n"), F.max(F.when(data, F.col("timestamp_ns"))).alias("last_ns"))
+    meta = _per_file(path, spark, heads, "trace_id string, measurement_start_ms long, n_native long").join(counts, "trace_id", "left").join(shifts, "trace_id", "left")
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    n = F.when((n > 0) | (F.col("n_native") > 0), n).otherwise(F.raise_error(F.lit("the recording has neither frames nor signals")).cast("long"))
+    native_ns = F.rint((F.col("high_s") - F.col("offset_s")) * 1e9).cast("long")
+    return out, meta.select("trace_id", F.lit("mf4").alias("trace_type"), "measurement_start_ms", n.alias("valid_message_count"), F.lit(0).cast("long").alias("skipped_line_count"), F.greatest("last_ns", native_ns).alias("duration_ns"))
 
 
 def read_catalog(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
@@ -422,31 +557,39 @@ def read_catalog(spark: SparkSession, path: str | list[str] | DataFrame) -> Data
 
 
 def read_channels(spark: SparkSession, path: str | list[str] | DataFrame, signal_ids: list[int], max_data_bytes: int = MOST_BYTES) -> DataFrame:
-    """trace_id, id, seq, time_ms, value of native signals, each in time order, from one pass over a file; samples that are invalid or not
-    finite are left out."""
+    """trace_id, id, seq (rank in time), time_ms, value of native signals; samples that are invalid or not finite are left out.
 
-    def rows(p: str, content: bytes) -> Iterator:
-        import pyarrow as pa
+    Of each block only the time and the wanted channels are decoded, and no frames.
+    """
 
-        f = File(content, max_data_bytes)
-        found = [x for x in native(f) if x[0] in signal_ids]
-        if not found:
+    def wanted(f: File) -> dict:
+        out: dict[tuple[int, int], tuple] = {}
+        for i, d, k, g, c in native(f):
+            if i in signal_ids:
+                out.setdefault((d, k), (_lean(g, [g.master]), []))[1].append((i, c))
+        if not out:
             raise TraceError("the recording has no such signal")
-        offset = clock(f, frames(f))[1]
-        for d in sorted({x[1] for x in found}):
-            at, id_size, groups = f.groups[d]
-            for kk, _, records in f.records(at, id_size, groups):
-                for i, own, k, g, c in found:
-                    if (own, k) != (d, kk):
-                        continue
-                    r = records[valid(records, g, g.master) & valid(records, g, c)]
-                    t, v = (physical(r, g.master) - offset) * 1000.0, physical(r, c)
-                    good = np.isfinite(t) & np.isfinite(v)
-                    t, v = t[good], v[good]
-                    order = np.argsort(t, kind="stable")
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(t), pa.string()), pa.array([i] * len(t), pa.int32()), pa.array(np.arange(len(t))), pa.array(t[order]), pa.array(v[order])], names=["trace_id", "id", "seq", "time_ms", "value"])
-
-    return _per_file(path, spark, rows, "trace_id string, id int, seq long, time_ms double, value double")
+        return out
+
+    def decoded(p: str, d: int, plan: tuple, places: np.ndarray, rows: np.ndarray) -> Iterator:
+        import pyarrow as pa
+
+        g, channels = plan
+        good = valid(rows, g, g.master)
+        places, rows = places[good], rows[good]
+        seconds = physical(rows, g.master)
+        for i, c in channels:
+            on = valid(rows, g, c)
+            t, v, at = seconds[on], physical(rows[on], c), places[on]
+            n = len(t)
+            yield pa.RecordBatch.from_arrays([pa.array([p] * n, pa.string()), pa.array([i] * n, pa.int32()), pa.array(at), pa.array(t), pa.array(v)], names=["trace_id", "id", "place", "time_s", "value"])
+
+    found = _decoded(_dealt(spark, path, max_data_bytes, wanted), decoded, "trace_id string, id int, place long, time_s double, value double")
+    found = found.join(clocks(spark, path, max_data_bytes).select("trace_id", "offset_s"), "trace_id", "left")
+    ms = (F.col("time_s") - F.coalesce("offset_s", F.lit(0.0))) * 1000.0
+    found = found.select(F.to_json(F.struct("trace_id", "id")).alias("signal_key"), F.col("place").alias("seq"), ms.alias("time_ms"), "value").where(finite(F.col("time_ms")) & finite(F.col("value")))
+    key = F.from_json("signal_key", "trace_id string, id int")
+    return numbered(found).select(key.alias("k"), F.col("i").alias("seq"), "time_ms", "value").select("k.trace_id", "k.id", "seq", "time_ms", "value")
 
 
 def read_channel(spark: SparkSession, path: str | list[str], signal_id: int, max_data_bytes: int = MOST_BYTES) -> DataFrame:
