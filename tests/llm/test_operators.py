@@ -57,10 +57,12 @@ def test_fences_follow_their_group(spark):
     limits = {src: {tuple(r[f"max_{m}"] for m in quality_rules.MEASURES) for r in got.values() if r["source"] == src} for src in ("code", "prose")}
     assert all(len(x) == 1 for x in limits.values()) and limits["code"] != limits["prose"]
     for src, fence in limits.items():
-        for (m, (percent, least)), value in zip(quality_rules.MEASURES.items(), next(iter(fence)), strict=True):
-            own = sorted(r[m] for r in got.values() if r["source"] == src)
+        for (m, (percent, size)), value in zip(quality_rules.MEASURES.items(), next(iter(fence)), strict=True):
+            own, sizes = (sorted(r[c] for r in got.values() if r["source"] == src) for c in (m, size))
             at = lambda p, own=own: own[(len(own) * p + 99) // 100 - 1]
-            want = at(percent) + 3 * max(at(percent) - at(50), least)
+            typical = at(50, sizes)
+            noise = {"repeat_rate": 30_000 // typical, "mean_word": int(at(50) / typical**0.5)}.get(m, 10_000 // typical)
+            want = at(percent) + 3 * max(at(percent) - at(50), noise)
             assert abs(value - want) <= 0.04 * (4 * at(percent) + 3 * at(50)) + 1
 
 

@@ -12,14 +12,16 @@ m AS (SELECT w.doc_id, lang, source, len(words) AS n_words, length(regexp_replac
 r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(lang, chr(0)) AS gl, coalesce(source, chr(0)) AS gs,
     n_symbols * 10000 // greatest(n_words, 1) AS symbol_rate, n_dup_lines * 10000 // greatest(n_lines, 1) AS dup_line_rate,
     n_repeat_words * 10000 // greatest(n_words, 1) AS repeat_rate, word_chars * 100 // greatest(n_words, 1) AS mean_word FROM m),
-long AS (SELECT gl, gs, measure, CAST(v AS BIGINT) AS v FROM (SELECT * FROM r WHERE NOT base_failed) UNPIVOT (v FOR measure IN (symbol_rate, dup_line_rate, repeat_rate, mean_word))),
+long AS (SELECT gl, gs, measure, CAST(v AS BIGINT) AS v FROM (SELECT *, n_words AS size_words, n_lines AS size_lines FROM r WHERE NOT base_failed) UNPIVOT (v FOR measure IN (symbol_rate, dup_line_rate, repeat_rate, mean_word, size_words, size_lines))),
 bits AS (SELECT *, CASE WHEN v < 64 THEN 0 ELSE CAST(floor(log2(v)) AS BIGINT) END AS top FROM long),
 edges AS (SELECT gl, gs, measure, CASE WHEN v < 64 THEN v ELSE (v >> (top - 5)) << (top - 5) END AS edge FROM bits),
 every AS (SELECT 'g' AS tag, gl, gs, measure, edge FROM edges UNION ALL SELECT 'l', gl, '', measure, edge FROM edges UNION ALL SELECT 'a', '', '', measure, edge FROM edges),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY tag, gl, gs, measure ORDER BY edge) AS rn, count(*) OVER (PARTITION BY tag, gl, gs, measure) AS total FROM every),
-k AS (SELECT * FROM (VALUES ('symbol_rate', 90, 200), ('dup_line_rate', 99, 100), ('repeat_rate', 99, 100), ('mean_word', 90, 25)) v(measure, percent, least)),
-q AS (SELECT tag, gl, gs, measure, max(total) AS total, max(least) AS least, min(edge) FILTER (rn >= (total * 50 + 99) // 100) AS med, min(edge) FILTER (rn >= (total * percent + 99) // 100) AS high FROM ranked JOIN k USING (measure) GROUP BY ALL),
-f AS (SELECT *, CAST(high + 3 * greatest(high - med, least) AS BIGINT) AS fence FROM q),
+k AS (SELECT * FROM (VALUES ('symbol_rate', 90), ('dup_line_rate', 99), ('repeat_rate', 99), ('mean_word', 90), ('size_words', 50), ('size_lines', 50)) v(measure, percent)),
+q AS (SELECT tag, gl, gs, measure, max(total) AS total, min(edge) FILTER (rn >= (total * 50 + 99) // 100) AS med, min(edge) FILTER (rn >= (total * percent + 99) // 100) AS high FROM ranked JOIN k USING (measure) GROUP BY ALL),
+u AS (SELECT tag, gl, gs, greatest(max(med) FILTER (measure = 'size_words'), 1) AS words, greatest(max(med) FILTER (measure = 'size_lines'), 1) AS lines FROM q GROUP BY ALL),
+f AS (SELECT *, CAST(high + 3 * greatest(high - med, CASE measure WHEN 'symbol_rate' THEN 10000 // words WHEN 'dup_line_rate' THEN 10000 // lines WHEN 'repeat_rate' THEN 30000 // words
+  ELSE CAST(floor(med / sqrt(words::DOUBLE)) AS BIGINT) END) AS BIGINT) AS fence FROM q JOIN u USING (tag, gl, gs)),
 p AS (SELECT tag, gl, gs, max(total) AS total, max(fence) FILTER (measure = 'symbol_rate') AS s, max(fence) FILTER (measure = 'dup_line_rate') AS d, max(fence) FILTER (measure = 'repeat_rate') AS t, max(fence) FILTER (measure = 'mean_word') AS w FROM f GROUP BY ALL),
 j AS (SELECT r.*, CASE WHEN g.total IS NULL THEN NULL WHEN g.total >= 20 THEN {'s': g.s, 'd': g.d, 't': g.t, 'w': g.w} WHEN l.total >= 20 THEN {'s': l.s, 'd': l.d, 't': l.t, 'w': l.w} ELSE {'s': a.s, 'd': a.d, 't': a.t, 'w': a.w} END AS x
   FROM r LEFT JOIN p g ON g.tag = 'g' AND g.gl = r.gl AND g.gs = r.gs LEFT JOIN p l ON l.tag = 'l' AND l.gl = r.gl LEFT JOIN p a ON a.tag = 'a')

@@ -26,11 +26,13 @@ MIN_WORDS = 50
 MIN_GROUP = 20
 #: Buckets of the sketch: values below 64 exactly, then 32 buckets for each doubling (an error of at most about 3 %).
 EXACT, FINE = 64, 32
-#: Fence: a high quantile plus REACH times its distance from the median.
+#: Fence: a high quantile plus REACH times its distance from the median, or times the noise of a typical text, if that is more.
 REACH = 3
-#: measure -> (percent of the high quantile, least spread). Rates are per 10,000 words (or lines), word lengths in hundredths of a
+#: measure -> (percent of the high quantile, what it is counted in). Rates are per 10,000 words (or lines), word lengths in hundredths of a
 #: character. Lines and word groups repeat in a few sound documents of every group, so their fences start from further up.
-MEASURES = {"symbol_rate": (90, 200), "dup_line_rate": (99, 100), "repeat_rate": (99, 100), "mean_word": (90, 25)}
+MEASURES = {"symbol_rate": (90, "n_words"), "dup_line_rate": (99, "n_lines"), "repeat_rate": (99, "n_words"), "mean_word": (90, "n_words")}
+#: Sizes whose medians say what a typical text of a group is.
+SIZES = ("n_words", "n_lines")
 #: Salts by which the rows of one group are spread when they meet their fences.
 SALTS = 16
 
@@ -133,7 +135,7 @@ def lower_edge(b: Column) -> Column:
 
 def sketches(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, measure, bucket, n: a sketch for each group and measure. Adding the n of equal buckets merges sketches."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(m).alias("bucket")) for m in MEASURES]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(m).alias("bucket")) for m in (*MEASURES, *SIZES)]))
     return df.select(*keys, pairs.alias("m")).groupBy(*keys, "m.measure", "m.bucket").agg(F.count("*").alias("n"))
 
 
@@ -143,7 +145,7 @@ def merge(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     """keys, measure, total, median, high. A group has a bounded number of buckets, which are folded in one pass."""
-    percent = F.create_map(*[x for m, (p, _) in MEASURES.items() for x in (F.lit(m), F.lit(p))])
+    percent = F.create_map(*[x for m, p in [*((m, p) for m, (p, _) in MEASURES.items()), *((s, 50) for s in SIZES)] for x in (F.lit(m), F.lit(p))])
     rows = sketch.groupBy(*keys, "measure").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b")).withColumn("percent", percent[F.col("measure")])
 
     def at(percent: str) -> Column:
@@ -156,12 +158,17 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """keys, n_<tag>, <measure>_<tag>: one row of upper fences per group."""
-    q = quantiles(sketch, keys)
-    least = F.create_map(*[x for m, (_, v) in MEASURES.items() for x in (F.lit(m), F.lit(v))])
-    fence = (F.col("high") + REACH * F.greatest(F.col("high") - F.col("median"), least[F.col("measure")])).cast("long")
-    pick = [F.max(F.when(F.col("measure") == m, fence)).alias(f"{m}_{tag}") for m in MEASURES]
-    return q.groupBy(*keys).agg(F.max("total").alias(f"n_{tag}"), *pick)
+    """keys, n_<tag>, <measure>_<tag>: one row of upper fences per group.
+
+    Where most texts of a group are alike in a measure, its spread says nothing. So the spread counts as no less than the noise of a text
+    of the group's median size: one symbol, one line or one window of three words more, or the error of a mean word length.
+    """
+    at = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
+    q = quantiles(sketch, keys).groupBy(*keys).agg(F.max("total").alias(f"n_{tag}"), *[at(s, "median").alias(s) for s in SIZES], *[at(m, c).alias(f"{m}_{c}") for m in MEASURES for c in ("median", "high")])
+    noise = {m: F.expr(f"{10_000 * (3 if m == 'repeat_rate' else 1)} div greatest({size}, 1)") for m, (_, size) in MEASURES.items()}
+    noise["mean_word"] = F.floor(F.col("mean_word_median") / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double")))
+    fence = {m: (F.col(f"{m}_high") + REACH * F.greatest(F.col(f"{m}_high") - F.col(f"{m}_median"), noise[m])).cast("long") for m in MEASURES}
+    return q.select(*keys, f"n_{tag}", *[c.alias(f"{m}_{tag}") for m, c in fence.items()])
 
 
 def judge(docs: DataFrame) -> DataFrame:
