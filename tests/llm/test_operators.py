@@ -155,27 +155,63 @@ def test_license_labels_do_not_depend_on_other_files(spark):
     assert set(crowd[100]["labels"].split(",")) == {label for label, *_ in license_scan.TEMPLATES}
 
 
+def brute_licenses(templates, words):
+    """Labels and best score by trying each template at each place."""
+    labels, score = set(), 0.0
+    for label, t, phrases in templates:
+        for start in range(-len(t), len(words)):
+            window = words[max(0, start) : max(0, start + len(t))]
+            if all(any(window[k : k + len(p)] == p for k in range(len(window))) for p in phrases):
+                labels.add(label)
+                score = max(score, sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(t)) / len(t))
+    return labels, score
+
+
+def some_licenses(rng, texts):
+    """Parts of texts with words changed, left out and put in."""
+    words = []
+    for _ in range(rng.randint(1, 4)):
+        t = list(rng.choice(texts))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(t))
+            t[k : k + rng.randint(0, 1)] = [b"x"] * rng.randint(0, 1)
+        words += t[rng.randint(0, 2) :]
+    return words
+
+
 def test_license_places_equal_brute_force():
     rng = random.Random(7)
     index = license_scan.Index(license_scan.TEMPLATES, 10, {})
-    texts = [license_scan.words_of(t.encode()) for _, t, _ in license_scan.TEMPLATES]
+    templates = [(label, license_scan.words_of(t.encode()), [license_scan.words_of(p.encode()) for p in phrases]) for label, t, phrases in license_scan.TEMPLATES]
     for _ in range(300):
-        words = []
-        for _ in range(rng.randint(1, 4)):
-            t = list(rng.choice(texts))
-            for _ in range(rng.randint(0, 3)):
-                k = rng.randrange(len(t))
-                t[k : k + rng.randint(0, 1)] = [b"x"] * rng.randint(0, 1)
-            words += t[rng.randint(0, 2) :]
-        labels, score = set(), 0.0
-        for label, text, phrases in license_scan.TEMPLATES:
-            t = license_scan.words_of(text.encode())
-            for start in range(-len(t), len(words)):
-                window = words[max(0, start) : max(0, start + len(t))]
-                if all(any(window[k : k + len(p)] == p for k in range(len(window))) for p in (license_scan.words_of(p.encode()) for p in phrases)):
-                    labels.add(label)
-                    score = max(score, sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(t)) / len(t))
-        assert index.scan(words, index.leads.intersection(words)) == (labels, score)
+        words = some_licenses(rng, [t for _, t, _ in templates])
+        assert index.scan(words, index.lead_words.intersection(words)) == brute_licenses(templates, words)
+
+
+def test_hundreds_of_templates_cost_what_a_file_has():
+    """300 templates over few words, with shared phrases; looked at are only those whose phrases a file has."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(120)]
+    raw = []
+    for i in range(300):
+        text = [rng.choice(vocabulary) for _ in range(rng.randint(4, 14))]
+        cut = lambda text=text: " ".join(text[(k := rng.randrange(len(text) - 2)) : k + rng.randint(1, 3)])
+        raw.append((f"l{i % 90}", " ".join(text), tuple(cut() for _ in range(rng.randint(1, 2)))))
+    index = license_scan.Index(raw, 1000, {w.encode(): i for i, w in enumerate(vocabulary)})
+    templates = [(label, t.encode().split(), [p.encode().split() for p in phrases]) for label, t, phrases in raw]
+    for _ in range(40):
+        words = some_licenses(rng, [t for _, t, _ in templates]) + [rng.choice(vocabulary).encode() for _ in range(10)]
+        assert index.scan(words, index.lead_words.intersection(words)) == brute_licenses(templates, words)
+    looked_at = Counter()
+
+    class Seen(list):
+        def __getitem__(self, t):
+            looked_at[t] += 1
+            return super().__getitem__(t)
+
+    index.templates = Seen(index.templates)
+    index.scan(templates[0][1], index.lead_words.intersection(templates[0][1]))
+    assert 0 < len(looked_at) < 40
 
 
 # --- 4 BPE

@@ -1,10 +1,11 @@
 """License scans by a positional index of rare words.
 
-Templates of licences are indexed by word and position. The rarity of their words is counted over all files. In each file the
-word of the highest inverse document frequency of each mandatory phrase leads to the places of the phrase, which is verified
-word by word; around those places all the template's words vote, by the difference of their position in the file and in
-the template, for where the template stands, and the share of its words found in order there is the score. Rarity only sets the
-order of the work: how many files have a word changes neither labels nor scores.
+One inverted index holds the words of all templates with the templates and positions they stand at, and the words of the highest inverse
+document frequency of their mandatory phrases; rarity is counted over all files. A file's words of that kind are looked up, the rarest
+first, and lead to the phrases and, where these are verified word by word, to the templates that have all of them; there the postings are
+intersected by the difference of the position in the file and in the template, and the largest share of a template's words that agree on
+one difference is the score. The work grows with what a file has, not with the number of templates. Rarity only sets the order
+of the work: how many files have a word changes neither labels nor scores.
 
 Cases: a null text is empty: no words, no labels, score 0; repeated rows are scanned each by itself; an empty table gives no
 rows; extra columns are ignored; a text of any length is scanned whole, and all its places count.
@@ -51,45 +52,61 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 class Index:
-    """Postings of the templates' words; the rarest word of each mandatory phrase (``leads``) leads to the phrase, at any frequency."""
+    """word -> templates and positions; the rarest word of each mandatory phrase (``leads``) -> phrases; phrase -> templates."""
 
     def __init__(self, templates, files: int, with_word: dict[bytes, int]):
-        self.templates = []
-        words_in = [(label, words_of(text.encode()), [words_of(p.encode()) for p in phrases]) for label, text, phrases in templates]
+        words_in = [(label, words_of(text.encode()), [tuple(words_of(p.encode())) for p in phrases]) for label, text, phrases in templates]
         self.idf = {w: math.log((1 + files) / (1 + with_word.get(w, 0))) for _, words, phrases in words_in for w in [*words, *(w for p in phrases for w in p)]}
-        for label, words, phrases in words_in:
-            postings: dict[bytes, list[int]] = defaultdict(list)
+        self.templates = [(label, len(words), sorted(set(phrases))) for label, words, phrases in words_in]
+        self.postings: dict[bytes, dict[int, list[int]]] = defaultdict(dict)
+        self.with_phrase: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
+        for t, (_, words, phrases) in enumerate(words_in):
             for at, w in enumerate(words):
-                postings[w].append(at)
-            lead = [max(range(len(p)), key=lambda k, p=p: (self.idf[p[k]], -k)) for p in phrases]
-            self.templates.append((label, len(words), dict(postings), list(zip(phrases, lead, strict=True)), frozenset(p[k] for p, k in zip(phrases, lead, strict=True))))
-        self.leads = frozenset(w for *_, leads in self.templates for w in leads)
+                self.postings[w].setdefault(t, []).append(at)
+            for p in set(phrases):
+                self.with_phrase[p].append(t)
+        self.leads: dict[bytes, list[tuple[list[bytes], int]]] = defaultdict(list)
+        for p in self.with_phrase:
+            lead = max(range(len(p)), key=lambda k, p=p: (self.idf[p[k]], -k))
+            self.leads[p[lead]].append((list(p), lead))
+        self.lead_words = frozenset(self.leads)
 
     def scan(self, words: list[bytes], have: frozenset[bytes] | set[bytes]) -> tuple[set[str], float]:
-        """Labels and the best score of a file's words, of which it has the leads ``have``."""
+        """Labels and the best score of a file's words, of which it has the lead words ``have``."""
+        at_word: dict[bytes, list[int]] = {w: [] for w in have}
+        for at, w in enumerate(words):
+            if w in at_word:
+                at_word[w].append(at)
+        found: dict[tuple[bytes, ...], list[int]] = {}
+        for w in sorted(have, key=lambda w: (-self.idf[w], w)):
+            for phrase, lead in self.leads[w]:
+                own = [at - lead for at in at_word[w] if at >= lead and words[at - lead : at - lead + len(phrase)] == phrase]
+                if own:
+                    found[tuple(phrase)] = own
         labels, score = set(), 0.0
-        for label, size, postings, phrases, leads in self.templates:
-            if not leads <= have:
+        for t, n in Counter(t for p in found for t in self.with_phrase[p]).items():
+            label, size, phrases = self.templates[t]
+            if n < len(phrases):
                 continue
-            starts = _starts(words, phrases, size)
+            starts = _starts([(found[p], len(p)) for p in phrases], size)
             if starts:
                 labels.add(label)
             for low, high in starts:
                 votes: Counter = Counter()  # the words in reach vote for starts by their difference of position
                 for at in range(max(0, low), min(len(words), high + size)):
-                    for place in postings.get(words[at], ()):
+                    for place in self.postings[words[at]].get(t, ()) if words[at] in self.postings else ():
                         votes[at - place] += 1
                 score = max([score, *(n / size for start, n in votes.items() if low <= start <= high)])
         return labels, score
 
 
-def _starts(words: list[bytes], phrases: list[tuple[list[bytes], int]], size: int) -> list[tuple[int, int]]:
-    """Ranges (first, last) of the starts at which a template of ``size`` words has all its phrases within it."""
+def _starts(phrases: list[tuple[list[int], int]], size: int) -> list[tuple[int, int]]:
+    """Ranges (first, last) of the starts at which a template of ``size`` words has all its phrases (places, length) within it."""
     out: list[tuple[int, int]] | None = None
-    for phrase, lead in phrases:
+    for places, length in phrases:
         own: list[tuple[int, int]] = []
-        for at in _places(words, phrase, lead):
-            low = at + len(phrase) - size
+        for at in places:
+            low = at + length - size
             if own and low <= own[-1][1] + 1:
                 own[-1] = own[-1][0], at
             else:
@@ -114,16 +131,16 @@ def _overlap(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
-def _places(words: list[bytes], phrase: list[bytes], lead: int = 0) -> list[int]:
-    """Starts of the places where the phrase's words stand one after the other; they are looked for by the word ``lead``."""
-    out, at, n = [], lead - 1, len(phrase)
+def _places(words: list[bytes], phrase: list[bytes]) -> list[int]:
+    """Starts of the places where the phrase's words stand one after the other."""
+    out, at, n = [], -1, len(phrase)
     while True:
         try:
-            at = words.index(phrase[lead], at + 1)
+            at = words.index(phrase[0], at + 1)
         except ValueError:
             return out
-        if words[at - lead : at - lead + n] == phrase:
-            out.append(at - lead)
+        if words[at : at + n] == phrase:
+            out.append(at)
 
 
 _BASE = [([w.encode() for w in phrase.split()], label) for phrase, label in PHRASES]
@@ -156,7 +173,7 @@ def _scan(index: Index) -> Callable:
                 raw = data.tobytes().lower()
                 for i in range(len(offsets) - 1):
                     words = _WORD.findall(raw, offsets[i], offsets[i + 1])
-                    have = index.leads.intersection(words)
+                    have = index.lead_words.intersection(words)
                     labels, score = index.scan(words, have) if have else (set(), 0.0)
                     base = {label: _places(words, phrase) for phrase, label in _BASE} if b"license" in have or b"license" in words else {}
                     places = [p for own in base.values() for p in own]
