@@ -13,7 +13,7 @@ from .functions.bits import j1939
 from .operators import catalog, decode, frames, series
 from .plans import layouts
 from .plans.model import Database, Message
-from .sources import blf, dbc, mf4
+from .sources import blf, dbc, frame_index, mf4
 from .sources.traces import open_trace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,6 +311,14 @@ def legend_order_grouped(spark, sf_dir):
     return placed.select(F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("place"), F.col("signal_name").alias("name"), "unit", "factor")
 
 
+@query("SELECT seq, time_ms, w * 0.5::DOUBLE + -100.0::DOUBLE AS value FROM carried WHERE can_id = 7 AND channel = 1 AND direction = 'rx' AND timestamp_ns BETWEEN 0 AND 900000000000000")
+def decode_from_index(spark, sf_dir):
+    """One signal from frames that were written as an index: only files that may hold its message, source and time are opened."""
+    index = frame_index.write(bus.frames(spark, sf_dir), recordings.scratch(spark, "bus.index"), 64)
+    own = index.of_message(7, False, (1, "rx"), (0, 900_000_000_000_000))
+    return decode.samples(own, bus.MESSAGE, bus.VALUE).select("seq", "time_ms", "value")
+
+
 STEMS = ("Öl", "ol", "Zug", "zug", "a_b", "ét", "Et", "öl", "a-b", "Ab")
 
 

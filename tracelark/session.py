@@ -14,7 +14,7 @@ from .operators import catalog as catalogs
 from .operators import decode, frames, series
 from .plans.model import Database, Message, Signal
 from .plans.view import Heights, Span, View, first_free, shown
-from .sources import mf4
+from .sources import frame_index, mf4
 from .sources.dbc import message_table, warning_table
 from .sources.traces import MOST_DBC, Trace, open_dbc, open_trace, trace_warning
 
@@ -54,10 +54,14 @@ class Session:
     database_fault: str | None = None
 
     def open_trace(self, path: str, **options) -> Trace:
-        """Opens a recording; selection, window, markers and embedded databases of the one before are dropped."""
+        """Opens a recording; selection, window, markers and embedded databases of the one before are dropped.
+
+        With ``index``, a new folder, the frames are written there, clustered for questions about one message; else they are cached.
+        """
         self.close()
+        index = options.pop("index", None)
         self.trace = open_trace(self.spark, path, **options)
-        self.trace.frames = self.trace.frames.cache()
+        self.trace.frames = frame_index.write(self.trace.frames, index).frames if index else self.trace.frames.cache()
         if self.trace.kind == "mf4":
             self._take_databases()
         return self.trace
@@ -79,6 +83,7 @@ class Session:
     def close(self) -> None:
         if self.trace is not None:
             self.trace.frames.unpersist()
+            self.trace.closed = True
         self.trace, self.window, self.database_fault = None, None, None
         self.databases = {k: v for k, v in self.databases.items() if not k.startswith(BROUGHT)}
         self.heights = Heights()

@@ -22,6 +22,13 @@ class Trace:
     meta: DataFrame
     kind: str
     path: str
+    closed: bool = False
+
+    def opened(self) -> Trace:
+        """Itself, while the session that opened it has not closed it."""
+        if self.closed:
+            raise ValueError("trace handle is closed")
+        return self
 
 
 def trace_type(name: str) -> str | None:
@@ -54,13 +61,21 @@ def check_limit(limit: int) -> int:
     return limit
 
 
-def open_trace(spark: SparkSession, path: str, max_data_bytes: int = MOST_TRACE) -> Trace:
-    """Frames and metadata of one recording or of all that a path pattern names; text recordings of any size are read in splits."""
+def open_trace(spark: SparkSession, path: str, max_data_bytes: int | None = None) -> Trace:
+    """Frames and metadata of one recording or of all that a path pattern names. Binary ones may expand to ``max_data_bytes`` each, MOST_TRACE if that
+    is not given; text recordings are read in splits and may have any size, unless it is given."""
     kind = trace_type(path)
     if kind is None:
         raise ValueError("Unsupported trace file type. Open .asc, .trc, .blf, or .mf4.")
-    check_limit(max_data_bytes)
-    frames, meta = READERS[kind](spark, path) if kind in ("asc", "trc") else READERS[kind](spark, path, max_data_bytes)
+    limit = check_limit(MOST_TRACE if max_data_bytes is None else max_data_bytes)
+    if kind in ("asc", "trc"):
+        if max_data_bytes is not None:
+            longest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0  # of the file list, no content
+            if longest > limit:
+                raise ValueError(f"the recording has more than {limit} bytes")
+        frames, meta = READERS[kind](spark, path)
+    else:
+        frames, meta = READERS[kind](spark, path, limit)
     return Trace(frames, meta, kind, path)
 
 

@@ -1,7 +1,8 @@
-"""Frames from a stream of lines or of frame rows: decoding, windows with late data, duplicates, and running clocks as state."""
+"""Frames from a stream of lines or of frame rows: decoding, windows with late data, duplicates, and running clocks and order as state that expires."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,14 +43,62 @@ def distinct(frames: DataFrame, keys: list[str], at: str, late: str) -> DataFram
     return frames.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def running_clock(rows: DataFrame) -> DataFrame:
-    """channel, n, clock: for each channel the rows so far and the sum of their relative stamps, kept as state between batches."""
+def running_clock(rows: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """channel, n, clock: for each channel the rows so far and the sum of their relative stamps, kept as state between batches.
+
+    With ``idle_ms``, a channel from which nothing has come for so long is forgotten, and its clock starts anew with its next row; such a stream looks
+    at its state in every batch, also where no rows have come.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, clock = state.get if state.exists else (0, 0)
         for f in frames:
             n, clock = n + len(f), clock + int(f["stamp"].sum())
         state.update((n, clock))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"channel": [key[0]], "n": [n], "clock": [clock]})
 
-    return rows.groupBy("channel").applyInPandasWithState(step, "channel string, n long, clock long", "n long, clock long", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("channel").applyInPandasWithState(step, "channel string, n long, clock long", "n long, clock long", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def in_order(frames: DataFrame, at: str, late: str) -> DataFrame:
+    """channel, seq, at, timestamp_ns, can_id, payload of the frames of each channel in the order of time ``at``, then of seq, with the time to the frame before (step_ns).
+
+    Frames wait as state until the watermark, ``late`` behind the latest time, has passed them, so what comes late, but not later, is put in
+    its place; what comes later still is left out. A channel whose frames have all gone out keeps its last stamp for another ``late`` and is then forgotten:
+    state is bounded by the frames and the channels of that span.
+    """
+    wait = F.expr(f"INTERVAL {late}")
+    rows = frames.select(F.coalesce(F.col("channel"), F.lit(-1)).alias("channel"), "seq", F.col(at).alias("at"), "timestamp_ns", "can_id", "payload", F.unix_millis(F.col(at)).alias("ms"), (F.unix_millis(F.col(at) + wait) - F.unix_millis(F.col(at))).alias("late_ms"))
+    rows = rows.withWatermark("at", late)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, late_ms, waiting = (state.get[0], state.get[1], pickle.loads(state.get[2])) if state.exists else (None, 0, [])
+        for f in batches:
+            if not len(f):  # a timeout brings an empty one
+                continue
+            late_ms = max(late_ms, int(f["late_ms"].max()))
+            waiting += list(zip(f["ms"].tolist(), f["seq"].tolist(), f["timestamp_ns"].tolist(), f["can_id"].tolist(), f["payload"].tolist(), strict=True))
+        now = state.getCurrentWatermarkMs()
+        waiting.sort(key=lambda r: r[:2])
+        n = sum(r[0] <= now for r in waiting)
+        out, waiting = waiting[:n], waiting[n:]
+        steps = []
+        for r in out:
+            steps.append(None if last is None else r[2] - last)
+            last = r[2]
+        if state.hasTimedOut and not out and not waiting:
+            state.remove()
+        else:
+            state.update((last, late_ms, pickle.dumps(waiting)))
+            state.setTimeoutTimestamp(max(now + 1, waiting[0][0] if waiting else now + late_ms))
+        if out:
+            yield pd.DataFrame({"channel": key[0], "seq": [r[1] for r in out], "at_ms": [r[0] for r in out], "timestamp_ns": [r[2] for r in out], "can_id": [r[3] for r in out], "payload": [r[4] for r in out], "step_ns": pd.array(steps, "Int64")})
+
+    kind = "channel int, seq long, at_ms long, timestamp_ns long, can_id int, payload binary, step_ns long"
+    own = rows.groupBy("channel").applyInPandasWithState(step, kind, "last long, late_ms long, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return own.select(F.when(F.col("channel") >= 0, F.col("channel")).alias("channel"), "seq", F.timestamp_millis("at_ms").alias("at"), "timestamp_ns", "can_id", "payload", "step_ns")
