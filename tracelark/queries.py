@@ -392,6 +392,32 @@ def read_blf(spark, sf_dir):
     return _read(blf.read_files(recordings.blf(spark, sf_dir))[0])
 
 
+@query(f"""SELECT timestamp_ns, channel, CASE WHEN kind = 'error' THEN 'unknown' WHEN direction = 'tx' THEN 'tx' ELSE 'rx' END AS direction, kind, can_id, kind = 'data' AND is_fd AS is_fd,
+  CASE WHEN kind <> 'remote' THEN {HEX_SQL} END AS payload_hex FROM bus""")
+def read_blf_newer(spark, sf_dir):
+    """BLF recordings with the later kinds of objects for classic and FD frames."""
+    return _read(blf.read_files(recordings.blf(spark, sf_dir, True))[0]).drop("is_extended", "dlc")
+
+
+@query("""SELECT sum((kind = 'data' AND seq % 50 <> 0)::INT)::BIGINT AS valid_message_count, max(CASE WHEN kind = 'data' AND seq % 50 <> 0 THEN timestamp_ns END) AS duration_ns,
+  sum((seq % 150 IN (0, 50))::INT)::BIGINT AS skipped_line_count FROM bus""")
+def read_asc_malformed(spark, sf_dir):
+    """ASC recordings with lines that are skipped (too long, too precise) and remarks that do not count."""
+    meta = open_trace(spark, recordings.asc(spark, sf_dir, True)).meta
+    return meta.agg(F.sum("valid_message_count").alias("valid_message_count"), F.max("duration_ns").alias("duration_ns"), F.sum("skipped_line_count").alias("skipped_line_count"))
+
+
+@query("""SELECT what, us - min(us) OVER (PARTITION BY file) AS at_us, value FROM (
+  SELECT 'frame' AS what, timestamp_ns // 1000 AS us, seq // 4096 AS file, can_id::DOUBLE AS value FROM data WHERE seq % 2 = 1
+  UNION ALL SELECT 'Scaled', timestamp_ns // 1000, seq // 4096, w * 0.5::DOUBLE + -100.0::DOUBLE FROM carried)""")
+def read_mf4_unsorted(spark, sf_dir):
+    """MF4 recordings with record ids, whose frames and native signals have absolute clocks with one origin."""
+    files = recordings.mf4_unsorted(spark, sf_dir)
+    bus_rows = mf4.read(spark, files)[0].select(F.lit("frame").alias("what"), F.round(F.col("timestamp_ns") / 1000).cast("long").alias("at_us"), F.col("can_id").cast("double").alias("value"))
+    native = mf4.read_channels(spark, files, [0]).select(F.lit("Scaled").alias("what"), F.round(F.col("time_ms") * 1000).cast("long").alias("at_us"), "value")
+    return bus_rows.unionByName(native)
+
+
 @query(f"SELECT timestamp_ns // 1000 AS timestamp_us, channel, can_id, CAST(payload_len AS INTEGER) AS dlc, {HEX_SQL} AS payload_hex FROM data")
 def read_mf4_frames(spark, sf_dir):
     """MF4 recordings of bus frames, in transposed and compressed blocks."""

@@ -57,8 +57,8 @@ def _written(rows: DataFrame, header: list[str], path: str) -> str:
     return path
 
 
-def asc(spark: SparkSession, sf_dir: str) -> str:
-    """Hexadecimal, with absolute stamps."""
+def asc(spark: SparkSession, sf_dir: str, broken: bool = False) -> str:
+    """Hexadecimal, with absolute stamps. If ``broken``, every fiftieth line is one that is skipped, or a remark."""
     way = F.when(F.col("direction") == "unknown", "-").otherwise(F.initcap("direction"))
     ident, n = F.lower(F.hex("can_id")), F.col("payload_len")
     line = (
@@ -67,6 +67,9 @@ def asc(spark: SparkSession, sf_dir: str) -> str:
         .when(F.col("is_fd"), F.concat_ws(" ", "stamp", F.lit("CANFD"), "channel", way, ident, F.lit("1 0"), "dlc", n, _tokens()))
         .otherwise(F.concat_ws(" ", "stamp", "channel", ident, way, F.lit("d"), "dlc", _tokens()))
     )
+    if broken:
+        bad = F.when(F.col("seq") % 150 == 0, "1.5 1 100 Rx d 9 00 01 02 03 04 05 06 07 08").when(F.col("seq") % 150 == 50, "0.1234567891 1 100 Rx d 1 00").otherwise("// a remark")
+        line = F.when(F.col("seq") % 50 == 0, bad).otherwise(line)
     rows = _frames(spark, sf_dir).withColumn("stamp", _decimal(F.col("timestamp_ns"), 9)).select("file", "seq", line.alias("line"))
     return _written(rows, ["date Thu Apr 30 12:00:00.000 2026", "base hex timestamps absolute"], scratch(spark, "bus.asc"))
 
@@ -108,17 +111,21 @@ def _files(rows: DataFrame, end: str, make: Callable[[list], bytes]) -> DataFram
     return rows.groupBy("file").applyInPandas(build, "path string, content binary")
 
 
-def blf(spark: SparkSession, sf_dir: str) -> DataFrame:
+def blf(spark: SparkSession, sf_dir: str, newer: bool = False) -> DataFrame:
+    """``newer`` takes the later kinds of objects for classic and FD frames."""
+
     def make(own: list) -> bytes:
         objects = []
         for r in own:
             data, tx = bytes(r.payload), int(r.direction == "tx")
             if r.kind == "error":
                 kind, body = 73, writers.error_frame(r.channel, r.can_id, data)
+            elif r.kind == "data" and r.is_fd and newer:
+                kind, body = 101, writers.can_fd_64(r.channel, r.can_id, data, tx)
             elif r.kind == "data" and r.is_fd:
                 kind, body = 100, writers.can_fd(r.channel, r.can_id, data, flags=tx, dlc=r.dlc)
             else:
-                kind, body = 1, writers.can_message(r.channel, r.can_id, data, tx | (0x80 if r.kind == "remote" else 0))
+                kind, body = 86 if newer else 1, writers.can_message(r.channel, r.can_id, data, tx | (0x80 if r.kind == "remote" else 0))
             objects.append(writers.blf_object(kind, r.timestamp_ns, body))
         return writers.blf(objects, 10_000)
 
@@ -140,6 +147,28 @@ def mf4_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(data_frames(_frames(spark, sf_dir)), "mf4", make)
 
 
+def mf4_unsorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames (of odd numbers) and native samples (of whole frames) as records with ids in one stream, cut into blocks; both clocks are absolute."""
+
+    def make(own: list) -> bytes:
+        m, at = writers.Mf4(), 0
+        clock = {"kind": 2, "sync": 1, "conversion": (1, 2e8, 1e-6)}
+        for name, byte, bits, more in (("DataBytes", 14, 64, {"data_type": 10}), ("DataLength", 13, 8, {}), ("DLC", 12, 8, {}), ("ID", 8, 29, {})):
+            at = m.channel(f"CAN_DataFrame.{name}", byte, bits, after=at, **more)
+        at = m.channel("Timestamp", 0, 64, after=m.channel("CAN_DataFrame", 8, 112, data_type=10, part=at), **clock)
+        odd, whole = [r for r in own if r.seq % 2], [r for r in own if r.payload_len == 8]
+        bus_group = m.group(at, 22, len(odd), flags=2, record_id=9)
+        native = m.group(m.channel("t", 0, 64, after=m.channel("Scaled", 8, 16, conversion=(1, -100.0, 0.5)), **clock), 10, len(whole), "Bus", record_id=7, after=bus_group)
+        stream = b""
+        for r in own:
+            us = r.timestamp_ns // 1000
+            stream += b"\x09" + struct.pack("<QIBB", us, r.can_id, r.dlc, r.payload_len) + bytes(r.payload).ljust(8, b"\0") if r.seq % 2 else b""
+            stream += b"\x07" + struct.pack("<Q", us) + bytes(r.payload[:2]) if r.payload_len == 8 else b""
+        return m.finish(m.data_group(native, m.listed([m.data(stream[k : k + 5000]) if k % 2 else m.packed(stream[k : k + 5000]) for k in range(0, len(stream), 5000)]), 1))
+
+    return _files(data_frames(_frames(spark, sf_dir)), "mf4", make)
+
+
 def mf4_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole frames' first 16 bits as a scaled and as a signed channel, and the time in milliseconds as a float, by seconds."""
 

@@ -83,6 +83,9 @@ class Mf4:
         packed = zlib.compress(own)
         return self.block(b"##DZ", [], b"DT" + bytes([1 if row else 0, 0]) + struct.pack("<IQQ", row, len(content), len(packed)) + packed)
 
+    def listed(self, blocks: list[int]) -> int:
+        return self.block(b"##DL", [0, *blocks], bytes(8))
+
     def attach(self, name: str, content: bytes) -> int:
         return self.block(b"##AT", [0, self.text(name), 0, 0], struct.pack("<H", 1) + bytes(22) + struct.pack("<QQ", len(content), len(content)) + content)
 
