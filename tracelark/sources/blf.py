@@ -28,6 +28,8 @@ HEADER, BASE = 72, 16
 MOST_BYTES = 500 * 1024 * 1024
 _U32, _U16 = struct.Struct("<I"), struct.Struct("<H")
 _OBJECT, _REST, _STAMP = struct.Struct("<4sHHII"), struct.Struct("<HHII"), struct.Struct("<IIQ")
+#: Kind of a row that says why a container's frames cannot be read.
+FAULT = "fault"
 #: What every object begins with.
 MARK = b"LOBJ"
 
@@ -286,7 +288,7 @@ def _stitch(most: int) -> Callable:
     first marks mislead gives one row with container -1."""
 
     def file(path: str, rows: list[tuple]) -> list[tuple]:
-        out, seq, rest, nothing = [], 0, b"", (None,) * 10
+        out, seq, rest, nothing, fault = [], 0, b"", (None,) * 10, None
         for i, head, tail, n, _ in rows:
             if n is None:
                 return [(path, -1, None, None, *nothing)]
@@ -299,17 +301,20 @@ def _stitch(most: int) -> Callable:
                 rest = data[e.value :]
             except TraceError:
                 return [(path, -1, None, None, *nothing)]
-            for frame in frames_of(iter(found)):
-                out.append((path, i, None, seq, *frame))
-                seq += 1
+            try:
+                for frame in frames_of(iter(found)):
+                    out.append((path, i, None, seq, *frame))
+                    seq += 1
+            except TraceError as e:  # if the first marks do not mislead, as may turn out yet
+                fault = fault or e
             if n or tail:  # parsed from its first mark on: the object before must end there
                 if len(rest) > 4:
                     return [(path, -1, None, None, *nothing)]
                 rest = tail
             out.append((path, i, seq, None, *nothing))
             seq += n
-        if rest:
-            raise TraceError("an object is cut off")
+        if fault is not None or rest:
+            raise fault or TraceError("an object is cut off")
         return out
 
     def stitch(batches: Iterator) -> Iterator:
@@ -350,8 +355,8 @@ def _frames(most: int, whole: bool) -> Callable:
                         try:
                             for k, f in enumerate(frames_of(_objects(data, _begin(data, i)))):
                                 yield path, i, k, f
-                        except TraceError:  # the file is parsed as a whole, where the fault shows if it is one
-                            continue
+                        except TraceError as e:  # a fault of the file, unless its first marks mislead
+                            yield path, i, 0, (0, None, "unknown", FAULT, None, None, False, 0, 0, str(e).encode())
                 return
             flat = ((path, expand(body, most)) for batch in batches for path, _, body in zip(*[batch.column(j).to_pylist() for j in range(3)], strict=True))
             for path, parts in groupby(flat, key=lambda x: x[0]):
@@ -373,6 +378,8 @@ def frames_table(containers: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     across = placed.where("seq is not null").select(F.col("path").alias("trace_id"), *FRAME_COLUMNS[1:])
     firsts = placed.where("first is not null").select(F.col("path").alias("trace_id"), "container", "first")
     within = containers.mapInArrow(_frames(most, False), f"{FRAME_SCHEMA}, container int").join(firsts, ["trace_id", "container"])
+    fault = F.raise_error(F.col("payload").cast("string")).cast("boolean")
+    within = within.where(F.when(F.col("kind") == FAULT, fault).otherwise(True))
     within = within.withColumn("seq", F.col("first") + F.col("seq")).select(*FRAME_COLUMNS)
     misled = placed.where("container = -1").select("path").distinct()
     rest = containers.join(misled, "path", "left_semi").repartition("path").sortWithinPartitions("path", "container")
