@@ -44,3 +44,16 @@ def test_relative_stamps_of_many_files(spark, bus_dir, many_parts):
     want = c.execute(f"SELECT count(*), sum(timestamp_ns)::BIGINT, sum(can_id)::BIGINT FROM ({queries.ORACLE_SQL['read_asc_relative_decimal']})").fetchall()[0]
     got = queries.QUERIES["read_asc_relative_decimal"](spark, bus_dir).agg(F.count("*"), F.sum("timestamp_ns"), F.sum("can_id")).first()
     assert tuple(got) == tuple(want)
+
+
+def test_filters_stay_above_the_parse(spark, bus_dir, tmp_path):
+    """A filter on the kind of a line, moved below what the kind is made of, grew to a hundred times the line's own expressions."""
+    from tracelark.sources import asc, trc
+
+    for read, text in ((asc.read, "0.5 1 100 Rx d 1 00\n"), (trc.read, ";$FILEVERSION=1.1\n 1) 1.5 1 Rx 0100 - 1 00\n"), (trc.read, ";$FILEVERSION=2.1\n;$COLUMNS=N,O,T,B,I,d,R,L,D\n 1 1.5 DT 1 0100 Rx - 1 00\n")):
+        path = tmp_path / f"{abs(hash(text))}.txt"
+        path.write_text(text)
+        frames, _ = read(spark, str(path))
+        plan = frames._jdf.queryExecution().optimizedPlan().toString()
+        filters = [x.split("Filter", 1)[1] for x in plan.splitlines() if "Filter " in x]
+        assert filters and max(map(len, filters)) < 2000 and frames.count() == 1
