@@ -57,3 +57,14 @@ def test_filters_stay_above_the_parse(spark, bus_dir, tmp_path):
         plan = frames._jdf.queryExecution().optimizedPlan().toString()
         filters = [x.split("Filter", 1)[1] for x in plan.splitlines() if "Filter " in x]
         assert filters and max(map(len, filters)) < 2000 and frames.count() == 1
+
+
+def test_trc_files_of_different_versions_are_read_together(spark, tmp_path):
+    from tracelark.sources import trc
+
+    (tmp_path / "a.trc").write_text(";$FILEVERSION=1.1\n 1) 1.5 1 Rx 0100 - 1 0A\n")
+    (tmp_path / "b.trc").write_text(";$FILEVERSION=2.1\n;$COLUMNS=N,O,T,B,I,d,R,L,D\n 1 2.5 DT 1 0101 Rx - 1 0B\n")
+    (tmp_path / "c.trc").write_text(";$FILEVERSION=1.1\n 1) 3.5 1 Rx 0102 - 1 0C\n")
+    both = lambda *names: sorted((r["timestamp_ns"], r["can_id"], bytes(r["payload"])) for r in trc.read(spark, [str(tmp_path / n) for n in names])[0].collect())
+    assert both("a.trc", "b.trc", "c.trc") == [(1_500_000, 0x100, b"\x0a"), (2_500_000, 0x101, b"\x0b"), (3_500_000, 0x102, b"\x0c")]
+    assert both("a.trc", "c.trc") == [(1_500_000, 0x100, b"\x0a"), (3_500_000, 0x102, b"\x0c")]
