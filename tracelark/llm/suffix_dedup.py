@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -236,17 +237,24 @@ class Factors:
         bits = len(data).bit_length()
         k, ranks = self.levels[-1]
         key = _joined(k, ranks, most, starts, 3 if 3 * bits <= 63 else 2, bits) if k < most else ranks[starts].astype(np.int64)
-        self.order = order = np.lexsort((place, key))
+        rising = bool(np.all(place[1:] > place[:-1]))
+        self.order = order = np.argsort(key, kind="stable") if rising else np.lexsort((place, key))
         n = len(order)
         at, left = starts[order], np.minimum(room[order], most)
         common = np.zeros(n + 1, np.int64)  # with the neighbour before; none before the first and after the last
         if n > 1:
             same = key[order[1:]] == key[order[:-1]]
             common[1:n] = np.minimum(np.where(same, most, self._common(at[:-1], at[1:])), np.minimum(left[1:], left[:-1]))
-        longest = np.maximum(common[:n], common[1:])
-        ahead = np.maximum(_smaller(place[order], common[:n]), _smaller(place[order][::-1], common[:0:-1])[::-1])
-        self.other, self.previous = np.empty(n, np.int64), np.empty(n, np.int64)
-        self.other[order], self.previous[order] = longest, ahead
+        self.place, self.common = place, common
+        self.other = np.empty(n, np.int64)
+        self.other[order] = np.maximum(common[:n], common[1:])
+
+    @cached_property
+    def previous(self) -> np.ndarray:
+        order, n = self.order, len(self.order)
+        out = np.empty(n, np.int64)
+        out[order] = np.maximum(_smaller(self.place[order], self.common[:n]), _smaller(self.place[order][::-1], self.common[:0:-1])[::-1])
+        return out
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Longest common prefixes of the suffixes at a and b, by descending through the levels, up to ``most``."""
@@ -283,6 +291,7 @@ def factor_runs(pieces: list[tuple[int, int, int, bytes]], levels: tuple[int, ..
 
     With ``first`` those whose longest previous factor reaches the level's length; otherwise those with any other match of that length.
     """
+    pieces = sorted(pieces, key=lambda p: p[:2])  # segments of one text share no start, so this is the order of all starts
     sizes = np.array([len(p[3]) + 1 for p in pieces])
     data = np.frombuffer(END.join([p[3] for p in pieces]) + END, np.uint8)
     heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -291,9 +300,7 @@ def factor_runs(pieces: list[tuple[int, int, int, bytes]], levels: tuple[int, ..
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     ids, firsts = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
     start = firsts[owner] + offset
-    place = np.empty(len(owner), np.int64)
-    place[np.lexsort((start, ids[owner]))] = np.arange(len(owner))
-    factors = Factors(data, heads[owner] + offset, place, sizes[owner] - 1 - offset, levels[-1])
+    factors = Factors(data, heads[owner] + offset, np.arange(len(owner)), sizes[owner] - 1 - offset, levels[-1])
     reach = factors.previous if first else factors.other
     out: list[tuple[int, int, int, int]] = []
     for level, length in enumerate(levels):
