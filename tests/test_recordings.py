@@ -68,3 +68,14 @@ def test_trc_files_of_different_versions_are_read_together(spark, tmp_path):
     both = lambda *names: sorted((r["timestamp_ns"], r["can_id"], bytes(r["payload"])) for r in trc.read(spark, [str(tmp_path / n) for n in names])[0].collect())
     assert both("a.trc", "b.trc", "c.trc") == [(1_500_000, 0x100, b"\x0a"), (2_500_000, 0x101, b"\x0b"), (3_500_000, 0x102, b"\x0c")]
     assert both("a.trc", "c.trc") == [(1_500_000, 0x100, b"\x0a"), (3_500_000, 0x102, b"\x0c")]
+
+
+def test_blf_tasks_hold_few_frames_at_a_time():
+    import pyarrow as pa
+
+    from tracelark.sources import blf, writers
+
+    data = writers.blf([writers.blf_object(1, i, writers.can_message(1, i % 2048, b"ab")) for i in range(12_000)], 1_000_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([0], pa.int32()), pa.array(list(blf.bodies(data)), pa.binary())], names=["path", "container", "body"])
+    sizes = [b.num_rows for b in blf._frames(blf.MOST_BYTES, False)(iter([batch]))]
+    assert sum(sizes) == 12_000 and max(sizes) <= 5_000
