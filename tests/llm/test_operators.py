@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracelark.llm import bpe, classifier, components, levenshtein, license_scan, mixing, nearest, ngram_join, quality_rules, suffix_dedup, toxicity, trie_join, url_filter
@@ -619,6 +620,34 @@ def test_longest_factors_of_one_text():
         assert got.other.tolist() == [max((common(i, j) for j in range(len(text)) if j != i), default=0) for i in range(len(text))]
 
 
+def test_only_starts_of_shared_strings_are_sorted(monkeypatch):
+    """Of segments that share an anchor, but hardly a string, few bytes go into the suffix order; before, all of them did."""
+    rng, sorted_bytes, real = random.Random(5), [], suffix_dedup.Factors
+    monkeypatch.setattr(suffix_dedup, "Factors", lambda data, *rest: sorted_bytes.append(len(data)) or real(data, *rest))
+    some = lambda n: bytes(rng.choices(range(97, 123), k=n))
+    pieces = [(i, 7, 60, some(60) + b"anchor" + some(120)) for i in range(50)]
+    for first in (False, True):
+        assert suffix_dedup.factor_runs(pieces, (40, 90), first) == [] and not sorted_bytes
+    both = [*pieces, (60, 3, 60, pieces[4][3][20:80] + b"#" + some(125)), (61, 0, 60, pieces[9][3][:140] + b"#" + some(45))]
+    assert sorted(suffix_dedup.factor_runs(both, (40, 90), False)) == sorted([(4, 27, 47, 0), (60, 3, 23, 0), (9, 7, 66, 0), (61, 0, 59, 0), (9, 7, 57, 1), (61, 0, 50, 1)])
+    assert sorted(suffix_dedup.factor_runs(both, (40, 90), True)) == sorted([(60, 3, 23, 0), (61, 0, 59, 0), (61, 0, 50, 1)])
+    assert max(sorted_bytes) <= 2 * (60 + 149 + 2) < sum(len(p[3]) for p in both) / 20
+
+
+def test_strings_of_crowded_anchors_are_hashed_a_batch_at_a_time():
+    """Two Arrow batches for a slice of segments, not two for each segment; equal strings have equal hashes wherever they lie."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ab", k=rng.randint(12, 30))).encode() for _ in range(300)]
+    rows = [(i, 5 * i, rng.randint(1, 12), t) for i, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["id", "first", "n", "piece"])
+    out = list(suffix_dedup._string_hashes((8, 12))(iter([batch])))
+    assert len(out) == 2
+    got = [r for b in out for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+    want = {(level, i, s + o): p[o : o + z] for level, z in enumerate((8, 12)) for i, s, n, p in rows for o in range(min(n, len(p) - z + 1))}
+    assert {(level, i, s) for level, _, _, i, s in got} == set(want) and len(got) == len(want)
+    assert len({(level, g1, g2, want[level, i, s]) for level, g1, g2, i, s in got}) == len(set(want.values())) == len({r[:3] for r in got})
+
+
 def test_suffix_dedup_copes(spark, bad, empty):
     from .conftest import BAD
 

@@ -49,6 +49,7 @@ CHUNK = 1 << 18
 END = b"\xff"
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+_BASES = (_BASE, 0xC2B2AE3D27D4EB4F)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -168,24 +169,32 @@ def _cut(batches: Iterator) -> Iterator:
     """Rows (id, text, list of segments) -> a row for each segment: anchor, id, first start, number of starts, crowded, its bytes."""
     import pyarrow as pa
 
-    names, kinds = ["h", "id", "first", "n", "crowd", "piece"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    names = ["h", "id", "first", "n", "crowd", "piece"]
     for batch in batches:
-        out, size = [], 0
-        for i, text, marks in zip(*[batch.column(k) for k in range(3)], strict=True):
-            raw, i = text.as_py().encode(), i.as_py()
-            for m in marks.as_py():
-                out.append((m["h"], i, m["first"], m["n"], m["crowd"], raw[m["first"] : m["first"] + m["size"]]))
-                size += m["size"]
-            if size > 4_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
-                out, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
-
-
-def _ranks(key: np.ndarray) -> np.ndarray:
-    """Dense ranks of the keys; equal keys have equal ranks."""
-    order = np.argsort(key)
-    ordered = key[order]
+        for base, data, offsets in utf8_slices(batch.column(1)):
+            raw, ids = data.tobytes(), batch.column(0).slice(base, len(offsets) - 1)
+            marks = batch.column(2).slice(base, len(offsets) - 1)
+            row = np.repeat(np.arange(len(marks)), np.asarray(marks.value_lengths()))
+            h, first, n, size, crowd = marks.flatten().flatten()
+            a = offsets[row] + np.asarray(first)
+            b = a + np.asarray(size)
+            part = np.cumsum(b - a) // 4_000_000  # bytes that go out at a time
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(row)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                pieces = pa.array([raw[x:y] for x, y in zip(a[i:j].tolist(), b[i:j].tolist(), strict=True)], pa.binary())
+                columns = [h.slice(i, j - i), ids.take(pa.array(row[i:j])), *(x.slice(i, j - i) for x in (first, n, crowd)), pieces]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _ranks(key: np.ndarray, bits: int) -> np.ndarray:
+    """Dense ranks of the keys (of so many bits); equal keys have equal ranks."""
+    places = len(key).bit_length()
+    if bits + places <= 63:  # key and place in one number
+        ordered = np.sort((key << places) | np.arange(len(key)))
+        order, ordered = ordered & ((1 << places) - 1), ordered >> places
+    else:
+        order = np.argsort(key)
+        ordered = key[order]
     changes = np.zeros(len(order), np.int32)
     np.not_equal(ordered[1:], ordered[:-1], out=changes[1:], casting="unsafe")
     np.cumsum(changes, out=changes)
@@ -208,9 +217,9 @@ def prefix_ranks(data: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
     key = np.zeros(len(data) - k + 1, np.int64)
     for j in range(k):
         key = (key << 8) | data[j : len(data) - k + 1 + j]
-    out = [(k, _ranks(key))]
+    out = [(k, _ranks(key, 8 * k))]
     for to in steps[-2:0:-1]:
-        out.append((to, _ranks(_joined(*out[-1], to, np.arange(len(data) - to + 1), times, bits))))
+        out.append((to, _ranks(_joined(*out[-1], to, np.arange(len(data) - to + 1), times, bits), times * bits)))
     return out
 
 
@@ -286,6 +295,31 @@ def _smaller(place: np.ndarray, common: np.ndarray) -> np.ndarray:
         low[todo], to[todo] = np.minimum(low[todo], low[over]), to[over]
 
 
+def seen_twice(data: np.ndarray, at: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """Which of the rising places ``at`` (their segments end at ``end``) begin a string of ``length`` bytes whose hash another of them has as well.
+
+    Equal strings have equal hashes, so the start of no repeat is missing; what else is among them the suffix order sorts out.
+    """
+    fits = np.flatnonzero(end - at >= length)
+    h, own = np.empty(len(fits), U), at[fits]
+    edges = np.searchsorted(own, np.arange(0, len(data) + CHUNK, CHUNK))
+    for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        part = own[x:y] - i * CHUNK
+        h[x:y] = hashes(running(data[i * CHUNK : (i + 1) * CHUNK + length]), part, part + length)
+    order = np.argsort(h)
+    ordered = h[order]
+    same = np.flatnonzero(ordered[1:] == ordered[:-1])
+    twice = np.zeros(len(at), bool)
+    twice[fits[order[same]]] = twice[fits[order[same + 1]]] = True
+    return np.flatnonzero(twice)
+
+
+def _edges(at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last entries of the runs of consecutive places within one segment."""
+    edge = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (owner[1:] != owner[:-1])]))
+    return edge, np.concatenate([edge[1:], [len(at)]]) - 1
+
+
 def factor_runs(pieces: list[tuple[int, int, int, bytes]], levels: tuple[int, ...], first: bool) -> list[tuple[int, int, int, int]]:
     """Of unlike segments (id, first start, number of starts, bytes) the runs (id, from, to, level) of starts that are repeats.
 
@@ -293,22 +327,36 @@ def factor_runs(pieces: list[tuple[int, int, int, bytes]], levels: tuple[int, ..
     """
     pieces = sorted(pieces, key=lambda p: p[:2])  # segments of one text share no start, so this is the order of all starts
     sizes = np.array([len(p[3]) + 1 for p in pieces])
-    data = np.frombuffer(END.join([p[3] for p in pieces]) + END, np.uint8)
+    raw = END.join([p[3] for p in pieces]) + END
     heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     n = np.array([p[2] for p in pieces])
     owner = np.repeat(np.arange(len(pieces)), n)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    ids, firsts = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
-    start = firsts[owner] + offset
-    factors = Factors(data, heads[owner] + offset, np.arange(len(owner)), sizes[owner] - 1 - offset, levels[-1])
+    # only starts whose string may stand twice are sorted, run by run, with the bytes that such strings reach over
+    at, end = heads[owner] + offset, (heads + sizes - 1)[owner]
+    stop = at.copy()
+    for length in levels:
+        some = np.flatnonzero(stop > at) if length > levels[0] else np.arange(len(at))
+        some = some[seen_twice(np.frombuffer(raw, np.uint8), at[some], end[some], length)]
+        stop[some] = at[some] + length
+    some = np.flatnonzero(stop > at)
+    if not len(some):
+        return []
+    owner, offset, at = owner[some], offset[some], at[some]
+    a, b = _edges(at, owner)
+    stop = np.maximum.reduceat(stop[some], a)
+    data = np.frombuffer(END.join([raw[i:j] for i, j in zip(at[a].tolist(), stop.tolist(), strict=True)]) + END, np.uint8)
+    run = np.repeat(np.arange(len(a)), b - a + 1)
+    moved = at + (np.cumsum(stop - at[a] + 1) - stop - 1)[run]
+    factors = Factors(data, moved, np.arange(len(at)), stop[run] - at, levels[-1])
     reach = factors.previous if first else factors.other
+    ids, start = np.array([p[0] for p in pieces])[owner], np.array([p[1] for p in pieces])[owner] + offset
     out: list[tuple[int, int, int, int]] = []
     for level, length in enumerate(levels):
         hit = np.flatnonzero(reach >= length)
         if len(hit):
-            edge = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (owner[hit[1:]] != owner[hit[:-1]])]))
-            a, b = hit[edge], hit[np.concatenate([edge[1:], [len(hit)]]) - 1]
-            out += zip(ids[owner[a]].tolist(), start[a].tolist(), start[b].tolist(), [level] * len(a), strict=True)
+            a, b = (hit[x] for x in _edges(at[hit], owner[hit]))
+            out += zip(ids[a].tolist(), start[a].tolist(), start[b].tolist(), [level] * len(a), strict=True)
     return out
 
 
@@ -348,12 +396,17 @@ def _string_hashes(levels: tuple[int, ...]) -> Callable:
         import pyarrow as pa
 
         for batch in batches:
-            for i, s, n, piece in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                data = np.frombuffer(piece, np.uint8)
+            for base, data, offsets in utf8_slices(batch.column(3), CHUNK):
+                ids, first, n = (np.asarray(batch.column(k).slice(base, len(offsets) - 1)) for k in range(3))
+                sums = [running(data, x) for x in _BASES]
                 for level, length in enumerate(levels):
-                    g1, g2 = gram_hashes(data, length)[:n], gram_hashes(data, length, 0xC2B2AE3D27D4EB4F)[:n]
-                    m = len(g1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, level, np.int32)), pa.array(g1.view(np.int64)), pa.array(g2.view(np.int64)), pa.array(np.full(m, i)), pa.array(np.arange(s, s + m))], names=["level", "g1", "g2", "id", "start"])
+                    m = np.clip(np.diff(offsets) - length + 1, 0, n)
+                    owner = np.repeat(np.arange(len(m)), m)
+                    offset = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
+                    at = offsets[owner] + offset
+                    g1, g2 = (pa.array(hashes(x, at, at + length, y).view(np.int64)) for x, y in zip(sums, _BASES, strict=True))
+                    columns = [pa.array(np.full(len(at), level, np.int32)), g1, g2, pa.array(ids[owner]), pa.array(first[owner].astype(np.int64) + offset)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["level", "g1", "g2", "id", "start"])
 
     return work
 
@@ -434,6 +487,17 @@ def _covered(runs: list[tuple[int, int]], n_bytes: int, length: int) -> list[tup
     return [(a, b) for a, b in out]
 
 
+def _covered_rows(row: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_covered`` of many texts at once: row, from, to of the maximal runs of bytes, in order."""
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], b[order]
+    base = row * (int(sizes.max(initial=0)) + 1)  # texts lie one after the other with a gap between
+    reach = np.maximum.accumulate(base + np.minimum(sizes[row], b + length))
+    first = np.flatnonzero(np.concatenate([[True], (base + a)[1:] > reach[:-1]])[: len(row)])
+    last = np.concatenate([first[1:], [len(row)]])[: len(first)] - 1
+    return row[first], a[first], reach[last] - base[last]
+
+
 def _words_within(raw: bytes, a: int, b: int) -> int:
     """Words of the text that lie within raw[a:b] as a whole."""
     own = raw[a:b]
@@ -447,20 +511,32 @@ def _digest(length: int, passage: int) -> Callable:
         import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for text, sha, own in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                raw = text.encode()
-                if hashlib.sha256(raw).hexdigest() != sha:  # another text under the same key
-                    continue
-                spans, kept, at = _covered([(r["a"], r["b"]) for r in own if r["level"] or passage == length], len(raw), length), hashlib.sha256(), 0
-                for a, b in spans:
-                    kept.update(raw[at:a])
-                    at = b
-                kept.update(raw[at:])
-                shared = _covered([(r["a"], r["b"]) for r in own], len(raw), passage)
-                rows.append((sha, sum(b - a for a, b in spans), len(spans), kept.hexdigest(), max((b - a for a, b in shared), default=0), sum(_words_within(raw, a, b) > PASSAGE_WORDS for a, b in shared)))
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["sha", "n_removed", "n_spans", "kept", "longest_repeat", "n_passages"])
+            for base, data, offsets in utf8_slices(batch.column(0)):
+                raw, sizes, shas = data.tobytes(), np.diff(offsets), batch.column(1).slice(base, len(offsets) - 1).to_pylist()
+                own = [hashlib.sha256(raw[offsets[i] : offsets[i + 1]]).hexdigest() == sha for i, sha in enumerate(shas)]  # else another text under the same key
+                marks = batch.column(2).slice(base, len(shas))
+                row = np.repeat(np.arange(len(shas)), np.asarray(marks.value_lengths()))
+                a, b, level = (np.asarray(x) for x in marks.flatten().flatten())
+                long = np.flatnonzero((level > 0) | (passage == length))
+                spans = _covered_rows(row[long], a[long], b[long], sizes, length)
+                shared = _covered_rows(row, a, b, sizes, passage)
+                cuts, passages = (np.searchsorted(x[0], np.arange(len(shas) + 1)).tolist() for x in (spans, shared))
+                (_, a, b), (_, x, y) = ([z.tolist() for z in runs] for runs in (spans, shared))
+                rows = []
+                for i in range(len(shas)):
+                    if not own[i]:
+                        continue
+                    text, cut, seen = raw[offsets[i] : offsets[i + 1]], slice(*cuts[i : i + 2]), slice(*passages[i : i + 2])
+                    kept, at = hashlib.sha256(), 0
+                    for c, d in zip(a[cut], b[cut], strict=True):
+                        kept.update(text[at:c])
+                        at = d
+                    kept.update(text[at:])
+                    longest = max((d - c for c, d in zip(x[seen], y[seen], strict=True)), default=0)
+                    wordy = sum(_words_within(text, c, d) > PASSAGE_WORDS for c, d in zip(x[seen], y[seen], strict=True))
+                    rows.append((shas[i], sum(b[cut]) - sum(a[cut]), len(a[cut]), kept.hexdigest(), longest, wordy))
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["sha", "n_removed", "n_spans", "kept", "longest_repeat", "n_passages"])
 
     return digest
 
