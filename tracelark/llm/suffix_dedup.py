@@ -8,8 +8,8 @@ A string of ``length`` bytes is repeated if it also starts somewhere else. To fi
 2. Only anchors seen twice can belong to a repeat. Equal segments are counted by hash, without their bytes: all strings of a segment that
    stands twice are repeats. Of equal segments one goes on, and only where its anchor has unlike segments.
 3. These are dealt by anchor, so all places of a string meet in one task, and joined there into blocks. In a block the suffixes that begin
-   at the starts are sorted by their first bytes (up to the largest length), with the longest common prefixes of neighbours.
-   The previous and next smaller places in that order give every start its longest previous factor; the neighbours on
+   at the starts whose string, by its hash, may stand twice are sorted by their first bytes (up to the largest length), with the
+   longest common prefixes of neighbours. The previous and next smaller places in that order give every start its longest previous factor; the neighbours on
    either side, whatever their place, give its longest other match (``Factors``).
 4. An anchor with more than ``CROWD`` unlike segments (the edge of a passage that very many texts share) would fill a task. Its strings
    are compared by two 64-bit hashes that Spark counts with map-side sums instead; nothing is left out.
