@@ -391,6 +391,52 @@ def test_signatures_meet_for_every_linked_pair():
             assert set(ngram_join.signatures(a, 80, 100)[0].tolist()) & set(ngram_join.signatures(b, 80, 100)[0].tolist())
 
 
+def lookalikes():
+    """Texts that share passages of a small stock, by fives and by chance, and copies of some of them with a few to many words changed."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(3000)}"
+    stock = [[word() for _ in range(30)] for _ in range(40)]
+    rows = []
+    for i in range(90):
+        words = [w for _ in range(rng.choice([4, 12])) for w in (rng.choice(stock) + [word() for _ in range(30)])]
+        if i % 3 == 2:
+            words = list(rng.choice(rows[: i // 2])[1])
+            for _ in range(rng.randint(0, len(words) // 25)):
+                words[rng.randrange(len(words))] = word()
+        rows.append((i, words))
+    return [(i, " ".join(words)) for i, words in rows]
+
+
+def texts_of(spark, rows):
+    return spark.createDataFrame(list(rows), "doc_id long, text string")
+
+
+@pytest.mark.parametrize(("k", "num", "tokens"), [(5, 80, 1_000_000), (3, 90, 1_000_000), (5, 80, 2_500), (2, 60, 2_500)])
+def test_lookalikes_equal_brute_force(spark, monkeypatch, k, num, tokens):
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", tokens)
+    rows = lookalikes()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.linked(texts_of(spark, rows), k, num, 100).collect()}
+    assert got == brute_components(rows, k, num, 100) and len({c for _, c in got.values()}) < len(rows)
+
+
+def test_passages_string_no_blocks_together(spark, monkeypatch):
+    rng, sizes = random.Random(8), []
+    stock = [[f"w{rng.randrange(3000)}" for _ in range(30)] for _ in range(60)]
+    texts = [" ".join(w for _ in range(40) for w in rng.choice(stock) + [f"w{rng.randrange(3000)}" for _ in range(30)]) for _ in range(60)]
+    keep = ngram_join.materialize
+
+    def noted(df, name):
+        out = keep(df, name)
+        if name == "blocks":
+            sizes.extend(r["count"] for r in out.groupBy("block").count().collect())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", noted)
+    got = ngram_join.linked(texts_of(spark, enumerate([*texts, texts[7] + " end"])), 5, 80, 100)
+    assert [r["component_id"] for r in got.orderBy("doc_id").collect()] == [*range(60), 7]
+    assert sizes == [2]
+
+
 def test_connected_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(200, 260)] + [(300, 300)]
     got = {r["id"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

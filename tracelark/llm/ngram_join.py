@@ -5,10 +5,12 @@
 2. A second pass gives signatures: the range of hashes is cut into m equal pieces, with m above the largest possible difference between two linked
    sets, so at least one piece of two linked sets has the same content. A signature is a piece's content. No linked pair
    is lost; what two sets merely share in passing (a common line) does not make whole pieces equal.
-   Pieces with four elements or fewer that more than two classes have are set aside where a document has enough others.
+   Linked sets have not one but room + 1 equal pieces at least, so each set leaves out the room commonest ones of its signatures, in one
+   order for all: the rarest that two linked sets share is left out by neither. Pieces that are equal by chance or
+   by a passage, which would string more and more unlike documents together as the input grows, are mostly gone then.
 3. Sets with a common signature are gathered into blocks (connected components, in Spark).
    Each block's sets form a trie that is joined with itself (``trie_join``). A block beyond ``BLOCK_TOKENS`` is dealt out over
-   several tries, and groups that meet in different tries are compared again: dealt anew, and in the end by pairs of parts.
+   several tries, and sets with a common signature that are not in one group then are compared by pairs of parts.
 
 Cases: a null or wordless text has an empty set and is linked with nothing (its component is its own doc_id); a null
 doc_id cannot stand for a component: such a row gets its size and a null component_id and links nothing; rows that repeat a doc_id
@@ -30,13 +32,8 @@ from .trie_join import groups
 
 #: Elements of the sets that one trie holds at most (8 bytes each); a set counts for SET_COST more, for its nodes.
 BLOCK_TOKENS, SET_COST = 1_000_000, 50
-#: A signature of at most FEW elements counts as weak if more than MANY classes have it: such pieces are shared passages, and would
-#: string many unlike documents together into one block.
-FEW, MANY = 4, 2
 #: Sets that a task remembers to have signed.
 SEEN = 100_000
-#: Rounds in which large blocks are dealt anew before what is left is compared by pairs of parts.
-DEALS = 3
 
 
 def _differ(total: int, num: int, den: int) -> int:
@@ -63,10 +60,10 @@ def plans(n: int, num: int, den: int) -> list[tuple[int, int]]:
 
 
 def signatures(x: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a sorted set and, for each, pieces << 32 | room << 8 | weak: room is how many weak ones may be set aside."""
+    """Signatures of a sorted set and, for each, its plan: pieces << 32 | room, where a linked set has room + 1 of these signatures at least."""
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, U), np.cumsum(splitmix(x))])
-        sigs, infos = [], []
+        sigs, of = [], []
         for m, differ in plans(len(x), num, den):
             edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(U)
             cut = np.concatenate([[0], np.searchsorted(x, edges), [len(x)]])
@@ -75,8 +72,8 @@ def signatures(x: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarra
             sig = splitmix((sums[cut[1:]] - sums[cut[:-1]]) ^ splitmix(np.arange(m, dtype=U) + U(m << 20)))
             keep = size > 0 if room >= 0 else size >= 0
             sigs.append(sig[keep])
-            infos.append((m << 32) + (max(room, 0) << 8) + (size[keep] <= FEW))
-    return np.concatenate(sigs), np.concatenate(infos)
+            of.append(np.full(int(keep.sum()), (m << 32) + max(room, 0)))
+    return np.concatenate(sigs), np.concatenate(of)
 
 
 def _hashes(x: np.ndarray) -> tuple[int, int]:
@@ -105,17 +102,17 @@ def _scan(k: int) -> Callable:
 
 
 def _sign(k: int, num: int, den: int) -> Callable:
-    """Texts -> (sig, h1, info) for the signatures of each set; a set that this task has signed lately is not signed again."""
+    """Texts -> (sig, h1, plan) for the signatures of each set; a set that this task has signed lately is not signed again."""
 
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         seen: set[int] = set()
         for batch in batches:
-            sigs, infos, owners, size = [], [], [], 0
+            sigs, of, owners, size = [], [], [], 0
 
             def rows():
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (sigs, owners, infos)], names=["sig", "h1", "info"])
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (sigs, owners, of)], names=["sig", "h1", "plan"])
 
             for _, x in sets(batch.column(0), k):
                 if not len(x) or (h := _hashes(x)[0]) in seen:
@@ -125,12 +122,12 @@ def _sign(k: int, num: int, den: int) -> Callable:
                 seen.add(h)
                 s, f = signatures(x, num, den)
                 sigs.append(s)
-                infos.append(f)
+                of.append(f)
                 owners.append(np.full(len(s), h, U))
                 size += len(s)
                 if size > 200_000:
                     yield rows()
-                    sigs, infos, owners, size = [], [], [], 0
+                    sigs, of, owners, size = [], [], [], 0
             if sigs:
                 yield rows()
 
@@ -184,48 +181,40 @@ def _split(runs: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(open_runs, "sig").select("id").distinct()
 
 
+def _parts(sized: DataFrame) -> DataFrame:
+    """(id, n, block) with the number of tries that each block takes."""
+    parts = sized.groupBy("block").agg(F.ceil(F.sum(F.col("n") + SET_COST) / (BLOCK_TOKENS + SET_COST)).alias("parts"))
+    return sized.select("id", "n", "block").join(parts, "block")
+
+
 def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: sets of k-word shingles linked at a Jaccard similarity of num/den."""
     scan = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(k), "doc_id long, n long, h1 long, h2 long"), "sets")
     full = scan.where("n > 0 and doc_id is not null")
     # classes of equal sets; a repeated doc_id with different texts ties its classes together below
     classes = materialize(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")), "classes")
-    rows = docs.where("doc_id is not null").select("text").mapInArrow(_sign(k, num, den), "sig long, h1 long, info long")
+    rows = docs.where("doc_id is not null").select("text").mapInArrow(_sign(k, num, den), "sig long, h1 long, plan long")
     by_sig = Window.partitionBy("sig")
     runs = rows.select("*", F.count("*").over(by_sig).alias("n_run"), F.min("h1").over(by_sig).alias("a"), F.max("h1").over(by_sig).alias("b")).where("a <> b")
-    runs = materialize(runs.select("sig", "h1", "info", "n_run").distinct().join(classes.select("h1", "id"), "h1").drop("h1"), "runs")
-    weak = (F.col("info") % 2 == 1) & (F.col("n_run") > MANY)
-    aside = runs.where(weak).groupBy("id", F.shiftright("info", 8).alias("plan")).agg(F.count("*").alias("n"))
-    aside = aside.where(F.col("n") > F.col("plan") % (1 << 24)).select("id", "plan")  # too few others: these keep their weak ones
-    kept = runs.where(~weak).unionByName(runs.where(weak).withColumn("plan", F.shiftright("info", 8)).join(aside, ["id", "plan"], "left_semi").drop("plan"))
-    kept = materialize(kept.select("sig", "id", F.min("id").over(by_sig).alias("first")), "kept")
+    runs = materialize(runs.select("sig", "h1", "plan", "n_run").distinct().join(classes.select("h1", "id"), "h1").drop("h1"), "runs")
+    place = F.row_number().over(Window.partitionBy("id", "plan").orderBy(F.desc("n_run"), "sig"))
+    kept = runs.select("sig", "id", "plan", place.alias("place")).where(F.col("place") > F.col("plan") % (1 << 32)).select("sig", "id")
+    kept = kept.select("*", F.min("id").over(by_sig).alias("first"), F.max("id").over(by_sig).alias("last")).where("first <> last").drop("last")
+    kept = materialize(kept, "kept")
     release(docs.sparkSession)
     block = components(kept.select("id", "first"), "id", "first").withColumnRenamed("root", "block")
-    sized = block.join(classes.select("id", "n"), "id")
-    parts = sized.groupBy("block").agg(F.ceil(F.sum(F.col("n") + SET_COST) / (BLOCK_TOKENS + SET_COST)).alias("parts"))
-    sized = materialize(sized.join(parts, "block").select("id", "n", "block", "parts"), "blocks")
-
-    def deal(ids: DataFrame, seed: int) -> DataFrame:
-        part = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts"))
-        return ids.select("id", F.xxhash64("block", F.when(F.col("parts") > 1, part).otherwise(0)).alias("block"))
-
-    links = _links(docs, deal(sized, 0), k, num, den)
+    sized = materialize(_parts(block.join(classes.select("id", "n"), "id")), "blocks")
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    links = _links(docs, sized.select("id", F.xxhash64("block", part).alias("block")), k, num, den)
     found = [links]
     large = sized.where("parts > 1")
     if large.limit(1).count():
-        runs_large = kept.join(large.select("id"), "id", "left_semi").select("sig", "id")
-        for seed in range(1, DEALS + 1):
-            todo = materialize(_split(runs_large, components(links)), "todo")
-            if not todo.limit(1).count():
-                break
-            parts_now = large.join(todo, "id", "left_semi")
-            if seed < DEALS:
-                found.append(_links(docs, deal(parts_now, seed), k, num, den))
-            else:  # by pairs of parts: every two sets of a block meet
-                part = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts"))
-                pairs = parts_now.select("id", "block", part.alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q"))
-                pairs = pairs.select("id", F.xxhash64("block", F.least("p", "q"), F.greatest("p", "q")).alias("block"))
-                found.append(_links(docs, pairs, k, num, den))
+        todo = materialize(_split(kept.join(large.select("id"), "id", "left_semi").select("sig", "id"), components(links)), "todo")
+        if todo.limit(1).count():  # by pairs of parts: every two sets of a block meet
+            pairs = _parts(large.select("id", "block", "n").join(todo, "id", "left_semi"))
+            pairs = pairs.select("id", "block", "parts", part.alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q"))
+            pairs = pairs.where("p <> q or parts = 1").select("id", F.xxhash64("block", F.least("p", "q"), F.greatest("p", "q")).alias("block"))
+            found.append(_links(docs, pairs, k, num, den))
             links = links.unionByName(found[-1])
     # rows that repeat a doc_id tie their classes together
     ties = full.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "id"), ["h1", "h2"])
