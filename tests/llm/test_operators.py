@@ -437,6 +437,21 @@ def test_passages_string_no_blocks_together(spark, monkeypatch):
     assert sizes == [2]
 
 
+def test_large_groups_take_no_time_for_each_pair():
+    import time
+
+    rng = np.random.default_rng(2)
+    base, sets = rng.integers(0, 2**63, 400).astype(np.uint64), []
+    for i in range(2000):  # half of them beyond the threshold
+        keep = rng.random(400) >= (0.02, 0.08)[i % 2] * rng.random() * 2
+        sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**63, int((~keep).sum())).astype(np.uint64)])))
+    began = time.process_time()
+    got = trie_join.groups(sets, 90, 100)
+    assert time.process_time() - began < 10  # a walk for each set took far longer
+    near = {i for i in range(2000) if len(np.intersect1d(sets[i], base)) >= 390}
+    assert len({got[i] for i in near}) == 1 and len(set(got)) > 200
+
+
 def test_connected_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(200, 260)] + [(300, 300)]
     got = {r["id"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

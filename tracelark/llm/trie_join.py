@@ -1,28 +1,25 @@
 """Join of one block of sets by a prefix tree.
 
-The sets, sorted in one global order of their elements, form a compressed trie. A set is matched against all that follow it
-by one walk that carries the overlap so far (shared by every set below a node) and leaves a subtree as soon as the
-elements still to come cannot lift any of its sets to the threshold. Since only connected groups are wanted,
-a subtree that already lies in the walker's own group is left too.
+The sets, sorted in one global order of their elements, form a compressed trie. One walk of the trie matches each set against all sets
+before it: at a node it carries the sets that may still reach the threshold with one below, with their overlaps so far (shared by all
+below the node), as arrays, and drops a set as soon as the elements still to come cannot lift any below to the threshold. Since only
+connected groups are wanted, a set is also dropped where all below lie in its own group already.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 
-#: Nodes with more children find the children worth a visit through an index of their first elements.
-WIDE = 24
+#: An element that one in DENSE sets has is counted by rows over all sets (at most DENSE cells for each element of the block), a rarer one by a list.
+DENSE = 8
 
 
 class _Node:
-    __slots__ = ("children", "depth", "hi", "index", "lo", "most", "least", "open", "whole", "starts")
+    __slots__ = ("children", "depth", "hi", "least", "lo", "most")
 
     def __init__(self, depth: int, lo: int):
         self.depth, self.lo, self.hi = depth, lo, lo + 1
         self.children: list[_Node] = []
-        self.whole = False  # all its sets are known to be in one group
 
 
 def _tree(sets: list[np.ndarray]) -> _Node:
@@ -58,32 +55,14 @@ def _tree(sets: list[np.ndarray]) -> _Node:
     return root
 
 
-def _finish(root: _Node, sets: list[np.ndarray], num: int, den: int) -> None:
-    """Sizes below each node, and the index of wide nodes."""
-    order, stack = [], [root]
+def _sizes(root: _Node, sizes: np.ndarray) -> None:
+    """The least and the largest size of a set below each node."""
+    stack = [root]
     while stack:
         node = stack.pop()
-        order.append(node)
-        stack.extend(node.children)
-    sizes = np.array([len(x) for x in sets])
-    for node in order:
         own = sizes[node.lo : node.hi]
         node.least, node.most = int(own.min()), int(own.max())
-        node.starts = [c.lo for c in node.children]
-        node.index = None
-    for node in order:
-        if len(node.children) > WIDE:
-            index: dict[int, list[int]] = {}
-            always = []
-            for j, c in enumerate(node.children):
-                prefix = c.most - -(-num * c.most // den) + 1
-                segment = sets[c.lo][node.depth : c.depth]
-                if len(segment) < prefix:
-                    always.append(j)
-                else:
-                    for token in segment[:prefix].tolist():
-                        index.setdefault(token, []).append(j)
-            node.index, node.open = index, always
+        stack.extend(node.children)
 
 
 def _in_order(sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -98,74 +77,129 @@ def _in_order(sets: list[np.ndarray]) -> list[np.ndarray]:
     return [np.sort(x) for x in np.split(rank[place], ends)]
 
 
+class _Overlaps:
+    """How many elements of a stretch of one set each set has, and how many up to an element."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+        n = len(sets)
+        every, owner = np.concatenate(sets).astype(np.int64), np.repeat(np.arange(n), sizes)
+        self.n, self.ends = n, np.concatenate([[0], np.cumsum(sizes)])
+        self.width = int(every.max()) + 1
+        self.flat = owner * self.width + every  # in order of set and element
+        count = np.bincount(every)
+        common = np.minimum.accumulate(count) >= max(2, n / DENSE)  # the first ranks; equal sets, counted once here, may stand out of order
+        self.dense, self.shared = int(common.sum()), int(np.flatnonzero(count > 1)[-1:].sum()) + 1
+        self.has = np.zeros((self.dense, n), np.uint8)
+        at = every < self.dense
+        self.has[every[at], owner[at]] = 1
+        self.upto = np.zeros((self.dense + 1, n), np.int32)
+        np.cumsum(self.has, axis=0, dtype=np.int32, out=self.upto[1:])
+        rare = np.flatnonzero((every >= self.dense) & (every < self.shared))
+        rare = rare[np.argsort(every[rare], kind="stable")]
+        self.owners = owner[rare]
+        self.first = np.searchsorted(every[rare], np.arange(self.dense, max(self.dense, self.shared) + 1))
+
+    def _rows(self, elements: np.ndarray, who: np.ndarray) -> np.ndarray:
+        if len(who) * 8 < self.n:
+            return self.has[elements[:, None], who].sum(0, dtype=np.int32)
+        return self.has[elements].sum(0, dtype=np.int32)[who]
+
+    def holders(self, stretch: np.ndarray) -> np.ndarray:
+        """The sets that have rare elements of the stretch, as often as they do."""
+        at = stretch[np.searchsorted(stretch, self.dense) : np.searchsorted(stretch, self.shared)] - self.dense
+        if not len(at):
+            return self.owners[:0]
+        start, size = self.first[at], self.first[at + 1] - self.first[at]
+        return self.owners[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+    def of(self, stretch: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """For each of who the number of elements of the stretch, which is sorted."""
+        common = stretch[: np.searchsorted(stretch, self.dense)]
+        out = np.zeros(len(who), np.int32)
+        if len(common):
+            a, b = int(common[0]), int(common[-1]) + 1
+            if b - a < 2 * len(common):  # more of the ranks between are there than not: those that are not are taken off
+                gaps = np.ones(b - a, bool)
+                gaps[common - a] = False
+                out = self.upto[b, who] - self.upto[a, who]
+                if gaps.any():
+                    out -= self._rows(np.flatnonzero(gaps) + a, who)
+            else:
+                out = self._rows(common, who)
+        held = self.holders(stretch)
+        return out + np.bincount(held, minlength=self.n)[who] if len(held) else out
+
+    def used(self, last: int, who: np.ndarray) -> np.ndarray:
+        """For each of who the number of elements up to last."""
+        if last < self.dense:
+            return self.upto[last + 1, who]
+        return np.searchsorted(self.flat, who * self.width + last, side="right") - self.ends[who]
+
+
 def groups(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     """For each set the position of one set that stands for its group: sets are linked when
     den * |intersection| >= num * |union|. Sets must be sorted arrays, none empty; equal sets are one group."""
     sets = _in_order(sets)
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
-    parent = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
     ranked: list[np.ndarray] = []
     origin: list[int] = []
-    for i in order:
-        if ranked and len(ranked[-1]) == len(sets[i]) and (ranked[-1] == sets[i]).all():
-            parent[find(i)] = find(origin[-1])
-        else:
+    place = np.zeros(len(sets), np.int64)
+    for i in sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes()):
+        if not (ranked and len(ranked[-1]) == len(sets[i]) and (ranked[-1] == sets[i]).all()):
             ranked.append(sets[i])
             origin.append(i)
-    if len(ranked) < 2:
-        return [find(i) for i in range(len(sets))]
-    root = _tree(ranked)
-    _finish(root, ranked, num, den)
-    both = num + den
-    for i in range(len(ranked) - 1):
-        x, nx, me = ranked[i], len(ranked[i]), origin[i]
-        tokens: list[int] | None = None
-        stack: list[tuple[_Node, int, int, bool]] = [(root, 0, 0, False)]
-        while stack:
-            node, overlap, used, done = stack.pop()
-            if done:
-                top = find(origin[node.lo])
-                if all((c.whole or c.hi - c.lo == 1) and find(origin[c.lo]) == top for c in node.children):
-                    node.whole = True
-                continue
-            if not node.children:
-                if both * overlap >= num * (nx + node.depth):
-                    a, b = find(me), find(origin[node.lo])
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
-                continue
-            stack.append((node, 0, 0, True))
-            first = max(0, bisect_right(node.starts, i + 1) - 1)
-            if node.index is None:
-                visit = range(first, len(node.children))
-            else:
-                tokens = tokens if tokens is not None else x.tolist()
-                found = set(node.open)
-                for t in tokens[used:]:
-                    if t in node.index:
-                        found.update(node.index[t])
-                visit = sorted(j for j in found if j >= first)
-            for j in visit:
-                c = node.children[j]
-                if c.hi <= i + 1:
-                    continue
-                if (c.whole or c.hi - c.lo == 1) and find(origin[c.lo]) == find(me):
-                    continue
-                segment = ranked[c.lo][node.depth : c.depth]
-                hit, next_used = overlap, used
-                if len(segment):
-                    at = np.searchsorted(x, segment)
-                    hit += int((x[np.minimum(at, nx - 1)] == segment).sum())
-                    next_used = int(at[-1]) + int(at[-1] < nx and x[at[-1]] == segment[-1])
-                left = nx - next_used
-                size = min(max(c.depth + left, c.least), c.most)
-                if both * (hit + min(left, size - c.depth)) >= num * (nx + size):
-                    stack.append((c, hit, next_used, False))
-    return [find(i) for i in range(len(sets))]
+        place[i] = len(ranked) - 1
+    label = np.arange(len(ranked))
+    if len(ranked) > 1:
+        _walk(ranked, label, num, den)
+    return np.array(origin)[label[place]].tolist()
+
+
+def _walk(ranked: list[np.ndarray], label: np.ndarray, num: int, den: int) -> None:
+    """Gives linked sets, of distinct sets in order, one label: the smallest place in the group."""
+    both, sizes = num + den, np.array([len(x) for x in ranked])
+    root, overlaps = _tree(ranked), _Overlaps(ranked, sizes)
+    _sizes(root, sizes)
+    every = np.arange(len(ranked))
+    stack = [(root, iter(root.children), every, np.zeros(len(ranked), np.int32), sizes)]
+    while stack:
+        node, rest, who, overlap, left = stack[-1]
+        c = next(rest, None)
+        if c is None:
+            stack.pop()
+            continue
+        if c is node.children[-1]:
+            stack.pop()  # nothing comes after it: the arrays can go
+        # sets before the last below the child, unless all below are in their group, that can reach the threshold if all that comes is shared
+        own = label[c.lo : c.hi]
+        n = np.searchsorted(who, c.hi - 1)
+        able = label[who[:n]] != own[0] if (own == own[0]).all() else np.ones(n, bool)
+        stretch = ranked[c.lo][node.depth : c.depth].astype(np.int64)
+        sure = c.most - -(-num * c.most // den) + 1  # of so many elements a linked set has one at least
+        if len(stretch) >= sure and stretch[0] >= overlaps.dense:
+            some = np.zeros(len(ranked), bool)
+            some[overlaps.holders(stretch[:sure])] = True
+            able &= some[who[:n]]
+        at = np.flatnonzero(able)
+        at = at[_reach(overlap[at], left[at], sizes[who[at]], node.depth, c, num, both)]
+        if not len(at):
+            continue
+        who, overlap = who[at], overlap[at]
+        if len(stretch):
+            overlap = overlap + overlaps.of(stretch, who)
+        if not c.children:
+            linked = who[both * overlap.astype(np.int64) >= num * (sizes[who] + c.depth)]
+            if len(linked):
+                same = np.zeros(len(ranked), bool)
+                same[label[linked]] = same[label[c.lo]] = True
+                label[same[label]] = np.flatnonzero(same)[0]
+            continue
+        left = sizes[who] - overlaps.used(int(stretch[-1]), who) if len(stretch) else left[at]
+        at = _reach(overlap, left, sizes[who], c.depth, c, num, both)
+        if at.any():
+            stack.append((c, iter(c.children), who[at], overlap[at], left[at]))
+
+
+def _reach(overlap: np.ndarray, left: np.ndarray, sizes: np.ndarray, depth: int, c: _Node, num: int, both: int) -> np.ndarray:
+    """True for each set of those sizes that can be linked with a set below c, with so much overlap up to a depth and so many elements left."""
+    size = np.clip(depth + left.astype(np.int64), c.least, c.most)
+    return both * (overlap + np.minimum(left, size - depth)) >= num * (sizes + size)
