@@ -411,9 +411,10 @@ def texts_of(spark, rows):
     return spark.createDataFrame(list(rows), "doc_id long, text string")
 
 
-@pytest.mark.parametrize(("k", "num", "tokens"), [(5, 80, 1_000_000), (3, 90, 1_000_000), (5, 80, 2_500), (2, 60, 2_500)])
-def test_lookalikes_equal_brute_force(spark, monkeypatch, k, num, tokens):
+@pytest.mark.parametrize(("k", "num", "tokens", "few"), [(5, 80, 1_000_000, 8), (3, 90, 1_000_000, 8), (2, 60, 2_500, 8), (2, 60, 2_500, 2), (2, 60, 2_500, 1_000)])
+def test_lookalikes_equal_brute_force(spark, monkeypatch, k, num, tokens, few):
     monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(ngram_join, "FEW", few)
     rows = lookalikes()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.linked(texts_of(spark, rows), k, num, 100).collect()}
     assert got == brute_components(rows, k, num, 100) and len({c for _, c in got.values()}) < len(rows)

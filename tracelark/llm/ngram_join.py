@@ -10,7 +10,8 @@
    by a passage, which would string more and more unlike documents together as the input grows, are mostly gone then.
 3. Sets with a common signature are gathered into blocks (connected components, in Spark).
    Each block's sets form a trie that is joined with itself (``trie_join``). A block beyond ``BLOCK_TOKENS`` is dealt out over
-   several tries, and sets with a common signature that are not in one group then are compared by pairs of parts.
+   several tries. Sets with a common signature that are not in one group then are compared again: those with a signature that more than
+   FEW have by pairs of parts of the blocks that such signatures make, other pairs one by one.
 
 Cases: a null or wordless text has an empty set and is linked with nothing (its component is its own doc_id); a null
 doc_id cannot stand for a component: such a row gets its size and a null component_id and links nothing; rows that repeat a doc_id
@@ -22,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, release, table
@@ -32,6 +33,8 @@ from .trie_join import groups
 
 #: Elements of the sets that one trie holds at most (8 bytes each); a set counts for SET_COST more, for its nodes.
 BLOCK_TOKENS, SET_COST = 1_000_000, 50
+#: Sets with a signature, beyond which not all their pairs are listed.
+FEW = 8
 #: Sets that a task remembers to have signed.
 SEEN = 100_000
 
@@ -175,10 +178,10 @@ def _links(docs: DataFrame, blocks: DataFrame, k: int, num: int, den: int) -> Da
 
 
 def _split(runs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of (sig, id): the ids in runs whose members are not yet all in one group."""
+    """Of (sig, id): the runs whose members are not yet all in one group, with each member's group and the number of members."""
     now = runs.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_runs = now.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("sig")
-    return now.join(open_runs, "sig").select("id").distinct()
+    open_runs = now.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("r"), F.min("id").alias("first")).where("a <> b")
+    return now.join(open_runs.select("sig", "r", "first"), "sig").select("sig", "id", "root", "r", "first")
 
 
 def _parts(sized: DataFrame) -> DataFrame:
@@ -187,6 +190,27 @@ def _parts(sized: DataFrame) -> DataFrame:
     return sized.select("id", "n", "block").join(parts, "block")
 
 
+def _part(x: str) -> Column:
+    """One of the tries of a block, for an id."""
+    return F.pmod(F.xxhash64(x), F.col("parts"))
+
+
+def _again(todo: DataFrame, sizes: DataFrame) -> list[DataFrame]:
+    """Blocks (block, id) in which every two sets meet that have a signature in common but no group: by pairs of parts, and each
+    set with the larger ids that it shares rarer signatures with."""
+    hot = materialize(components(todo.where(F.col("r") > FEW).select("id", "first"), "id", "first").withColumnRenamed("root", "block"), "hot")
+    parts = _parts(hot.join(sizes, "id"))
+    dealt = parts.select("id", "block", "parts", _part("id").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q"))
+    dealt = dealt.where("p <> q or parts = 1").select("id", F.xxhash64("block", F.least("p", "q"), F.greatest("p", "q")).alias("block"))
+    rare = todo.where(F.col("r") <= FEW).join(hot, "id", "left").select("sig", "id", "root", "block")
+    a, b = (rare.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "root", "block")]) for side in "ab")
+    pairs = a.join(b, "sig").where("id_a < id_b and root_a <> root_b and coalesce(block_a <> block_b, true)").select("id_a", "id_b").distinct()
+    stars = _parts(pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("block")).join(sizes, "id")).select("id", "block", _part("id").alias("p"))
+    stars = materialize(stars, "stars")
+    ends = stars.select(F.col("block").alias("id"), "block", "p").distinct().unionByName(stars)
+    return [dealt, ends.select("id", F.xxhash64("block", "p").alias("block"))]
+
+
 def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: sets of k-word shingles linked at a Jaccard similarity of num/den."""
     scan = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(k), "doc_id long, n long, h1 long, h2 long"), "sets")
@@ -204,18 +228,16 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     release(docs.sparkSession)
     block = components(kept.select("id", "first"), "id", "first").withColumnRenamed("root", "block")
     sized = materialize(_parts(block.join(classes.select("id", "n"), "id")), "blocks")
-    part = F.pmod(F.xxhash64("id"), F.col("parts"))
-    links = _links(docs, sized.select("id", F.xxhash64("block", part).alias("block")), k, num, den)
+    links = _links(docs, sized.select("id", F.xxhash64("block", _part("id")).alias("block")), k, num, den)
     found = [links]
     large = sized.where("parts > 1")
     if large.limit(1).count():
         todo = materialize(_split(kept.join(large.select("id"), "id", "left_semi").select("sig", "id"), components(links)), "todo")
-        if todo.limit(1).count():  # by pairs of parts: every two sets of a block meet
-            pairs = _parts(large.select("id", "block", "n").join(todo, "id", "left_semi"))
-            pairs = pairs.select("id", "block", "parts", part.alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q"))
-            pairs = pairs.where("p <> q or parts = 1").select("id", F.xxhash64("block", F.least("p", "q"), F.greatest("p", "q")).alias("block"))
-            found.append(_links(docs, pairs, k, num, den))
-            links = links.unionByName(found[-1])
+        if todo.limit(1).count():
+            found += [_links(docs, b, k, num, den) for b in _again(todo, classes.select("id", "n"))]
+            for more in found[1:]:
+                links = links.unionByName(more)
+            discard(todo)
     # rows that repeat a doc_id tie their classes together
     ties = full.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "id"), ["h1", "h2"])
     again = full.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("c > 1 and a <> b").select("doc_id")
